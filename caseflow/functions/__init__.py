@@ -20,11 +20,12 @@ from caseflow.functions.semantics import (
     loose_eq,
     mysql_number,
     mysql_truthy,
+    simple_upper,
 )
 
 __all__ = [
     "BINARY", "DEFAULT_COLLATION", "age_years", "ci_eq", "ci_in", "cleanse_text",
     "coalesce_milestones", "decode", "exclude_codes", "flag", "fold", "geo_code",
     "loose_eq", "mysql_number", "mysql_truthy", "not_deleted", "period_filter",
-    "same_period", "wait_days", "with_labels",
+    "same_period", "simple_upper", "wait_days", "with_labels",
 ]

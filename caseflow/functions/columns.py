@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.semantics import BINARY, fold
+from caseflow.functions.semantics import BINARY, fold, simple_upper
 
 
 def decode(
@@ -47,7 +47,7 @@ def cleanse_text(col: Column, remove: Sequence[str], upper: bool = True) -> Colu
     pattern. Runs of single characters are deleted in one ``translate`` pass, and a
     pattern holding a character that is already gone is skipped, since it cannot occur.
     """
-    text = F.upper(col) if upper else col
+    text = simple_upper(col) if upper else col
     gone: set[str] = set()
     run = ""
 

@@ -2,7 +2,7 @@
 
 The data was written for a server that compares labels without regard to case or
 accents, reads a string in a boolean position as a number, and compares a string
-with a number numerically. These helpers make each of those choices explicit.
+with a number numerically; it also maps case one character at a time. These helpers make each of those choices explicit.
 """
 
 from __future__ import annotations
@@ -52,3 +52,9 @@ def loose_eq(col: Column, number: Column | float) -> Column:
     """A string column compared with a number, numerically and without cast errors."""
     other = number if isinstance(number, Column) else F.lit(number)
     return mysql_number(col) == other.cast("double")
+
+
+def simple_upper(col: Column) -> Column:
+    """Upper case with one character for one: ß stays, where Spark would write SS."""
+    kept = F.array_join(F.transform(F.split(col, "ß"), F.upper), "ß")
+    return F.when(F.contains(col, F.lit("ß")), kept).otherwise(F.upper(col))

@@ -42,6 +42,6 @@ def classify(
     )
     if skew.is_below(mapping_df, skew.BROADCAST_LIMIT):
         names = F.broadcast(names)
-    wanted = semantics.fold(F.upper(F.col(col)), collation)
+    wanted = semantics.fold(semantics.simple_upper(F.col(col)), collation)
     joined = df.withColumn("_name", wanted).join(names, ["_name"], "left")
     return joined.select(*df.columns, F.coalesce("_class", F.lit(default)).alias(name))

@@ -17,6 +17,7 @@ from caseflow.functions import (
     decode,
     geo_code,
     period_filter,
+    simple_upper,
 )
 from caseflow.operators import flatten_hierarchy, lookup, match_member, milestones
 from caseflow.plans import common
@@ -116,8 +117,8 @@ def consolidated(
         decode(F.col("medicamento"), {1: "SI"}, default="NO").alias("medicamento"),
         decode(F.col("servicio_atribuido_ips"), {1: "SI", 3: "No aplica"}, default="NO")
         .alias("servicio_atribuido_ips"),
-        F.upper("responsible").alias("responsable_caso"),
-        F.upper("assignee").alias("usuario_asignado_servicio"),
+        simple_upper(F.col("responsible")).alias("responsable_caso"),
+        simple_upper(F.col("assignee")).alias("usuario_asignado_servicio"),
         "IPS_responsable_respuesta",
         "nit_responsable_respuesta",
     )
@@ -163,7 +164,7 @@ def _persons(tables, match, location_role, as_of, year_days, collation) -> DataF
         .alias("discapacidad_afectado"),
         geo_code(F.col("parent_prefix"), F.col("prefix")).alias("cod_divipola_afiliacion"),
         common.municipality_name(F.col("municipality"), collation).alias("mpio_afiliacion"),
-        F.upper(common.region_name(F.col("region"), collation)).alias("region_afiliacion"),
+        simple_upper(common.region_name(F.col("region"), collation)).alias("region_afiliacion"),
     )
 
 

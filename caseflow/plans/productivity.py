@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions import DEFAULT_COLLATION, period_filter
+from caseflow.functions import DEFAULT_COLLATION, period_filter, simple_upper
 from caseflow.operators import count_by, hot_keys, lookup, skew_join, tagged_union
 from caseflow.plans import common
 from caseflow.plans.common import Tables
@@ -53,7 +53,7 @@ def _case_info(tables: Tables, collation: str) -> DataFrame:
     info = common.add_users(info, tables, "gn_usuarios_responsable_id",
                             {"responsible": "nombre"}, hot_from=cases)
     return info.select(
-        "id_caso", "fecha_creacion_caso", F.upper("responsible").alias("responsable_caso"),
+        "id_caso", "fecha_creacion_caso", simple_upper(F.col("responsible")).alias("responsable_caso"),
         "origen", "riesgo_vida", "estado_caso", "mpio_caso",
         common.region_name(F.col("place_region"), collation).alias("region"))
 
