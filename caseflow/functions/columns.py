@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
@@ -44,15 +45,16 @@ def cleanse_text(col: Column, remove: Sequence[str], upper: bool = True) -> Colu
     """Delete each string of ``remove`` in order, after upper-casing.
 
     The order counts: deleting one character may join two others into a later
-    pattern. Runs of single characters are deleted in one ``translate`` pass, and a
-    pattern holding a character that is already gone is skipped, since it cannot occur.
+    pattern. Runs of single characters are deleted in one pass, and a pattern holding a
+    character that is already gone is skipped, since it cannot occur.
     """
     text = simple_upper(col) if upper else col
     gone: set[str] = set()
     run = ""
 
     def flush(expr: Column, chars: str) -> Column:
-        return F.translate(expr, chars, "") if chars else expr
+        any_of = "[" + re.escape(chars) + "]"
+        return F.regexp_replace(expr, any_of, "") if chars else expr
 
     for pattern in remove:
         if not pattern or gone.intersection(pattern):

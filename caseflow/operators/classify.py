@@ -40,7 +40,7 @@ def classify(
     names = mapping_df.select(
         semantics.fold(F.col("name"), collation).alias("_name"), F.col("class").alias("_class")
     )
-    if skew.is_below(mapping_df, skew.BROADCAST_LIMIT):
+    if skew.is_below([mapping_df], skew.BROADCAST_LIMIT):
         names = F.broadcast(names)
     wanted = semantics.fold(semantics.simple_upper(F.col(col)), collation)
     joined = df.withColumn("_name", wanted).join(names, ["_name"], "left")

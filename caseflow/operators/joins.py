@@ -22,6 +22,7 @@ def lookup(
     how: str = "left",
     hot_from: DataFrame | None = None,
     require_unique: bool = False,
+    sized_by: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
     """Add columns of a dimension.
 
@@ -31,6 +32,9 @@ def lookup(
     that, rows of hot keys are split when ``hot_from`` names the rows to count them on
     (a base table with ``left_key``), and NULL keys are spread.
 
+    A dimension that is itself a join of unique keys is sized by the tables it was made
+    from, given as ``sized_by``: the estimate for a join is far too high.
+
     ``require_unique`` keeps one row per key, so that the lookup can never multiply
     rows; without it a repeated key multiplies them as any join does.
     """
@@ -44,7 +48,7 @@ def lookup(
     if require_unique:
         picked = F.min(F.struct(*names)).alias("_row")
         side = side.groupBy(left_key).agg(picked).select(left_key, "_row.*")
-    if is_below(dim, skew.BROADCAST_LIMIT):
+    if is_below(sized_by or [dim], skew.BROADCAST_LIMIT):
         joined = df.join(F.broadcast(side), [left_key], how)
     else:
         hot = None if hot_from is None else hot_keys(hot_from, [left_key])

@@ -25,14 +25,15 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate, from file and column sizes. None if there is none."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(stats.sizeInBytes())
     except (AttributeError, Py4JError):
         return None
 
 
-def is_below(df: DataFrame, limit: int) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size < limit
+def is_below(inputs: Sequence[DataFrame], limit: int) -> bool:
+    """Whether the inputs together are known to be smaller than ``limit`` bytes."""
+    sizes = [estimated_bytes(df) for df in inputs]
+    return all(size is not None for size in sizes) and sum(sizes) < limit
 
 
 def hot_keys(
@@ -41,13 +42,16 @@ def hot_keys(
     min_rows: int | None = None,
     limit: int | None = None,
     small_input: int | None = None,
+    inputs: Sequence[DataFrame] | None = None,
 ) -> DataFrame | None:
     """Keys with at least ``min_rows`` rows and the parts to cut each into.
 
     One pass over the key columns with map-side counting. At most ``limit`` rows, hence
-    safe to broadcast. None when the input is too small for any key to be hot.
+    safe to broadcast. None when the input is too small for any key to be hot; where
+    ``df`` is a join, whose size Catalyst overestimates, ``inputs`` names the tables it
+    was made from and their size is taken.
     """
-    if is_below(df, SMALL_INPUT if small_input is None else small_input):
+    if is_below(inputs or [df], SMALL_INPUT if small_input is None else small_input):
         return None
     min_rows = HOT_ROWS if min_rows is None else min_rows
     limit = HOT_LIMIT if limit is None else limit
@@ -99,9 +103,9 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     if hot_left is None and hot_right is None:
-        return left.join(right, keys, how)
+        return left.join(right.hint("merge"), keys, how)
 
-    on = list(keys)
+    on = [*keys]
     columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     if hot_left is not None:
         hot = F.broadcast(hot_left.withColumnRenamed("_parts", "_left_parts"))
@@ -121,7 +125,7 @@ def skew_join(
         right = right.withColumn("_hit", F.lit(True))
         left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))
         on.append("_right_part")
-    joined = left.join(right, on, how)
+    joined = left.join(right.hint("merge"), on, how)
     if hot_right is not None and how == "left":
         padded = F.col("_right_parts").isNotNull() & F.col("_hit").isNull()
         joined = joined.where(~padded)

@@ -38,11 +38,11 @@ def case_detail(
                collation=collation).alias("EstadoCaso"),
         common.reopened_by_regulator(collation).alias("reabierto_Supersalud"),
     )
-    detail = common.with_person(detail, _persons(tables, match, collation), "person_id")
+    detail = common.with_person(detail, _persons(tables, match, collation), "person_id", tables)
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
                               {"ResponsableCaso": "nombre"}, hot_from=cases)
     closed = common.case_closings(tables, "one", collation, "closed_case")
-    detail = detail.join(closed.withColumnRenamed("aus_casos_id", "case_id"), ["case_id"], "left")
+    detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     detail = common.with_services(detail, _services(tables, collation), "case_id", tables)
 
     dates = {n: F.col(n) for n in ("closed_case", "fecha_asignado", "fecha_estudio",
@@ -104,8 +104,7 @@ def _services(tables: Tables, collation: str) -> DataFrame:
         "gn_usuarios_asignado_id", "cnt_prestador_sede_destino_id", "mae_estado_valor",
         "ma_tecnologia_codigo", "ma_tecnologia_valor",
         F.col("fecha_hora_crea").alias("service_created"))
-    detail = detail.join(
-        reached.withColumnRenamed("aus_servicios_id", "service_id"), ["service_id"], "left")
+    detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
                               {"usuario_asignado_servicio": "nombre"}, hot_from=services)
     return lookup(detail, tables["cnt_prestador_sedes"], "cnt_prestador_sede_destino_id", "id",

@@ -75,12 +75,19 @@ def case_closings(tables: Tables, ties: str, collation: str, name: str) -> DataF
     return last.withColumnRenamed("fecha_hora_crea", name)
 
 
-def with_person(cases: DataFrame, persons: DataFrame, key: str) -> DataFrame:
+def attach(df: DataFrame, per_key: DataFrame, key: str, per_key_key: str) -> DataFrame:
+    """Left join of a result with one row per key, as large as the table it goes to."""
+    return skew_join(df, per_key.withColumnRenamed(per_key_key, key), [key], "left")
+
+
+def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables) -> DataFrame:
     """Cases with their person's columns. One person may hold very many cases, and a
     shared document may give one person very many member rows; both are split."""
+    base = tables["aus_casos"].select(F.col("aus_personas_id").alias(key))
+    inputs = [tables["aus_personas"], tables["aseg_afiliados"]]
     return skew_join(
         cases, persons, [key], "left",
-        hot_left=hot_keys(cases.select(key), [key]), hot_right=hot_keys(persons, [key]),
+        hot_left=hot_keys(base, [key]), hot_right=hot_keys(persons, [key], inputs=inputs),
     )
 
 

@@ -72,11 +72,11 @@ def consolidated(
     cases = common.live_cases(tables).where(recent)
     detail = cases.withColumnsRenamed({"id": "case_id", "aus_personas_id": "person_id"})
     persons = _persons(tables, match, location_role, as_of, year_days, collation)
-    detail = common.with_person(detail, persons, "person_id")
+    detail = common.with_person(detail, persons, "person_id", tables)
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
                               {"responsible": "nombre"}, hot_from=cases)
     closed = common.case_closings(tables, closing, collation, "fecha_cierre")
-    detail = detail.join(closed.withColumnRenamed("aus_casos_id", "case_id"), ["case_id"], "left")
+    detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     services = _services(tables, provider_key, name_fallback, removals, collation)
     detail = common.with_services(detail, services, "case_id", tables)
 
@@ -152,7 +152,8 @@ def _persons(tables, match, location_role, as_of, year_days, collation) -> DataF
                                ["prefijo", "descripcion"])
     placed = lookup(matched, places, "home_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
-                     "municipality": "descripcion"}, hot_from=members)
+                     "municipality": "descripcion"}, hot_from=members,
+                    sized_by=[tables["gn_ubicaciones"]])
     placed = lookup(placed, tables["gn_ubicaciones"], "membership_id", "id",
                     {"region": "mae_region_valor"}, hot_from=members)
     return placed.select(
@@ -174,8 +175,7 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
                          "mae_estado_valor", "fecha_hora_crea", common.SERVICE_STATES,
                          collation=collation)
     detail = services.withColumnsRenamed({"id": "service_id", "aus_casos_id": "case_id"})
-    detail = detail.join(
-        reached.withColumnRenamed("aus_servicios_id", "service_id"), ["service_id"], "left")
+    detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
                               {"assignee": "nombre"}, hot_from=services)
 
@@ -189,7 +189,8 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
     sites = lookup(sites, tables["cnt_prestadores"], "provider_id", "id", ["numero_documento"])
     detail = lookup(detail, sites, "cnt_prestador_sede_destino_id", "site_id",
                     {"site_name": "site_name", "provider_document": "numero_documento"},
-                    hot_from=services)
+                    hot_from=services,
+                    sized_by=[tables["cnt_prestador_sedes"], tables["cnt_prestadores"]])
     name = F.col("site_name")
     if name_fallback == "service":
         held = cleanse_text(F.col("cnt_prestador_sede_destino_valor"), removals)

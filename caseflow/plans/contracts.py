@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import decode
 from caseflow.operators import hot_keys, lookup, skew_join
-from caseflow.operators.skew import BROADCAST_LIMIT, is_below
 from caseflow.plans.common import Tables
 
 TABLES = ["cnt_contratos", "cnt_contrato_sedes", "cnt_contrato_detalles", "cnt_prestadores",
@@ -70,8 +69,4 @@ def _join_sites(tables: Tables, details: DataFrame) -> DataFrame:
                    ["ubicacion_id"], hot_from=tables["cnt_contrato_sedes"])
     sites = lookup(sites, tables["gn_ubicaciones"], "ubicacion_id", "id", _PLACE)
     sites = sites.select(*_KEYS, *_CONTRACT, "mae_modalidad_contrato_valor", *_PLACE)
-    if is_below(tables["cnt_contrato_sedes"], BROADCAST_LIMIT):
-        hot = None
-    else:
-        hot = hot_keys(details, _KEYS)
-    return skew_join(details, sites, _KEYS, "inner", hot_left=hot)
+    return skew_join(details, sites, _KEYS, "inner", hot_left=hot_keys(details, _KEYS))

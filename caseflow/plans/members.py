@@ -36,6 +36,7 @@ def members_by_municipality(
         ci_eq(F.col("mae_estado_afiliacion_valor"), state, collation))
     per_location = count_by(members, [location], name="members")
     places = flatten_hierarchy(tables["gn_ubicaciones"], "id", "gn_ubicaciones_id", ["prefijo"])
-    coded = lookup(per_location, places, location, "id", ["prefijo", "parent_prefijo"])
+    coded = lookup(per_location, places, location, "id", ["prefijo", "parent_prefijo"],
+                   sized_by=[tables["gn_ubicaciones"]])
     code = geo_code(F.col("parent_prefijo"), F.col("prefijo")).alias("cod_municipio_afiliacion")
     return count_by(coded, [code], weight="members", name="cantidad_afiliados")

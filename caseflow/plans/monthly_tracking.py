@@ -70,11 +70,11 @@ def _segments(tables, created_years, closed_years, same_month_created_years,
               other_month_created_years, open_years, collation) -> DataFrame:
     closings = common.case_closings(tables, "one", collation, "closed")
     cases = common.live_cases(tables).select(
-        F.col("id").alias("aus_casos_id"), F.col("aus_personas_id").alias("person_id"),
+        F.col("id").alias("case_id"), F.col("aus_personas_id").alias("person_id"),
         F.col("fecha_hora_crea").alias("created"), "mae_solicitud_estado_valor",
         decode(F.col("mae_solicitud_origen_codigo"), common.REGULATOR_ORIGIN,
                default=common.OTHER_ORIGIN).alias("origen"))
-    cases = cases.join(closings, ["aus_casos_id"], "left")
+    cases = common.attach(cases, closings, "case_id", "aus_casos_id")
 
     created, closed = F.col("created"), F.col("closed")
     is_closed = ci_in(F.col("mae_solicitud_estado_valor"), CLOSED_STATES, collation)

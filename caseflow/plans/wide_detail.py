@@ -57,11 +57,12 @@ def wide_detail(
     detail = cases.withColumnsRenamed({"id": "case_id", "aus_personas_id": "person_id"})
     detail = lookup(detail, places, "gn_ubicaciones_id", "id",
                     {"case_prefix": "prefijo", "case_parent_prefix": "parent_prefijo",
-                     "municipio_pqrd": "nombre"}, hot_from=cases)
+                     "municipio_pqrd": "nombre"}, hot_from=cases,
+                    sized_by=[tables["gn_ubicaciones"]])
     persons = _persons(tables, places, match, as_of, year_days, collation)
-    detail = common.with_person(detail, persons, "person_id")
+    detail = common.with_person(detail, persons, "person_id", tables)
     closed = common.case_closings(tables, "one", collation, "fecha_cierre_caso")
-    detail = detail.join(closed.withColumnRenamed("aus_casos_id", "case_id"), ["case_id"], "left")
+    detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     detail = common.with_services(
         detail, _services(tables, provider_key, collation), "case_id", tables)
 
@@ -137,7 +138,7 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
     placed = lookup(matched, places, "residencia_ubicacion_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
                      "municipality": "descripcion", "region": "mae_region_valor"},
-                    hot_from=members)
+                    hot_from=members, sized_by=[tables["gn_ubicaciones"]])
     return placed.select(
         "person_id", "tipo_documento", "documento", "fecha_nacimiento",
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("Edad_actual"),
@@ -156,17 +157,19 @@ def _services(tables, provider_key, collation) -> DataFrame:
                          "mae_estado_valor", "fecha_hora_crea",
                          {"Cerrado": "closed_at", "Resuelto": "solved_at"},
                          collation=collation)
-    detail = services.withColumnsRenamed({"id": "aus_servicios_id", "aus_casos_id": "case_id"})
-    detail = detail.join(reached, ["aus_servicios_id"], "left")
+    detail = services.withColumnsRenamed({"id": "service_id", "aus_casos_id": "case_id"})
+    detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
                               {"user_name": "nombre", "user_document": "documento"},
                               hot_from=services)
-    providers = tables["cnt_prestadores"]
+    sites, providers = tables["cnt_prestador_sedes"], tables["cnt_prestadores"]
+    sizes = [sites, providers]
     if provider_key == "foreign_key":
-        providers = lookup(tables["cnt_prestador_sedes"], providers,
+        providers = lookup(sites, providers,
                            "cnt_prestador_id", "id", ["numero_documento"])
     detail = lookup(detail, providers, "cnt_prestador_sede_destino_id", "id",
-                    {"provider_document": "numero_documento"}, hot_from=services)
+                    {"provider_document": "numero_documento"}, hot_from=services,
+                    sized_by=sizes)
     name = F.coalesce("user_name", "cnt_prestador_sede_destino_valor")
     return detail.select(
         "case_id",

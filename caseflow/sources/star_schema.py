@@ -277,21 +277,39 @@ DOMAIN_SQL = {
 # Rows generated per input row: three for a site or a service, numbered from 0.
 SPARK_EXPLODE = "explode(array(0, 1, 2))"
 
-BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-               "events", "documents")
+# Given, so that opening a file does not cost a job to find its schema.
+_BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, "
+                "l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+BASE_TABLES = tuple(_BASE_SCHEMAS)
 
 
-def base_tables(spark: SparkSession, folder: str, names=BASE_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_BASE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def domain_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The named domain tables over the star-schema files of ``folder``."""
     schemas = registry()
-    tables = {}
-    for name in names:
-        sql = DOMAIN_SQL[name].replace("{explode}", SPARK_EXPLODE)
-        used = {n: t for n, t in base_tables(
-            spark, folder, [b for b in BASE_TABLES if "{" + b + "}" in sql]).items()}
-        tables[name] = conform(spark.sql(sql, **used), schemas[name], name=name)
-    return tables
+    statements = {n: DOMAIN_SQL[n].replace("{explode}", SPARK_EXPLODE) for n in names}
+    used = {n: [b for b in BASE_TABLES if "{" + b + "}" in sql] for n, sql in statements.items()}
+    base = {b: base_table(spark, folder, b) for bases in used.values() for b in bases}
+    return {
+        n: conform(spark.sql(sql, **{b: base[b] for b in used[n]}), schemas[n], name=n)
+        for n, sql in statements.items()
+    }

@@ -53,7 +53,7 @@ from caseflow.plans.person_history import TABLES as HISTORY_TABLES
 from caseflow.plans.productivity import TABLES as PRODUCTIVITY_TABLES
 from caseflow.plans.wide_detail import NAME_REMOVALS
 from caseflow.plans.wide_detail import TABLES as WIDE_TABLES
-from caseflow.sources.star_schema import domain_tables
+from caseflow.sources.star_schema import base_table, domain_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +62,6 @@ AS_OF = "2025-05-01"
 PERSON = "42"
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def _portable(df: DataFrame) -> DataFrame:
     columns = []
     for field in df.schema.fields:
@@ -81,34 +77,34 @@ def _portable(df: DataFrame) -> DataFrame:
 # Status logs ---------------------------------------------------------------------------
 
 def latest_status(spark, folder):
-    events = _read(spark, folder, "events")
+    events = base_table(spark, folder, "events")
     return latest_per_key(events, ["user_id"], "ts", ["event_id"],
                           where=F.col("event_type") == "error")
 
 
 def first_status(spark, folder):
-    events = _read(spark, folder, "events")
+    events = base_table(spark, folder, "events")
     return first_per_key(events, ["user_id"], "ts", ["event_id"],
                          where=F.col("event_type") == "view",
                          cols=["event_id", "ts", "value"])
 
 
 def latest_keep_ties(spark, folder):
-    lines = _read(spark, folder, "lineitem")
+    lines = base_table(spark, folder, "lineitem")
     return latest_per_key(lines, ["l_orderkey"], "l_shipdate", [],
                           where=F.col("l_returnflag") == "R",
                           cols=["l_shipdate", "l_partkey", "l_linenumber"], ties="all")
 
 
 def latest_one(spark, folder):
-    lines = _read(spark, folder, "lineitem")
+    lines = base_table(spark, folder, "lineitem")
     return latest_per_key(lines, ["l_orderkey"], "l_shipdate", [],
                           where=F.col("l_returnflag") == "R", cols=["l_shipdate"])
 
 
 def _event_milestones(spark, folder):
     names = {e: f"first_{e}" for e in EVENT_TYPES}
-    return milestones(_read(spark, folder, "events"), "user_id", "event_type", "ts", names)
+    return milestones(base_table(spark, folder, "events"), "user_id", "event_type", "ts", names)
 
 
 def milestone_pivot(spark, folder):
@@ -116,7 +112,7 @@ def milestone_pivot(spark, folder):
 
 
 def milestones_lookup(spark, folder):
-    customers = _read(spark, folder, "customer").select("c_custkey", "c_name")
+    customers = base_table(spark, folder, "customer").select("c_custkey", "c_name")
     reached = _event_milestones(spark, folder)
     return lookup(customers, reached, "c_custkey", "user_id",
                   [f"first_{e}" for e in EVENT_TYPES])
@@ -124,7 +120,7 @@ def milestones_lookup(spark, folder):
 
 def closing_precedence(spark, folder):
     reached = _event_milestones(spark, folder)
-    last = latest_per_key(_read(spark, folder, "events"), ["user_id"], "ts", [],
+    last = latest_per_key(base_table(spark, folder, "events"), ["user_id"], "ts", [],
                           where=(F.col("event_type") == "error") & (F.col("user_id") % 3 == 0),
                           cols=["ts"])
     rows = lookup(reached, last, "user_id", "user_id", {"closed": "ts"})
@@ -139,8 +135,8 @@ def closing_precedence(spark, folder):
 
 
 def latest_inner(spark, folder):
-    customers = _read(spark, folder, "customer").select("c_custkey", "c_name")
-    bought = latest_per_key(_read(spark, folder, "events"), ["user_id"], "ts", ["event_id"],
+    customers = base_table(spark, folder, "customer").select("c_custkey", "c_name")
+    bought = latest_per_key(base_table(spark, folder, "events"), ["user_id"], "ts", ["event_id"],
                             where=F.col("event_type") == "purchase",
                             cols=["ts", "event_id", "value"])
     return lookup(customers, bought, "c_custkey", "user_id", ["ts", "event_id", "value"],
@@ -153,7 +149,7 @@ def hierarchy_code(spark, folder):
     places = flatten_hierarchy(
         domain_tables(spark, folder, ["gn_ubicaciones"])["gn_ubicaciones"],
         "id", "gn_ubicaciones_id", ["prefijo", "nombre"])
-    customers = _read(spark, folder, "customer").select(
+    customers = base_table(spark, folder, "customer").select(
         "c_custkey", ((F.col("c_nationkey") + 7) % 27).cast("long").alias("place_id"))
     rows = lookup(customers, places, "place_id", "id",
                   ["prefijo", "nombre", "parent_prefijo", "parent_nombre"])
@@ -162,9 +158,9 @@ def hierarchy_code(spark, folder):
 
 
 def role_playing(spark, folder):
-    lines = _read(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
-    orders, nation = _read(spark, folder, "orders"), _read(spark, folder, "nation")
-    customers, suppliers = _read(spark, folder, "customer"), _read(spark, folder, "supplier")
+    lines = base_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    orders, nation = base_table(spark, folder, "orders"), base_table(spark, folder, "nation")
+    customers, suppliers = base_table(spark, folder, "customer"), base_table(spark, folder, "supplier")
     rows = lookup(lines, orders, "l_orderkey", "o_orderkey", ["o_custkey"], hot_from=lines)
     rows = lookup(rows, customers, "o_custkey", "c_custkey", ["c_nationkey"], hot_from=orders)
     rows = lookup(rows, suppliers, "l_suppkey", "s_suppkey", ["s_nationkey"], hot_from=lines)
@@ -187,7 +183,7 @@ def _match(mode: str) -> Query:
 
 
 def inner_two_keys(spark, folder):
-    lines = _read(spark, folder, "lineitem").select(
+    lines = base_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
     sites = count_by(lines, ["l_orderkey", "l_suppkey"], name="site_lines")
     return lines.join(sites, ["l_orderkey", "l_suppkey"], "inner")
@@ -208,13 +204,13 @@ def provider_chain(spark, folder):
 
 def distinct_after_fanout(spark, folder):
     # Joining the events first could only repeat rows that DISTINCT removes again.
-    return _read(spark, folder, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    return base_table(spark, folder, "customer").select("c_nationkey", "c_mktsegment").distinct()
 
 
 # Filters and expressions ---------------------------------------------------------------
 
 def year_filters(spark, folder):
-    orders = _read(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    orders = base_table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
     day = F.col("o_orderdate")
     forms = {
         "min_year": orders.where(period_filter(day, min_year=1999)),
@@ -227,8 +223,8 @@ def year_filters(spark, folder):
 
 
 def same_month(spark, folder):
-    lines = _read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    orders = _read(spark, folder, "orders")
+    lines = base_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    orders = base_table(spark, folder, "orders")
     rows = lookup(lines, orders, "l_orderkey", "o_orderkey", ["o_orderdate"], hot_from=lines)
     return rows.select("l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate",
                        same_period(F.col("o_orderdate"), F.col("l_shipdate")).alias("same"))
@@ -273,7 +269,7 @@ def label_fold(spark, folder):
 
 
 def loose_compare(spark, folder):
-    parts = _read(spark, folder, "part")
+    parts = base_table(spark, folder, "part")
     code = F.concat(
         F.when(F.col("p_partkey") % 4 == 0, "A").when(F.col("p_partkey") % 4 == 1, " ")
         .otherwise(""),
@@ -289,7 +285,7 @@ def loose_compare(spark, folder):
 
 def age(spark, folder):
     born = F.col("o_orderdate")
-    return _read(spark, folder, "orders").select(
+    return base_table(spark, folder, "orders").select(
         "o_orderkey",
         age_years(born, AS_OF, 365.25).alias("age_36525"),
         age_years(born, AS_OF, 365.2).alias("age_3652"),
@@ -298,7 +294,7 @@ def age(spark, folder):
 
 
 def cleanse(spark, folder):
-    documents = _read(spark, folder, "documents")
+    documents = base_table(spark, folder, "documents")
     clean = cleanse_text(F.col("text"), NAME_REMOVALS)
     return documents.select("doc_id", clean.alias("clean")).select(
         "doc_id", F.length("clean").cast("long").alias("length"), F.md5("clean").alias("digest"))
@@ -312,9 +308,9 @@ SUBREGION_SAMPLE = {
 
 
 def subregion(spark, folder):
-    nation = _read(spark, folder, "nation")
+    nation = base_table(spark, folder, "nation")
     classes = mapping_table(spark, SUBREGION_SAMPLE)
-    customers = _read(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    customers = base_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     named = lookup(customers, nation, "c_nationkey", "n_nationkey", {"name": "n_name"})
     named = named.withColumn("name", F.lower("name"))
     return classify(named, "name", classes, "none", name="subregion")
