@@ -59,7 +59,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 EVENT_TYPES = ["signup", "view", "click", "purchase", "error"]
 AS_OF = "2025-05-01"
-PERSON = "42"
+PERSON = "7"
 
 
 def _portable(df: DataFrame) -> DataFrame:
