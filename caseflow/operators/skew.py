@@ -78,8 +78,9 @@ def _part(df: DataFrame, keys: Sequence[str], parts: str) -> Column:
 
 def _copies(parts: str) -> Column:
     """One copy of the row per part of the other side."""
-    last = F.coalesce(F.col(parts), F.lit(1)) - 1
-    return F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
+    first = F.lit(0).cast("long")
+    every = F.sequence(first, (F.col(parts) - 1).cast("long"))
+    return F.explode(F.when(F.col(parts) > 1, every).otherwise(F.array(first)))
 
 
 def skew_join(

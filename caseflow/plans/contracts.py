@@ -67,6 +67,7 @@ def _join_sites(tables: Tables, details: DataFrame) -> DataFrame:
                    ["numero_documento", "razon_social"], hot_from=contracts)
     sites = lookup(sites, tables["cnt_prestador_sedes"], "cnt_prestador_sedes_id", "id",
                    ["ubicacion_id"], hot_from=tables["cnt_contrato_sedes"])
-    sites = lookup(sites, tables["gn_ubicaciones"], "ubicacion_id", "id", _PLACE)
+    sites = lookup(sites, tables["gn_ubicaciones"], "ubicacion_id", "id", _PLACE,
+                   hot_from=tables["cnt_prestador_sedes"])
     sites = sites.select(*_KEYS, *_CONTRACT, "mae_modalidad_contrato_valor", *_PLACE)
     return skew_join(details, sites, _KEYS, "inner", hot_left=hot_keys(details, _KEYS))

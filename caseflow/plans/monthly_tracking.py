@@ -109,7 +109,8 @@ def _person_places(tables, match, distinct_places, collation) -> DataFrame:
          "afiliacion_ubicaciones_id"],
         name="members")
     placed = lookup(members, tables["gn_ubicaciones"], "afiliacion_ubicaciones_id", "id",
-                    {"municipio_afiliacion": "nombre", "region": "mae_region_valor"})
+                    {"municipio_afiliacion": "nombre", "region": "mae_region_valor"},
+                    hot_from=tables["aseg_afiliados"])
     placed = placed.withColumn("region_afiliacion",
                                common.region_name(F.col("region"), collation))
     placed = count_by(placed, ["numero_documento", "member_tipo", *_PLACE], weight="members",

@@ -19,7 +19,8 @@ CASES, SERVICES = "Casos", "Servicios"
 _CASE = ["id_caso", "id", "fecha_creacion_caso", "responsable_caso", "origen", "riesgo_vida"]
 _PLACE = ["mpio_caso", "region"]
 _ENTRY = ["usuario", "estado_interaccion"]
-DIMS = [*_CASE, "estado_caso_servicio", *_PLACE, *_ENTRY, "grupo", "fecha_interaccion"]
+DIMS = [*_CASE, "estado_caso_servicio", *_PLACE, *_ENTRY, "fecha_interaccion"]
+COLUMNS = [*DIMS[:-1], "grupo", "fecha_interaccion", "interacciones"]
 
 
 def productivity(tables: Tables, min_year: int = 2024,
@@ -34,9 +35,13 @@ def productivity(tables: Tables, min_year: int = 2024,
         CASES: _case_entries(tables, info, min_year),
         SERVICES: _service_entries(tables, info, min_year),
     }
-    # Counted after the union: the tag is one of the dimensions, so one aggregate does.
-    entries = tagged_union(branches, "grupo")
-    return count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones")
+    # Each group is counted where its join left it: the join key is one of the
+    # dimensions, so the rows need not be shuffled again.
+    counted = {
+        tag: count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones")
+        for tag, entries in branches.items()
+    }
+    return tagged_union(counted, "grupo").select(*COLUMNS)
 
 
 def _case_info(tables: Tables, collation: str) -> DataFrame:

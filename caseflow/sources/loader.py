@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseflow.sources.schemas import COLUMN_ALIASES, registry, table_names
@@ -25,10 +24,11 @@ def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{name} lacks columns {missing}")
-    return df.select(
+    found = {f.name: f.dataType for f in df.schema.fields}
+    return df.selectExpr(
         *[
-            F.col(f.name) if df.schema[f.name].dataType == f.dataType
-            else F.col(f.name).cast(f.dataType).alias(f.name)
+            f"`{f.name}`" if found[f.name] == f.dataType
+            else f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in schema.fields
         ]
     )

@@ -63,15 +63,13 @@ PERSON = "7"
 
 
 def _portable(df: DataFrame) -> DataFrame:
-    columns = []
+    rendered = {}
     for field in df.schema.fields:
-        column = F.col(field.name)
         if isinstance(field.dataType, T.DateType):
-            column = column.cast("string")
+            rendered[field.name] = F.col(field.name).cast("string")
         elif isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            rendered[field.name] = F.col(field.name).cast("double")
+    return df.withColumns(rendered) if rendered else df
 
 
 # Status logs ---------------------------------------------------------------------------
