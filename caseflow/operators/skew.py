@@ -103,11 +103,11 @@ def skew_join(
     keys = list(keys)
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
+    columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     if hot_left is None and hot_right is None:
-        return left.join(right.hint("merge"), keys, how)
+        return left.join(right.hint("merge"), keys, how).select(*columns)
 
     on = [*keys]
-    columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     if hot_left is not None:
         hot = F.broadcast(hot_left.withColumnRenamed("_parts", "_left_parts"))
         left_columns = left.columns

@@ -255,7 +255,9 @@ def test_split_join_equals_plain_join(skewed, how, split):
     joined = skew_join(left, right, ["k"], how,
                        hot_left=hot(left) if split != "right" else None,
                        hot_right=hot(right) if split != "left" else None)
-    assert joined.columns == ["k", "l", "r"]
+    plain = skew_join(left, right, ["k"], how)
+    assert joined.columns == plain.columns == ["k", "l", "r"]
+    assert rows(joined) == rows(plain)
     assert rows(joined) == rows(left.join(right, ["k"], how))
 
 
