@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 # A key with this many rows is cut into parts of about this many rows.
 HOT_ROWS = 1_000_000
-# The list of hot keys is broadcast, so its length is bounded. Keys past the bound are
-# the least hot ones; they are joined unsplit and lose nothing but balance.
+# The list of hot keys is collected and broadcast, so its length is bounded. Keys past
+# the bound are the least hot ones; they are joined unsplit and lose nothing but balance.
 HOT_LIMIT = 4096
+# Counters of the sketch that finds candidates. A key is sure to be found once it holds
+# more than about 1 / 30,000 of the rows.
+SKETCH_ITEMS = 100_000
 # Rows with a NULL key match nothing; they are spread over this many parts.
 NULL_PARTS = 1024
 # Inputs estimated below this size are joined directly: no key of theirs can be too big.
@@ -44,19 +48,28 @@ def hot_keys(
     small_input: int | None = None,
     inputs: Sequence[DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Keys with at least ``min_rows`` rows and the parts to cut each into.
-
-    One pass over the key columns with map-side counting. At most ``limit`` rows, hence
-    safe to broadcast. None when the input is too small for any key to be hot; where
-    ``df`` is a join, whose size Catalyst overestimates, ``inputs`` names the tables it
-    was made from and their size is taken.
+    """Keys with at least ``min_rows`` rows and the parts to cut each into, if any.
+
+    None when the input is too small for any key to be hot; where ``df`` is a join, whose
+    size Catalyst overestimates, ``inputs`` names the tables it was made from and their
+    size is taken. Otherwise this runs one job: a frequent-items sketch over the key
+    columns, without a shuffle, whose result is a list of at most ``limit`` hashes. None,
+    too, if that list is empty, so that balanced data is joined plainly. The DataFrame
+    returned counts the keys on the list exactly; it is short enough to broadcast.
     """
     if is_below(inputs or [df], SMALL_INPUT if small_input is None else small_input):
         return None
     min_rows = HOT_ROWS if min_rows is None else min_rows
     limit = HOT_LIMIT if limit is None else limit
     keys = list(keys)
-    counted = df.select(*keys).dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    rows = df.select(*keys).dropna(subset=keys).withColumn("_hash", F.xxhash64(*keys))
+    sketch = F.expr(f"approx_top_k(_hash, {limit}, {max(limit, SKETCH_ITEMS)})")
+    frequent = rows.agg(sketch.alias("top")).first().top
+    candidates = [item["item"] for item in frequent if item["count"] >= min_rows]
+    if not candidates:
+        return None
+    counted = rows.where(F.col("_hash").isin(candidates)).groupBy(*keys).agg(
+        F.count("*").alias("_rows"))
     return (
         counted.where(F.col("_rows") >= min_rows)
         .orderBy(F.col("_rows").desc(), *keys)
@@ -65,15 +78,14 @@ def hot_keys(
     )
 
 
-def _part(df: DataFrame, keys: Sequence[str], parts: str) -> Column:
+def _part(df: DataFrame, keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
     """Part number of a row, from a hash of its values so that a retry repeats it."""
     row_hash = F.xxhash64(*df.columns)
-    key_is_null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
-    return (
-        F.when(key_is_null, F.pmod(row_hash, F.lit(NULL_PARTS)))
-        .when(F.col(parts) > 1, F.pmod(row_hash, F.col(parts)))
-        .otherwise(F.lit(0).cast("long"))
-    )
+    part = F.when(F.col(parts) > 1, F.pmod(row_hash, F.col(parts)))
+    if spread_nulls:
+        some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        part = part.when(some_null, F.pmod(row_hash, F.lit(NULL_PARTS)))
+    return F.coalesce(part, F.lit(0).cast("long"))
 
 
 def _copies(parts: str) -> Column:
@@ -112,7 +124,7 @@ def skew_join(
         hot = F.broadcast(hot_left.withColumnRenamed("_parts", "_left_parts"))
         left_columns = left.columns
         left = left.join(hot, keys, "left")
-        part = _part(left.select(*left_columns), keys, "_left_parts")
+        part = _part(left.select(*left_columns), keys, "_left_parts", spread_nulls=True)
         left = left.withColumn("_left_part", part).drop("_left_parts")
         right = right.join(hot, keys, "left").withColumn("_left_part", _copies("_left_parts"))
         right = right.drop("_left_parts")
@@ -121,7 +133,7 @@ def skew_join(
         hot = F.broadcast(hot_right.withColumnRenamed("_parts", "_right_parts"))
         right_columns = right.columns
         right = right.join(hot, keys, "left")
-        part = _part(right.select(*right_columns), keys, "_right_parts")
+        part = _part(right.select(*right_columns), keys, "_right_parts", spread_nulls=False)
         right = right.withColumn("_right_part", part).drop("_right_parts")
         right = right.withColumn("_hit", F.lit(True))
         left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))

@@ -84,11 +84,13 @@ def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables)
     """Cases with their person's columns. One person may hold very many cases, and a
     shared document may give one person very many member rows; both are split."""
     base = tables["aus_casos"].select(F.col("aus_personas_id").alias(key))
-    inputs = [tables["aus_personas"], tables["aseg_afiliados"]]
-    return skew_join(
-        cases, persons, [key], "left",
-        hot_left=hot_keys(base, [key]), hot_right=hot_keys(persons, [key], inputs=inputs),
-    )
+    members = tables["aseg_afiliados"]
+    hot_persons = None
+    # Only a document that many members share can give a person many rows.
+    if hot_keys(members, ["numero_documento"]) is not None:
+        hot_persons = hot_keys(persons, [key], inputs=[tables["aus_personas"], members])
+    return skew_join(cases, persons, [key], "left", hot_left=hot_keys(base, [key]),
+                     hot_right=hot_persons)
 
 
 def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables) -> DataFrame:

@@ -265,13 +265,14 @@ def test_hot_keys_are_cut_into_parts(skewed):
     left, right = skewed
     assert rows(hot(left)) == [(7, 15)]
     assert rows(hot(right)) == [(100, 3), (7, 2)]
-    assert hot_keys(left, ["k"], min_rows=20, small_input=0, limit=0).count() == 0
+    assert rows(hot_keys(right, ["k"], min_rows=20, small_input=0, limit=1)) == [(100, 3)]
+    assert hot_keys(left, ["k"], min_rows=301, small_input=0) is None
 
 
 def test_parts_are_spread_and_repeatable(skewed):
     left, _ = skewed
     marked = left.join(hot(left).withColumnRenamed("_parts", "_left_parts"), ["k"], "left")
-    part = skew._part(left, ["k"], "_left_parts").alias("part")
+    part = skew._part(left, ["k"], "_left_parts", spread_nulls=True).alias("part")
     parts = marked.select("k", "l", part)
     sizes = [r["count"] for r in parts.where("k = 7").groupBy("part").count().collect()]
     assert len(sizes) == 15 and max(sizes) < 60
