@@ -2,7 +2,8 @@
 
 The data was written for a server that compares labels without regard to case or
 accents, reads a string in a boolean position as a number, and compares a string
-with a number numerically; it also maps case one character at a time. These helpers make each of those choices explicit.
+with a number numerically; it also maps case one character at a time. These helpers
+make each of those choices explicit.
 """
 
 from __future__ import annotations
@@ -54,7 +55,12 @@ def loose_eq(col: Column, number: Column | float) -> Column:
     return mysql_number(col) == other.cast("double")
 
 
+# Not a character, so no text holds it.
+_STAND_IN = "\uffff"
+
+
 def simple_upper(col: Column) -> Column:
     """Upper case with one character for one: ß stays, where Spark would write SS."""
-    kept = F.array_join(F.transform(F.split(col, "ß"), F.upper), "ß")
+    kept = F.replace(F.upper(F.replace(col, F.lit("ß"), F.lit(_STAND_IN))),
+                     F.lit(_STAND_IN), F.lit("ß"))
     return F.when(F.contains(col, F.lit("ß")), kept).otherwise(F.upper(col))

@@ -78,9 +78,9 @@ def hot_keys(
     )
 
 
-def _part(df: DataFrame, keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
+def _part(columns: Sequence[str], keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
     """Part number of a row, from a hash of its values so that a retry repeats it."""
-    row_hash = F.xxhash64(*df.columns)
+    row_hash = F.xxhash64(*columns)
     part = F.when(F.col(parts) > 1, F.pmod(row_hash, F.col(parts)))
     if spread_nulls:
         some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -102,6 +102,8 @@ def skew_join(
     how: str = "left",
     hot_left: DataFrame | None = None,
     hot_right: DataFrame | None = None,
+    spread_left: Sequence[str] | None = None,
+    spread_right: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join on same-named ``keys`` (inner or left) that splits hot keys.
 
@@ -122,19 +124,16 @@ def skew_join(
     on = [*keys]
     if hot_left is not None:
         hot = F.broadcast(hot_left.withColumnRenamed("_parts", "_left_parts"))
-        left_columns = left.columns
-        left = left.join(hot, keys, "left")
-        part = _part(left.select(*left_columns), keys, "_left_parts", spread_nulls=True)
-        left = left.withColumn("_left_part", part).drop("_left_parts")
+        part = _part(spread_left or left.columns, keys, "_left_parts", spread_nulls=True)
+        left = left.join(hot, keys, "left").withColumn("_left_part", part).drop("_left_parts")
         right = right.join(hot, keys, "left").withColumn("_left_part", _copies("_left_parts"))
         right = right.drop("_left_parts")
         on.append("_left_part")
     if hot_right is not None:
         hot = F.broadcast(hot_right.withColumnRenamed("_parts", "_right_parts"))
-        right_columns = right.columns
-        right = right.join(hot, keys, "left")
-        part = _part(right.select(*right_columns), keys, "_right_parts", spread_nulls=False)
-        right = right.withColumn("_right_part", part).drop("_right_parts")
+        part = _part(spread_right or right.columns, keys, "_right_parts", spread_nulls=False)
+        right = right.join(hot, keys, "left").withColumn("_right_part", part)
+        right = right.drop("_right_parts")
         right = right.withColumn("_hit", F.lit(True))
         left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))
         on.append("_right_part")

@@ -90,7 +90,7 @@ def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables)
     if hot_keys(members, ["numero_documento"]) is not None:
         hot_persons = hot_keys(persons, [key], inputs=[tables["aus_personas"], members])
     return skew_join(cases, persons, [key], "left", hot_left=hot_keys(base, [key]),
-                     hot_right=hot_persons)
+                     hot_right=hot_persons, spread_left=["case_id"])
 
 
 def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables) -> DataFrame:
@@ -98,7 +98,8 @@ def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Table
     meet once, and a case with very many services is split. The hot cases are counted
     on the service table itself, all rows of which are still in ``services``."""
     base = tables["aus_caso_servicios"].select(F.col("aus_casos_id").alias(key))
-    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]))
+    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]),
+                     spread_right=["service_id"])
 
 
 def add_users(df: DataFrame, tables: Tables, key: str, cols: Mapping[str, str],

@@ -89,15 +89,16 @@ def _segments(tables, created_years, closed_years, same_month_created_years,
             F.year(when).alias("anio"), F.month(when).alias("mes"),
             F.lit(tag).alias("grupo_caso")))
 
-    found = F.array_compact(F.array(
+    found = F.array(
         segment(made_in(created_years), created, CREATED),
         segment(closed_in_scope & same & made_in(same_month_created_years),
                 closed, CLOSED_SAME_MONTH),
         segment(closed_in_scope & ~same & made_in(other_month_created_years),
                 closed, CLOSED_OTHER_MONTH),
         segment(~is_closed & period_filter(created, years=open_years), created, OPEN),
-    ))
-    return cases.select("person_id", "origen", F.explode(found).alias("s")).select(
+    )
+    emitted = cases.select("person_id", "origen", F.explode(found).alias("s"))
+    return emitted.where(F.col("s").isNotNull()).select(
         "person_id", "origen", "s.anio", "s.mes", "s.grupo_caso")
 
 

@@ -66,7 +66,8 @@ def _case_info(tables: Tables, collation: str) -> DataFrame:
 def _case_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFrame:
     log = _recent(tables["aus_seguimientos"], min_year).select(
         F.col("aus_casos_id").alias("id_caso"), "id", *_log_columns())
-    joined = skew_join(log, info, ["id_caso"], "inner", hot_left=hot_keys(log, ["id_caso"]))
+    joined = skew_join(log, info, ["id_caso"], "inner", hot_left=hot_keys(log, ["id_caso"]),
+                       spread_left=["id"])
     return joined.withColumnRenamed("estado_caso", "estado_caso_servicio")
 
 
@@ -75,7 +76,7 @@ def _service_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFram
         F.col("aus_casos_id").alias("id_caso"), "id",
         F.col("mae_estado_valor").alias("estado_caso_servicio"))
     services = skew_join(services, info.drop("estado_caso"), ["id_caso"], "inner",
-                         hot_left=hot_keys(services, ["id_caso"]))
+                         hot_left=hot_keys(services, ["id_caso"]), spread_left=["id"])
     log = _recent(tables["aus_servicio_gestiones"], min_year).select(
         F.col("aus_servicios_id").alias("id"), *_log_columns())
     return skew_join(log, services, ["id"], "inner", hot_left=hot_keys(log, ["id"]))

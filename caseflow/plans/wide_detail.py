@@ -173,6 +173,7 @@ def _services(tables, provider_key, collation) -> DataFrame:
     name = F.coalesce("user_name", "cnt_prestador_sede_destino_valor")
     return detail.select(
         "case_id",
+        "service_id",
         F.col("mae_servicio_motivo_valor").alias("service_reason"),
         decode(F.col("medicamento"), YES_NO).alias("medicamento"),
         decode(F.col("servicio_atribuido_ips"), ATTRIBUTED).alias("servicio_atribuido_ips"),

@@ -272,7 +272,7 @@ def test_hot_keys_are_cut_into_parts(skewed):
 def test_parts_are_spread_and_repeatable(skewed):
     left, _ = skewed
     marked = left.join(hot(left).withColumnRenamed("_parts", "_left_parts"), ["k"], "left")
-    part = skew._part(left, ["k"], "_left_parts", spread_nulls=True).alias("part")
+    part = skew._part(["k", "l"], ["k"], "_left_parts", spread_nulls=True).alias("part")
     parts = marked.select("k", "l", part)
     sizes = [r["count"] for r in parts.where("k = 7").groupBy("part").count().collect()]
     assert len(sizes) == 15 and max(sizes) < 60

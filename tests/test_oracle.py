@@ -48,3 +48,17 @@ def test_plans_stay_on_the_jvm_without_nested_loops(spark, name):
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_plans_are_compiled_as_whole_stages(spark):
+    """Projections, filters, joins and hash aggregates all carry the codegen mark."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, query in entry.queries().items():
+            lines = [line.lstrip(" :+-") for line in plan_of(query(spark, DATA)).splitlines()]
+            outside = [line for line in lines if line.startswith(
+                ("Project", "Filter", "Generate", "HashAggregate", "SortMergeJoin",
+                 "BroadcastHashJoin"))]
+            assert not outside, (name, outside)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
