@@ -138,7 +138,7 @@ def match_member(
         )
         keys += ["_any", "_tipo"]
     right = right.select(*keys, *kept)
-    hot_members = hot_keys(right, keys) if split_members else None
+    hot_members = hot_keys(right, keys, nulls=False) if split_members else None
     joined = skew_join(
         left, right, keys, "left", hot_left=hot_keys(left, keys), hot_right=hot_members
     )

@@ -47,26 +47,33 @@ def hot_keys(
     limit: int | None = None,
     small_input: int | None = None,
     inputs: Sequence[DataFrame] | None = None,
+    nulls: bool = True,
 ) -> DataFrame | None:
     """Keys with at least ``min_rows`` rows and the parts to cut each into, if any.
 
     None when the input is too small for any key to be hot; where ``df`` is a join, whose
     size Catalyst overestimates, ``inputs`` names the tables it was made from and their
     size is taken. Otherwise this runs one job: a frequent-items sketch over the key
-    columns, without a shuffle, whose result is a list of at most ``limit`` hashes. None,
-    too, if that list is empty, so that balanced data is joined plainly. The DataFrame
-    returned counts the keys on the list exactly; it is short enough to broadcast.
+    columns, without a shuffle of the rows, whose result is a list of at most ``limit``
+    hashes. None, too, if that list is empty, so that balanced data is joined plainly. The
+    DataFrame returned counts the keys on the list exactly; it is short enough to
+    broadcast. It has no row but is there when only NULL keys are many, which the left
+    side of a join spreads; ``nulls=False`` leaves them out of account.
     """
     if is_below(inputs or [df], SMALL_INPUT if small_input is None else small_input):
         return None
     min_rows = HOT_ROWS if min_rows is None else min_rows
     limit = HOT_LIMIT if limit is None else limit
     keys = list(keys)
-    rows = df.select(*keys).dropna(subset=keys).withColumn("_hash", F.xxhash64(*keys))
-    sketch = F.expr(f"approx_top_k(_hash, {limit}, {max(limit, SKETCH_ITEMS)})")
-    frequent = rows.agg(sketch.alias("top")).first().top
-    candidates = [item["item"] for item in frequent if item["count"] >= min_rows]
-    if not candidates:
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = df.select(*keys, F.when(known, F.xxhash64(*keys)).alias("_hash"))
+    sketch = f"approx_top_k(_hash, {limit}, {max(limit, SKETCH_ITEMS)})"
+    found = rows.agg(
+        F.expr(f"{sketch} FILTER (WHERE _hash IS NOT NULL)").alias("top"),
+        F.count_if(F.col("_hash").isNull()).alias("unknown"),
+    ).first()
+    candidates = [item["item"] for item in found.top or [] if item["count"] >= min_rows]
+    if not candidates and not (nulls and found.unknown >= min_rows):
         return None
     counted = rows.where(F.col("_hash").isin(candidates)).groupBy(*keys).agg(
         F.count("*").alias("_rows"))

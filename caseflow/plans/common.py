@@ -87,8 +87,9 @@ def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables)
     members = tables["aseg_afiliados"]
     hot_persons = None
     # Only a document that many members share can give a person many rows.
-    if hot_keys(members, ["numero_documento"]) is not None:
-        hot_persons = hot_keys(persons, [key], inputs=[tables["aus_personas"], members])
+    if hot_keys(members, ["numero_documento"], nulls=False) is not None:
+        hot_persons = hot_keys(persons, [key], nulls=False,
+                               inputs=[tables["aus_personas"], members])
     return skew_join(cases, persons, [key], "left", hot_left=hot_keys(base, [key]),
                      hot_right=hot_persons, spread_left=["case_id"])
 
@@ -98,7 +99,7 @@ def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Table
     meet once, and a case with very many services is split. The hot cases are counted
     on the service table itself, all rows of which are still in ``services``."""
     base = tables["aus_caso_servicios"].select(F.col("aus_casos_id").alias(key))
-    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]),
+    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key], nulls=False),
                      spread_right=["service_id"])
 
 

@@ -269,6 +269,17 @@ def test_hot_keys_are_cut_into_parts(skewed):
     assert hot_keys(left, ["k"], min_rows=301, small_input=0) is None
 
 
+def test_many_null_keys_are_spread(spark):
+    left = spark.createDataFrame([(None, i) for i in range(200)] + [(1, 1)], "k int, l int")
+    right = spark.createDataFrame([(1, 5), (None, 6)], "k int, r int")
+    found = hot(left)
+    assert found is not None and found.count() == 0
+    assert hot_keys(left, ["k"], min_rows=20, small_input=0, nulls=False) is None
+    assert hot_keys(left.where("k is null"), ["k"], min_rows=500, small_input=0) is None
+    joined = skew_join(left, right, ["k"], "left", hot_left=found)
+    assert rows(joined) == rows(left.join(right, ["k"], "left"))
+
+
 def test_parts_are_spread_and_repeatable(skewed):
     left, _ = skewed
     marked = left.join(hot(left).withColumnRenamed("_parts", "_left_parts"), ["k"], "left")
