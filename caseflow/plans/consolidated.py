@@ -68,20 +68,23 @@ def consolidated(
     municipality and code; the region always comes from the membership.
     ``consolidated(tables, **KEEP_TIES)`` and ``**ONE_ROW`` are the two issued forms.
     """
+    # Each attribute is computed at its own grain (user, site, case, person, service); the
+    # last step, which sees every pair, only renames and picks.
+    tables = {**tables, "gn_usuarios": tables["gn_usuarios"].withColumn(
+        "nombre", simple_upper(F.col("nombre")))}
     recent = period_filter(F.col("fecha_hora_crea"), min_year=min_year)
     cases = common.live_cases(tables).where(recent)
-    detail = cases.withColumnsRenamed({"id": "case_id", "aus_personas_id": "person_id"})
+    detail = _cases(cases, with_modified, collation)
     persons = _persons(tables, match, location_role, as_of, year_days, collation)
     detail = common.with_person(detail, persons, "person_id", tables)
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
-                              {"responsible": "nombre"}, hot_from=cases)
+                              {"responsable_caso": "nombre"}, hot_from=cases)
     closed = common.case_closings(tables, closing, collation, "fecha_cierre")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     services = _services(tables, provider_key, name_fallback, removals, collation)
     detail = common.with_services(detail, services, "case_id", tables)
 
     dates = {n: F.col(n) for n in (*_CASE_DATES, "fecha_asignado")}
-    modified = [F.col("fecha_hora_modifica").alias("fecha_modificacion_caso")]
     return detail.select(
         F.col("case_id").alias("numero_solicitud_pqrsf"),
         F.col("radicado").alias("radicado_SNS"),
@@ -98,8 +101,38 @@ def consolidated(
         "cod_divipola_afiliacion",
         "mpio_afiliacion",
         "region_afiliacion",
-        F.col("fecha_hora_crea").alias("fecha_creacion_caso"),
+        "fecha_creacion_caso",
         coalesce_milestones(dates, _CASE_DATES).alias("fecha_cierre_caso"),
+        "reabierto_supersalud",
+        "estado_caso",
+        "riesgo_de_vida",
+        "origen_pqrs",
+        "tipo_solicitud",
+        "ente_control",
+        "estado_servicio",
+        "cod_servicio",
+        "des_servicio",
+        F.col("fecha_asignado").alias("fecha_asignacion_servicio"),
+        coalesce_milestones(dates, _SOLUTION_DATES).alias("fecha_solucion_servicio"),
+        *(["fecha_modificacion_caso"] if with_modified else []),
+        # A case without a service has no flags recorded, hence the default label.
+        F.coalesce("medicamento", F.lit("NO")).alias("medicamento"),
+        F.coalesce("servicio_atribuido_ips", F.lit("NO")).alias("servicio_atribuido_ips"),
+        "responsable_caso",
+        "usuario_asignado_servicio",
+        "IPS_responsable_respuesta",
+        "nit_responsable_respuesta",
+    )
+
+
+def _cases(cases: DataFrame, with_modified: bool, collation: str) -> DataFrame:
+    modified = [F.col("fecha_hora_modifica").alias("fecha_modificacion_caso")]
+    return cases.select(
+        F.col("id").alias("case_id"),
+        F.col("aus_personas_id").alias("person_id"),
+        "gn_usuarios_responsable_id",
+        "radicado",
+        F.col("fecha_hora_crea").alias("fecha_creacion_caso"),
         common.reopened_by_regulator(collation).alias("reabierto_supersalud"),
         decode(F.col("mae_solicitud_estado_valor"), common.CASE_STATES, keep_other=True,
                collation=collation).alias("estado_caso"),
@@ -107,20 +140,7 @@ def consolidated(
         F.col("mae_solicitud_origen_valor").alias("origen_pqrs"),
         F.col("mae_solicitud_tipo_valor").alias("tipo_solicitud"),
         F.col("mae_solicitud_ente_contro_valor").alias("ente_control"),
-        F.col("mae_estado_valor").alias("estado_servicio"),
-        F.col("ma_tecnologia_codigo").alias("cod_servicio"),
-        F.col("ma_tecnologia_valor").alias("des_servicio"),
-        F.col("fecha_asignado").alias("fecha_asignacion_servicio"),
-        coalesce_milestones(dates, _SOLUTION_DATES).alias("fecha_solucion_servicio"),
         *(modified if with_modified else []),
-        # A case without a service has no flags recorded, hence the default label.
-        decode(F.col("medicamento"), {1: "SI"}, default="NO").alias("medicamento"),
-        decode(F.col("servicio_atribuido_ips"), {1: "SI", 3: "No aplica"}, default="NO")
-        .alias("servicio_atribuido_ips"),
-        simple_upper(F.col("responsible")).alias("responsable_caso"),
-        simple_upper(F.col("assignee")).alias("usuario_asignado_servicio"),
-        "IPS_responsable_respuesta",
-        "nit_responsable_respuesta",
     )
 
 
@@ -177,7 +197,7 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
     detail = services.withColumnsRenamed({"id": "service_id", "aus_casos_id": "case_id"})
     detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
-                              {"assignee": "nombre"}, hot_from=services)
+                              {"usuario_asignado_servicio": "nombre"}, hot_from=services)
 
     # Names are cleansed once per site, not once per service.
     site_name = F.col("nombre")
@@ -196,9 +216,16 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
         held = cleanse_text(F.col("cnt_prestador_sede_destino_valor"), removals)
         name = F.coalesce(name, held)
     return detail.select(
-        "case_id", "service_id", "mae_estado_valor", "ma_tecnologia_codigo",
-        "ma_tecnologia_valor", "medicamento", "servicio_atribuido_ips", "assignee",
-        *common.SERVICE_STATES.values(),
+        "case_id",
+        "service_id",
+        F.col("mae_estado_valor").alias("estado_servicio"),
+        F.col("ma_tecnologia_codigo").alias("cod_servicio"),
+        F.col("ma_tecnologia_valor").alias("des_servicio"),
+        decode(F.col("medicamento"), {1: "SI"}, default="NO").alias("medicamento"),
+        decode(F.col("servicio_atribuido_ips"), {1: "SI", 3: "No aplica"}, default="NO")
+        .alias("servicio_atribuido_ips"),
+        "usuario_asignado_servicio",
         name.alias("IPS_responsable_respuesta"),
         F.col("provider_document").alias("nit_responsable_respuesta"),
+        *common.SERVICE_STATES.values(),
     )

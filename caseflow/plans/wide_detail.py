@@ -54,11 +54,8 @@ def wide_detail(
     places = flatten_hierarchy(tables["gn_ubicaciones"], "id", "gn_ubicaciones_id",
                                ["prefijo", "nombre", "descripcion", "mae_region_valor"])
 
-    detail = cases.withColumnsRenamed({"id": "case_id", "aus_personas_id": "person_id"})
-    detail = lookup(detail, places, "gn_ubicaciones_id", "id",
-                    {"case_prefix": "prefijo", "case_parent_prefix": "parent_prefijo",
-                     "municipio_pqrd": "nombre"}, hot_from=cases,
-                    sized_by=[tables["gn_ubicaciones"]])
+    # Each attribute is computed at its own grain; the last step only renames and picks.
+    detail = _cases(cases, places, tables, collation)
     persons = _persons(tables, places, match, as_of, year_days, collation)
     detail = common.with_person(detail, persons, "person_id", tables)
     closed = common.case_closings(tables, "one", collation, "fecha_cierre_caso")
@@ -75,26 +72,25 @@ def wide_detail(
         "estado_afiliacion",
         "regimen_afiliacion",
         "grupo_poblacional",
-        # Outside the person step: a case without a person counts as unknown too.
-        common.disability(F.col("member_disability"), F.col("person_disability"))
+        # A case without a person counts as unknown too.
+        F.coalesce("disability", common.disability(F.lit(None), F.lit(None)))
         .alias("discapacidad_afectado"),
         "cod_divipola_afiliacion",
         "mpio_afiliacion",
         "region_afiliacion",
-        geo_code(F.col("case_parent_prefix"), F.col("case_prefix")).alias("cod_pqrd"),
+        "cod_pqrd",
         "municipio_pqrd",
         F.col("case_id").alias("numero_solicitud_pqrsf"),
         F.col("radicado").alias("radicado_SNS"),
-        F.col("fecha_hora_crea").alias("fecha_creacion_caso"),
-        decode(F.col("mae_solicitud_riesgo_vidal_valor"), common.LIFE_RISK, keep_other=True,
-               collation=collation).alias("riesgo_vida"),
-        F.col("mae_solicitud_estado_valor").alias("estado_caso"),
-        F.col("mae_solicitud_origen_valor").alias("origen_pqrd"),
-        F.col("mae_solicitud_tipo_valor").alias("tipo_solicitud"),
-        F.col("mae_solicitud_ente_contro_valor").alias("ente_control"),
-        F.coalesce("mae_motivo_especifico_valor", "service_reason").alias("motivo_especifico"),
-        F.col("mae_tipo_motivo_especifico_valor").alias("tipo_motivo_especifico"),
-        F.col("mae_subtipo_motivo_especifico_valor").alias("subtipo_motivo_especifico"),
+        "fecha_creacion_caso",
+        "riesgo_vida",
+        "estado_caso",
+        "origen_pqrd",
+        "tipo_solicitud",
+        "ente_control",
+        F.coalesce("case_reason", "service_reason").alias("motivo_especifico"),
+        "tipo_motivo_especifico",
+        "subtipo_motivo_especifico",
         "fecha_cierre_caso",
         "cantidad_servicios",
         "medicamento",
@@ -105,7 +101,7 @@ def wide_detail(
         "fecha_cierre_servicio",
         "codigo_servicio_pqrd",
         "descripcion_servicio_pqrd",
-        common.reopened_by_regulator(collation).alias("reabierto_Supersalud"),
+        "reabierto_Supersalud",
     )
     # Distinct while the case id is still the column the rows are partitioned by, so that
     # no further shuffle is needed; only then is the id made text.
@@ -113,6 +109,32 @@ def wide_detail(
         "numero_solicitud_pqrsf", F.col("numero_solicitud_pqrsf").cast("string"))
 
 
+def _cases(cases, places, tables, collation) -> DataFrame:
+    placed = lookup(cases, places, "gn_ubicaciones_id", "id",
+                    {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
+                     "municipio_pqrd": "nombre"}, hot_from=cases,
+                    sized_by=[tables["gn_ubicaciones"]])
+    return placed.select(
+        F.col("id").alias("case_id"),
+        F.col("aus_personas_id").alias("person_id"),
+        "radicado",
+        geo_code(F.col("parent_prefix"), F.col("prefix")).alias("cod_pqrd"),
+        "municipio_pqrd",
+        F.col("fecha_hora_crea").alias("fecha_creacion_caso"),
+        decode(F.col("mae_solicitud_riesgo_vidal_valor"), common.LIFE_RISK, keep_other=True,
+               collation=collation).alias("riesgo_vida"),
+        F.col("mae_solicitud_estado_valor").alias("estado_caso"),
+        F.col("mae_solicitud_origen_valor").alias("origen_pqrd"),
+        F.col("mae_solicitud_tipo_valor").alias("tipo_solicitud"),
+        F.col("mae_solicitud_ente_contro_valor").alias("ente_control"),
+        F.col("mae_motivo_especifico_valor").alias("case_reason"),
+        F.col("mae_tipo_motivo_especifico_valor").alias("tipo_motivo_especifico"),
+        F.col("mae_subtipo_motivo_especifico_valor").alias("subtipo_motivo_especifico"),
+        "cantidad_servicios",
+        common.reopened_by_regulator(collation).alias("reabierto_Supersalud"),
+    )
+
+
 def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
     persons = tables["aus_personas"].select(
         F.col("id").alias("person_id"),
@@ -144,7 +166,8 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("Edad_actual"),
         F.coalesce("mae_sexo_codigo", "mae_genero_codigo").alias("genero_afectado"),
         "estado_afiliacion", "regimen_afiliacion", "grupo_poblacional",
-        "member_disability", "person_disability",
+        common.disability(F.col("member_disability"), F.col("person_disability"))
+        .alias("disability"),
         geo_code(F.col("parent_prefix"), F.col("prefix")).alias("cod_divipola_afiliacion"),
         common.municipality_name(F.col("municipality"), collation).alias("mpio_afiliacion"),
         common.region_name(F.col("region"), collation).alias("region_afiliacion"),
