@@ -7,12 +7,14 @@ import os
 from pyspark.sql import SparkSession
 
 # Plans are adapted at run time: partitions are merged or split by their real size, and a
-# skewed sort-merge join is cut even where that costs a shuffle further on.
+# skewed sort-merge join is cut even where that costs a shuffle further on. Generated code
+# is named without the number of its stage, so that a repeated plan compiles nothing anew.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.useIdInClassName": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -308,7 +308,8 @@ def domain_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[st
     schemas = registry()
     statements = {n: DOMAIN_SQL[n].replace("{explode}", SPARK_EXPLODE) for n in names}
     used = {n: [b for b in BASE_TABLES if "{" + b + "}" in sql] for n, sql in statements.items()}
-    base = {b: base_table(spark, folder, b) for bases in used.values() for b in bases}
+    needed = {b for bases in used.values() for b in bases}
+    base = {b: base_table(spark, folder, b) for b in sorted(needed)}
     return {
         n: conform(spark.sql(sql, **{b: base[b] for b in used[n]}), schemas[n], name=n)
         for n, sql in statements.items()
