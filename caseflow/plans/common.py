@@ -61,14 +61,18 @@ def disability(member: Column, person: Column) -> Column:
 
 
 def case_closings(tables: Tables, ties: str, collation: str, name: str) -> DataFrame:
-    """Time of the last closing entry per case (each tied entry with ``ties='all'``)."""
+    """Time of the last closing entry per case (each tied entry with ``ties='all'``).
+
+    An entry without a time is no closing: it could not be last, nor tie with another.
+    """
+    closing = ci_eq(F.col("mae_estado_valor"), CASE_CLOSED, collation)
     log = tables["aus_seguimientos"].select("aus_casos_id", "mae_estado_valor", "fecha_hora_crea")
     last = latest_per_key(
         log,
         ["aus_casos_id"],
         order="fecha_hora_crea",
         tie_break=[],
-        where=ci_eq(F.col("mae_estado_valor"), CASE_CLOSED, collation),
+        where=closing & F.col("fecha_hora_crea").isNotNull(),
         cols=["fecha_hora_crea"],
         ties=ties,
     )

@@ -41,6 +41,8 @@ ONE_ROW: dict[str, Any] = {
     "name_fallback": "service", "removals": LONG_REMOVALS, "with_modified": False,
 }
 
+NAME_FALLBACKS = ("empty", "service")
+
 _CASE_DATES = ("fecha_cierre", "fecha_resuelto", "fecha_cerrado")
 _SOLUTION_DATES = ("fecha_cerrado", "fecha_resuelto")
 
@@ -68,6 +70,8 @@ def consolidated(
     municipality and code; the region always comes from the membership.
     ``consolidated(tables, **KEEP_TIES)`` and ``**ONE_ROW`` are the two issued forms.
     """
+    if name_fallback not in NAME_FALLBACKS:
+        raise ValueError(f"name_fallback must be one of {NAME_FALLBACKS}, not {name_fallback!r}")
     # Each attribute is computed at its own grain (user, site, case, person, service); the
     # last step, which sees every pair, only renames and picks.
     tables = {**tables, "gn_usuarios": tables["gn_usuarios"].withColumn(

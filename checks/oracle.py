@@ -8,6 +8,7 @@ join, and joins that the Spark plans leave out are kept.
 from __future__ import annotations
 
 from caseflow.data.subregions import SUBREGIONS, UNCLASSIFIED
+from caseflow.plans.person_history import FEEDS
 from caseflow.plans.wide_detail import NAME_REMOVALS
 from caseflow.sources.star_schema import BASE_TABLES, DOMAIN_SQL
 from checks.queries import AS_OF, EVENT_TYPES, PERSON, SUBREGION_SAMPLE
@@ -598,4 +599,7 @@ ORACLE: dict[str, str] = {
     "history_urgent": _feed("urgencia"),
     "history_stays": _feed("hospitalizacion"),
     "history_procedures": _feed("procedimiento"),
+    "history_labels": _with([_FEED_SQL["urgencia"][0]], f"""
+        SELECT {", ".join(f'{o} AS "{label}"' for o, label in FEEDS["urgencia"].labels.items())}
+        FROM ({_feed_select("urgencia", timeline=False)}) AS rows"""),
 }

@@ -365,6 +365,10 @@ def _feed(name: str) -> Query:
         lambda t: plans.feed_history(t, PERSON, since="1998-01-01")[name])
 
 
+history_labels = _report(
+    HISTORY_TABLES,
+    lambda t: plans.feed_history(t, PERSON, since="1998-01-01", labels=True)["urgencia"])
+
 QUERIES: dict[str, Query] = {
     "latest_status": latest_status,
     "first_status": first_status,
@@ -407,4 +411,5 @@ QUERIES: dict[str, Query] = {
     "history_urgent": _feed("urgencia"),
     "history_stays": _feed("hospitalizacion"),
     "history_procedures": _feed("procedimiento"),
+    "history_labels": history_labels,
 }

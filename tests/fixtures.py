@@ -105,6 +105,8 @@ ROWS = {
         _log(8, 13, "CERRADO", "2024-05-01"),
         _log(9, 12, "EN TRAMITE", "2024-02-02"),
         _log(10, 777, "CERRADO", "2024-02-02"),
+        _log(11, 12, "CERRADO", None),
+        _log(12, 12, "CERRADO", None),
     ],
     "aus_servicio_gestiones": [
         _step(1000, "Asignado", None),

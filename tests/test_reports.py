@@ -80,7 +80,8 @@ def test_ties_repeat_the_case(tables):
     ties = plans.consolidated(tables, **form, as_of=AS_OF)
     one = plans.consolidated(tables, **{**form, "closing": "one"}, as_of=AS_OF)
     key = ["numero_solicitud_pqrsf", "numero_servicio"]
-    # Two tied closing entries of case 10, and both of its services twice.
+    # Two tied closing entries of case 10, and both of its services twice. The entries of
+    # case 12 have no time and do not tie.
     assert rows(ties, *key) == [(10, 1000)] * 2 + [(10, 1004)] * 2 + [
         (11, 1001), (11, 1002), (12, None), (17, None), (19, None)]
     assert rows(one, *key) == [(10, 1000), (10, 1004), (11, 1001), (11, 1002), (12, None),
@@ -136,6 +137,21 @@ def test_closing_precedence_differs(tables):
     assert got == {11: ts("2023-07-10")}
 
 
+def test_unknown_choices_are_refused(tables):
+    for wrong in ({"name_fallback": "x"}, {"closing": "x"}, {"match": "x"}):
+        with pytest.raises(ValueError):
+            plans.consolidated(tables, **{**ONE_ROW, **wrong})
+
+
+def test_forms_agree_without_ties(spark, tables):
+    log = tables["aus_seguimientos"].where("id <> 3")
+    same = {**KEEP_TIES, "min_year": 2021}
+    untied = {**tables, "aus_seguimientos": log}
+    ties = plans.consolidated(untied, **same, as_of=AS_OF)
+    one = plans.consolidated(untied, **{**same, "closing": "one"}, as_of=AS_OF)
+    assert rows(ties) == rows(one)
+
+
 def test_location_role(tables):
     place = plans.consolidated(tables, **ONE_ROW, location_role="membership")
     assert place.where("numero_servicio = 1000").first().cod_divipola_afiliacion == "05088"
@@ -218,6 +234,19 @@ def test_tracking(tables):
     ], key=repr)
 
 
+def test_tracking_closed_segments_are_disjoint(tables):
+    out = plans.monthly_tracking(tables)
+    closed = out.where("grupo_caso like '2-%' or grupo_caso like '3-%'")
+    keys = [c for c in out.columns if c not in ("grupo_caso", "Nro_pqrd")]
+    assert closed.count() == closed.select(keys).distinct().count()
+
+
+def test_tracking_display_names(tables):
+    from caseflow.functions import with_labels
+
+    assert with_labels(plans.monthly_tracking(tables), {"anio": "año"}).columns[0] == "año"
+
+
 def test_tracking_years(tables):
     bounded = plans.monthly_tracking(tables, other_month_created_years=[2023],
                                      open_years=[2024, 2025])
