@@ -1,5 +1,7 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseflow.sources import conform, load_tables, registry, table_names
 from caseflow.sources.star_schema import DOMAIN_SQL, domain_tables
@@ -33,9 +35,6 @@ def test_casts_aliases_and_extra_columns(spark):
 
 def test_bad_codes_fail_instead_of_vanishing(spark):
     raw = spark.createDataFrame([("x", 1)], "activo string, other int")
-    from pyspark.errors import PySparkException
-    from pyspark.sql.types import StructType
-
     with pytest.raises(PySparkException):
         conform(raw, StructType.fromDDL("activo int")).collect()
 
@@ -48,6 +47,7 @@ def test_catalog_tables_with_namespace(spark):
     spark.catalog.dropTempView("gn_usuarios")
     with pytest.raises(Exception, match="clinic"):
         load_tables(spark, names=["gn_usuarios"], namespace="clinic")
+    spark.sql("DROP DATABASE clinic")
 
 
 def test_single_files_and_other_formats(spark, tables, tmp_path):
