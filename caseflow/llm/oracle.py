@@ -1,3 +1,30 @@
 """SQL for the operators that SQL can express, by query name."""
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP5 = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + 12) AS words
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM item
+        WHERE len(w) > 0)),
+doc AS (SELECT doc_id, row_number() OVER () AS row_id, {_WORDS} AS w FROM documents),
+window_of AS (
+  SELECT row_id, i, n, list_slice(w, i, i + n - 1) AS words
+  FROM (SELECT row_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+        FROM doc, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n)),
+hit AS (SELECT row_id, i, n, item_id FROM window_of JOIN wanted USING (n, words)),
+place AS (SELECT row_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT row_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY row_id),
+named AS (
+  SELECT row_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY row_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN place USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5,
+}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseflow.llm import simhash
+from caseflow.llm import decontaminate, simhash
 from caseflow.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,16 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, read(spark, folder, "benchmark"))
+    found = decontaminate.with_contamination(found)
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias(
+        "n_items"), listed, "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
