@@ -25,6 +25,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN place USING (row_id) LEFT JOIN named USING (row_id)
 """
 
+OP7 = r"""
+WITH rule AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(rule_host, rule_path, v)),
+part AS (
+  SELECT row_number() OVER () AS row_id, page_id,
+         CASE WHEN strpos(coalesce(url, ''), '://') > 0
+              THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (
+  SELECT row_id, page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part),
+fit AS (
+  SELECT row_id, rule_host || rule_path AS rule, v,
+         row_number() OVER (PARTITION BY row_id
+                            ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS place
+  FROM page JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host))
+                     AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM page LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (row_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op7_url_filters": OP7,
     "op5_benchmark_decontamination": OP5,
 }

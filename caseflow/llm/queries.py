@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, simhash
+from caseflow.llm import decontaminate, simhash, url_rules
 from caseflow.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,23 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "n_items"), listed, "contaminated")
 
 
+# Host, path and verdict of each rule.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(read(spark, folder, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_url_filters": op7_url_filters,
 }
