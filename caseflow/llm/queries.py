@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, simhash, url_rules
+from caseflow.llm import decontaminate, line_chunks, simhash, url_rules
 from caseflow.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,14 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return line_chunks.remove_repeated(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
+    "op8_line_dedup": op8_line_dedup,
 }
