@@ -47,7 +47,22 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM page LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (row_id)
 """
 
+OP1 = """
+WITH whole AS (
+  SELECT row_number() OVER () AS row_id, vec_id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.vec_id
+                            ORDER BY list_inner_product(q.v, r.v) DESC, r.vec_id) AS place
+  FROM whole q JOIN whole r ON q.vec_id <> r.vec_id AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM scored WHERE place <= 5
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_exact_top_k": OP1,
     "op7_url_filters": OP7,
     "op5_benchmark_decontamination": OP5,
 }

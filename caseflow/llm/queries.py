@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, line_chunks, simhash, url_rules
-from caseflow.llm.tables import read
+from caseflow.llm import decontaminate, line_chunks, simhash, topk, toxicity, url_rules
+from caseflow.llm.tables import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows.where(F.pmod("vec_id", F.lit(50)) == 0), rows, 5)
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").where(fold("doc_id", 5) != 0)
+    weights, bias = toxicity.fit(docs, labels)
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, weights, bias).select("doc_id", held_out, "score", predicted)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -47,6 +61,8 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
