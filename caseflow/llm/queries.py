@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, line_chunks, simhash, topk, toxicity, url_rules
+from caseflow.llm import decontaminate, line_chunks, quality, simhash, topk, toxicity, url_rules
 from caseflow.llm.tables import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.remove_repeated(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read(spark, folder, "labels").where(fold("doc_id", 3) != 1)
+    scores = quality.quality_scores(read(spark, folder, "documents"), labels)
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out, "score", predicted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_toxicity": op3_toxicity,
@@ -67,4 +75,5 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
