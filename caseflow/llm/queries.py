@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, line_chunks, quality, simhash, topk, toxicity, url_rules
+from caseflow.llm import (
+    decontaminate,
+    line_chunks,
+    quality,
+    simhash,
+    suffix_tree,
+    topk,
+    toxicity,
+    url_rules,
+)
 from caseflow.llm.tables import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +69,14 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.remove_repeated(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scores = suffix_tree.score(docs, fold("doc_id", 5) != 1)
+    held_out = (fold("doc_id", 5) == 1).alias("held_out")
+    return scores.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").where(fold("doc_id", 3) != 1)
     scores = quality.quality_scores(read(spark, folder, "documents"), labels)
@@ -75,5 +92,6 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_model": op9_language_model,
     "op10_quality_classifier": op10_quality_classifier,
 }
