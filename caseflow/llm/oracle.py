@@ -2,6 +2,35 @@
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP2 = r"""
+WITH message AS (
+  SELECT CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, conv_id,
+         coalesce(turn // 4096, 0) AS part, turn, coalesce(role, 'unknown') AS role,
+         coalesce(text, '') AS text
+  FROM conversations),
+speaker AS (SELECT DISTINCT alone, conv_id, part, role AS speaker FROM message
+            WHERE role <> 'system'),
+seen AS (
+  SELECT s.alone, s.conv_id, s.part, s.speaker, m.turn, m.role, m.text, m.role = s.speaker AS own,
+         '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant'
+           WHEN m.role = 'system' THEN 'system'
+           ELSE 'user name=' || replace(regexp_replace(m.role, '\s+', '_', 'g'), '<|', '< |') END
+           || chr(10) AS header,
+         replace(m.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM speaker s JOIN message m ON s.alone IS NOT DISTINCT FROM m.alone
+    AND s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.part = m.part),
+placed AS (
+  SELECT *, sum(length(header) + length(body)) OVER (
+           PARTITION BY alone, conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text
+           ROWS UNBOUNDED PRECEDING) AS stop FROM seen)
+SELECT conv_id, part, speaker, CAST(count(*) AS INTEGER) AS n_turns,
+       CAST(count(*) FILTER (own) AS INTEGER) AS n_own,
+       string_agg(header || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+       string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT), ','
+                  ORDER BY turn NULLS FIRST, role, text) FILTER (own) AS mask
+FROM placed GROUP BY alone, conv_id, part, speaker
+"""
+
 OP5 = f"""
 WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 wanted AS (
@@ -63,6 +92,7 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM scored WHERE
 
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": OP1,
+    "op2_chat_formatting": OP2,
     "op7_url_filters": OP7,
     "op5_benchmark_decontamination": OP5,
 }

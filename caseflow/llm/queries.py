@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import (
+    chat,
     decontaminate,
     line_chunks,
     quality,
@@ -49,6 +50,12 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "n_items"), listed, "contaminated")
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.perspectives(read(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"]))
+    return views.withColumn("mask", F.array_join(spans, ","))
+
+
 # Host, path and verdict of each rule.
 URL_RULES = [
     ("net", "/", "block"),
@@ -87,6 +94,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
