@@ -90,7 +90,65 @@ scored AS (
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM scored WHERE place <= 5
 """
 
+
+
+def _level(name: str, parents: str, above: str, weight: str) -> str:
+    """CTEs that share the budgets of ``above`` among the nodes of one level."""
+    path = f"{parents}, {name}" if parents else name
+    group = f"PARTITION BY {parents}" if parents else ""
+    source = (f"(SELECT {path}, sum(capacity) AS capacity FROM leaf GROUP BY {path}) "
+              + (f"JOIN {above} USING ({parents})" if parents else f"CROSS JOIN {above}"))
+    return f"""
+{name}_node AS (SELECT {path}, capacity, above, {weight} AS weight FROM {source}),
+{name}_order AS (
+  SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS taken,
+         sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still
+  FROM {name}_node WHERE weight > 0
+  WINDOW w AS ({group} ORDER BY CAST(capacity AS DOUBLE) / weight, {name})),
+{name}_full AS (SELECT *, (above - taken) * weight >= capacity * still AS is_full
+                FROM {name}_order),
+{name}_share AS (
+  SELECT {path}, CASE WHEN is_full THEN capacity ELSE
+           ((above - coalesce(sum(capacity) FILTER (is_full) OVER ({group}), 0)) * weight)
+           // coalesce(sum(weight) FILTER (NOT is_full) OVER ({group}), 1) END AS above
+  FROM {name}_full)"""
+
+
+OP6 = f"""
+WITH doc AS (
+  SELECT doc_id, 'domain' || CAST(CAST(nullif(regexp_extract(source, '^src([0-9]+)$', 1), '')
+           AS BIGINT) % 3 AS VARCHAR) AS domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents),
+leaf AS (
+  SELECT coalesce(domain, chr(0)) AS d, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s,
+         CAST(sum(n_tokens) AS HUGEINT) AS supply, CAST(sum(n_tokens) AS HUGEINT) * 4 AS capacity
+  FROM doc GROUP BY ALL),
+whole AS (SELECT sum(supply) * 80 // 100 AS above FROM leaf),
+{_level("d", "", "whole", "CASE d WHEN 'domain0' THEN 2 WHEN 'domain1' THEN 5 "
+        "WHEN 'domain2' THEN 3 ELSE 1 END")},
+{_level("l", "d", "d_share", "CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 "
+        "WHEN 'es' THEN 1 ELSE 1 END")},
+{_level("s", "d, l", "l_share", "1")},
+plan AS (
+  SELECT d, l, s, CASE WHEN supply > 0 THEN above // supply ELSE 0 END AS epochs,
+         CASE WHEN supply > 0 THEN above % supply ELSE 0 END AS rest
+  FROM leaf JOIN s_share USING (d, l, s)),
+placed AS (
+  SELECT doc.*, d, l, s, epochs, rest,
+         CAST('0x' || substr(sha256('13:' || CAST(epochs AS VARCHAR) || ':'
+              || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+  FROM doc JOIN plan ON coalesce(domain, chr(0)) = d AND coalesce(lang, chr(0)) = l
+                    AND coalesce(source, chr(0)) = s),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY d, l, s ORDER BY place) AS total FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens,
+       CAST(epochs + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM run WHERE epochs + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END > 0
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_source_mixing": OP6,
     "op1_exact_top_k": OP1,
     "op2_chat_formatting": OP2,
     "op7_url_filters": OP7,

@@ -11,6 +11,7 @@ from caseflow.llm import (
     chat,
     decontaminate,
     line_chunks,
+    mixing,
     quality,
     simhash,
     suffix_tree,
@@ -56,6 +57,24 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return views.withColumn("mask", F.array_join(spans, ","))
 
 
+# The tree of the mixture. Sources are grouped into domains by their number.
+MIX_LEVELS = {
+    "domain": "'domain' || try_cast(regexp_extract(source, '^src([0-9]+)$', 1) AS bigint) % 3",
+    "lang": "lang",
+    "source": "source",
+}
+MIX_WEIGHTS = {
+    "domain": {"domain0": 2, "domain1": 5, "domain2": 3},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+}
+
+
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, budget_percent=80, seed=13)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 # Host, path and verdict of each rule.
 URL_RULES = [
     ("net", "/", "block"),
@@ -98,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_source_mixing": op6_source_mixing,
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_model": op9_language_model,
