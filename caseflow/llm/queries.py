@@ -67,11 +67,13 @@ MIX_WEIGHTS = {
     "domain": {"domain0": 2, "domain1": 5, "domain2": 3},
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
 }
+# The mixture's size, in hundredths of all tokens, and the seed of its orders.
+MIX_PERCENT, MIX_SEED = 80, 13
 
 
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, budget_percent=80, seed=13)
+    mixed = mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, MIX_PERCENT, seed=MIX_SEED)
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
