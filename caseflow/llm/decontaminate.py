@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.tables import need
+from caseflow.llm.tables import keeps_names, need, others
 from caseflow.llm.words import NOT_ALNUM, Lookup, Piece, pieces
 
 WINDOW = 13
@@ -223,6 +223,7 @@ def _blocks(items: DataFrame, id: str, text: str, window: int, size: int) -> Ite
         yield _queries(block, window)
 
 
+@keeps_names
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
             item_text: str = "text", window: int = WINDOW, within: int | None = None,
             words: str = "n_words", found: str = "matches",
@@ -242,7 +243,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """
     need(docs, text)
     need(items, item_id, item_text)
-    kept = [c for c in docs.columns if c not in (words, found)]
+    kept = others(docs, words, found)
     out = docs.select(*kept, F.col(text).alias("_text"))
     lists = []
     for queries in _blocks(items, item_id, item_text, window, block_words):

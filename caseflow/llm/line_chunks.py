@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.tables import need
+from caseflow.llm.tables import keeps_names, need, others
 
 # A line of this many words or more is a passage, and a chunk, of its own.
 PASSAGE_WORDS = 50
@@ -103,6 +103,7 @@ def repeated_chunks(docs: DataFrame, id: str, text: str, passage_words: int) ->
     return alike.where("texts = 1 AND places > 1").select("hash", "keeper")
 
 
+@keeps_names
 def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
                     passage_words: int = PASSAGE_WORDS, removed: str = "n_removed",
                     lines: str = "n_lines") -> DataFrame:
@@ -117,7 +118,7 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
     Columns named like the two counts are replaced.
     """
     need(docs, id, text)
-    docs = docs.drop(*[c for c in (removed, lines) if c not in (id, text)])
+    docs = docs.select(*others(docs, removed, lines))
     repeated = repeated_chunks(docs, id, text, passage_words)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.tables import need, saved
+from caseflow.llm.tables import need, others, saved
 
 # How often a document may be taken at most.
 MAX_EPOCHS = 4
@@ -148,8 +148,9 @@ def mix(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mappin
     need(docs, id, text)
     names = list(levels)
     inner = [f"_level{i}" for i in range(len(names))]
-    kept = [c for c in docs.columns if c not in (*names, "n_tokens", "copies")]
-    whole = docs.select(*[F.col(c) for c in kept], F.col(id).alias("_id"), *[
+    kept = others(docs, *names, "n_tokens", "copies")
+    # The documents' own columns stay in one of their own, where no name can clash.
+    whole = docs.select(F.struct(*kept).alias("_row"), F.col(id).alias("_id"), *[
         F.coalesce(F.expr(value).cast("string"), F.lit(NONE)).alias(level)
         for level, value in zip(inner, levels.values())], token_count(text).alias("n_tokens"))
     given = {level: weights.get(name, {}) for level, name in zip(inner, names)}
@@ -168,6 +169,6 @@ def mix(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mappin
     out = whole.join(_sent(chosen), inner)
     more = F.coalesce(epoch_order("_id", seed, F.col("epochs")) <= F.col("cut"), F.lit(False))
     out = out.withColumn("copies", (F.col("epochs") + more.cast("int")).cast("int"))
-    return out.where("copies > 0").select(*kept, *[
+    return out.where("copies > 0").select("_row.*", *[
         F.nullif(F.col(level), F.lit(NONE)).alias(name) for level, name in zip(inner, names)],
         "n_tokens", "copies")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.tables import need, saved
+from caseflow.llm.tables import keeps_names, need, others, saved
 from caseflow.llm.words import BLANKS, pieces, ranges, text_buffers
 
 # Kinds of bytes whose shares are statistics; the last are all others.
@@ -84,10 +84,11 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
+@keeps_names
 def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
     """``docs`` without ``text``, with the statistics of whole texts as ``name``."""
     need(docs, text)
-    rest = docs.drop(text) if name == text else docs.drop(text, name)
+    rest = docs.select(*others(docs, text, name))
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
     rows = docs.select(*rest.columns, F.col(text).alias("_text"))
 

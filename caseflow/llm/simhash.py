@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from caseflow.llm.components import connected_components
-from caseflow.llm.tables import need, saved
+from caseflow.llm.tables import keeps_names, need, others, saved
 from caseflow.llm.words import BLANKS, Piece, pieces
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -59,6 +59,7 @@ def _fingerprints(piece: Piece, shingle: int) -> Iterator[int]:
         yield _fingerprint(np.fromiter(hashed, np.uint64, words - width + 1))
 
 
+@keeps_names
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
                  name: str = "fingerprint") -> DataFrame:
     """The rows without ``text`` but with their 64-bit SimHash, a long.
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     A column called like the result is replaced.
     """
     need(docs, text)
-    rest = docs.drop(text) if name == text else docs.drop(text, name)
+    rest = docs.select(*others(docs, text, name))
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.LongType())])
     docs = docs.select(*rest.columns, F.col(text).alias("_text"))
 
@@ -274,6 +275,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
         F.col("_id").alias(id), digits, "component_id")
 
 
+@keeps_names
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
                          shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every component: that with the component's smallest ``id``.

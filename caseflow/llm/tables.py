@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,33 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(folds)).cast("int")
 
 
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose working columns begin with an underscore: columns of the first
+    table that do so too are given other names while the operator runs."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **named):
+        away = {c: f"kept{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+        if not away:
+            return operator(df, *args, **named)
+        out = operator(df.withColumnsRenamed(away), *[_renamed(a, away) for a in args],
+                       **{k: _renamed(a, away) for k, a in named.items()})
+        if isinstance(out, DataFrame):
+            out = out.withColumnsRenamed({new: old for old, new in away.items()})
+        return out
+
+    return run
+
+
+def _renamed(value, names: dict[str, str]):
+    return names.get(value, value) if isinstance(value, str) else value
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns not called like one of ``names``, in upper or lower case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

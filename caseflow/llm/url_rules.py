@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.tables import need
+from caseflow.llm.tables import keeps_names, need, others
 
 # Rules that are sent to the tasks at once; a longer list takes more sweeps.
 BLOCK_RULES = 200_000
@@ -152,6 +152,7 @@ def _blocks(rules: DataFrame, size: int) -> Iterator[list[tuple[str, str, str]]]
         yield block
 
 
+@keeps_names
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW,
           block_rules: int = BLOCK_RULES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (host and path) and ``verdict``.
@@ -169,7 +170,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
     """
     need(pages, url)
     need(rules, "host", "path", "verdict")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = others(pages, "host", "path", "rule", "verdict")
     # The URL is copied first: it may itself be called like a result.
     rows = pages.select(*kept, F.col(url).alias("_url"))
     rows = rows.withColumns({"host": url_host("_url"), "path": url_path("_url")}).drop("_url")

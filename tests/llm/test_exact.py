@@ -21,7 +21,9 @@ DOC_SCHEMA = "doc_id long, text string"
 
 def docs_of(spark, rows, extra=True):
     df = spark.createDataFrame(rows, DOC_SCHEMA)
-    return df.selectExpr("*", "1 AS score", "'x' AS n_words", "2 AS _id") if extra else df
+    return df.selectExpr(
+        "*", "1 AS Score", "'x' AS n_Words", "2 AS _id", "3 AS _text", "4 AS _row", "5 AS _key",
+        "6 AS _print", "7 AS epochs", "8 AS _order") if extra else df
 
 
 def key(row):
@@ -87,7 +89,10 @@ def test_bit_slices_find_every_pair_and_large_buckets_are_cut(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    kept = simhash.drop_near_duplicates(docs_of(spark, DOCS)).select("doc_id", "text")
+    kept = simhash.drop_near_duplicates(docs_of(spark, DOCS))
+    assert kept.columns == docs_of(spark, DOCS).columns
+    assert kept.select("_id", "_text", "_row").distinct().collect() == [(2, 3, 4)]
+    kept = kept.select("doc_id", "text")
     by_id = dict(DOCS)
     ids = {c for _, _, c in plain.near_duplicates(DOCS)}
     same(kept, [(i, by_id[i]) for i in ids])
@@ -185,7 +190,7 @@ def test_url_rules(spark, block):
     rules = spark.createDataFrame(RULES + [(None, "/", "block")],
                                   "host string, path string, verdict string")
     rows = list(enumerate(URLS * 3))
-    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "7 AS rule")
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "7 AS Rule", "8 AS _key")
 
     def judged(url):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -221,7 +226,7 @@ def test_mixture_of_awkward_rows(spark):
     rows = [(i, "t " * (i % 7), "en" if i % 3 else None, f"s{i % 2}") for i in range(60)]
     rows += [(None, "t", "en", "s0"), (1, "t t", "en", "s1"), (70, None, "de", "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    docs = docs.selectExpr("*", "1 AS copies")
+    docs = docs.selectExpr("*", "1 AS copies", "2 AS epochs", "3 AS cut", "4 AS _level0")
     mixed = mixing.mix(docs, {"lang": "lang", "source": "source"}, {"lang": {"en": 3}}, 150)
     found = mixed.collect()
     total = sum(len((t or "").split()) for _, t, _, _ in rows)
