@@ -55,12 +55,13 @@ def loose_eq(col: Column, number: Column | float) -> Column:
     return mysql_number(col) == other.cast("double")
 
 
-# Not a character, so no text holds it.
-_STAND_IN = "\uffff"
+# Characters whose upper case is longer than one character, and as many that have no case.
+_GROWING = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+_STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
 
 
 def simple_upper(col: Column) -> Column:
-    """Upper case with one character for one: ß stays, where Spark would write SS."""
-    kept = F.replace(F.upper(F.replace(col, F.lit("ß"), F.lit(_STAND_IN))),
-                     F.lit(_STAND_IN), F.lit("ß"))
-    return F.when(F.contains(col, F.lit("ß")), kept).otherwise(F.upper(col))
+    """Upper case with one character for one: a character that Spark would write as
+    several, such as ß or ŉ, stays as it is."""
+    kept = F.translate(F.upper(F.translate(col, _GROWING, _STAND_INS)), _STAND_INS, _GROWING)
+    return F.when(F.length(F.upper(col)) == F.length(col), F.upper(col)).otherwise(kept)

@@ -47,14 +47,17 @@ def _top_per_key(
 
     if not tie_break:
         raise ValueError("tie_break is required when columns besides the order are kept")
-    # Structs compare field by field with NULL lowest, so max() is newest first with
-    # NULLs last and min() is oldest first with NULLs first. One row per key leaves
-    # each map task, however hot the key.
+    # Newest first with NULLs last, or oldest first with NULLs first. Spark keeps one row
+    # per key of each map task before the shuffle, however hot the key.
     fields = list(dict.fromkeys([order, *tie_break, *payload]))
-    row = F.struct(*fields)
-    top = (F.max(row) if latest else F.min(row)).alias("_top")
-    grouped = df.groupBy(*keys).agg(top)
-    return grouped.select(*keys, *[F.col("_top")[c].alias(c) for c in payload])
+    if latest:
+        by = [F.col(c).desc_nulls_last() for c in fields]
+    else:
+        by = [F.col(c).asc_nulls_first() for c in fields]
+    needed = list(dict.fromkeys([*keys, *fields]))
+    numbered = df.select(*needed).withColumn(
+        "_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return numbered.where(F.col("_row") == 1).select(*keys, *payload)
 
 
 def latest_per_key(
@@ -85,8 +88,8 @@ def first_per_key(
 ) -> DataFrame:
     """The oldest row per key: ``order`` ascending, then ``tie_break`` ascending.
 
-    A NULL time counts as the oldest, as in the source database; ``milestones``
-    ignores NULL times.
+    A NULL time counts as the oldest, as in the source database; ``milestones`` does so
+    on request.
     """
     return _top_per_key(df, keys, order, tie_break, where, cols, ties, latest=False)
 
@@ -99,20 +102,29 @@ def milestones(
     states: Mapping[str, str] | Sequence[str],
     agg: str = "min",
     collation: str = BINARY,
+    unknown: str = "ignore",
 ) -> DataFrame:
     """First (or last) time each state was reached, one column per state.
 
     One scan and one shuffle whatever the number of states, and fixed-size partial
     results per key. ``states`` maps a state to its column name. Keys that never
-    reached any of the states are absent; NULL times are ignored.
+    reached any of the states are absent. NULL times are ignored, or with
+    ``unknown='first'`` come before all others, so that the first time is then NULL.
     """
+    if unknown not in ("ignore", "first"):
+        raise ValueError(f"unknown must be 'ignore' or 'first', not {unknown!r}")
     if agg not in ("min", "max"):
         raise ValueError(f"agg must be 'min' or 'max', not {agg!r}")
     names = dict(states) if isinstance(states, Mapping) else {s: s for s in states}
     keys = [key] if isinstance(key, str) else list(key)
     pick = F.min if agg == "min" else F.max
-    columns = [
-        pick(F.when(ci_eq(F.col(state), value, collation), F.col(ts))).alias(name)
-        for value, name in names.items()
-    ]
+
+    def reached(value: str) -> Column:
+        here = ci_eq(F.col(state), value, collation)
+        time = pick(F.when(here, F.col(ts)))
+        if unknown == "ignore" or agg == "max":
+            return time
+        return F.when(F.count_if(here & F.col(ts).isNull()) == 0, time)
+
+    columns = [reached(value).alias(name) for value, name in names.items()]
     return df.where(ci_in(F.col(state), list(names), collation)).groupBy(*keys).agg(*columns)

@@ -20,7 +20,6 @@ def lookup(
     cols: Mapping[str, str] | Sequence[str],
     prefix: str = "",
     how: str = "left",
-    hot_from: DataFrame | None = None,
     require_unique: bool = False,
     sized_by: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
@@ -29,8 +28,8 @@ def lookup(
     ``cols`` maps new names to dimension columns, or lists columns to be named with
     ``prefix``; joining the same dimension again under another prefix gives it a
     second role. The dimension is broadcast only if its estimated size is small. Past
-    that, rows of hot keys are split when ``hot_from`` names the rows to count them on
-    (a base table with ``left_key``), and NULL keys are spread.
+    that, adaptive execution chooses the join by the sizes it finds, and cuts hot and NULL
+    keys of ``df``, the side that a left join lets it cut.
 
     A dimension that is itself a join of unique keys is sized by the tables it was made
     from, given as ``sized_by``: the estimate for a join is far too high.
@@ -51,8 +50,7 @@ def lookup(
     if is_below(sized_by or [dim], skew.BROADCAST_LIMIT):
         joined = df.join(F.broadcast(side), [left_key], how)
     else:
-        hot = None if hot_from is None else hot_keys(hot_from, [left_key])
-        joined = skew_join(df, side, [left_key], how, hot_left=hot)
+        joined = df.join(side, [left_key], how)
     return joined.select(*df.columns, *names)
 
 
@@ -107,8 +105,9 @@ def match_member(
     persons and members never has pairs built only to be rejected.
 
     Persons without a document match nobody; documents that are blank match each other.
-    Documents held by very many persons or members are split; ``split_members=False``
-    saves counting the members when they are already down to a few rows per document.
+    Documents held by very many members are split, those of very many persons are left to
+    adaptive execution. ``split_members=False`` saves counting the members when they are
+    already down to a few rows per document.
     """
     if mode not in MATCH_MODES:
         raise ValueError(f"mode must be one of {MATCH_MODES}, not {mode!r}")
@@ -138,8 +137,6 @@ def match_member(
         )
         keys += ["_any", "_tipo"]
     right = right.select(*keys, *kept)
-    hot_members = hot_keys(right, keys, nulls=False) if split_members else None
-    joined = skew_join(
-        left, right, keys, "left", hot_left=hot_keys(left, keys), hot_right=hot_members
-    )
+    hot_members = hot_keys(right, keys) if split_members else None
+    joined = skew_join(left, right, keys, "left", hot_right=hot_members)
     return joined.select(*person.columns, *kept)

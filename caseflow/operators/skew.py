@@ -11,16 +11,8 @@ from pyspark.sql import functions as F
 
 # A key with this many rows is cut into parts of about this many rows.
 HOT_ROWS = 1_000_000
-# The list of hot keys is collected and broadcast, so its length is bounded. Keys past
-# the bound are the least hot ones; they are joined unsplit and lose nothing but balance.
-HOT_LIMIT = 4096
-# Counters of the sketch that finds candidates. A key is sure to be found once it holds
-# more than about 1 / 30,000 of the rows.
-SKETCH_ITEMS = 100_000
 # Rows with a NULL key match nothing; they are spread over this many parts.
 NULL_PARTS = 1024
-# Inputs estimated below this size are joined directly: no key of theirs can be too big.
-SMALL_INPUT = 1 << 30
 # A dimension estimated below this size is broadcast.
 BROADCAST_LIMIT = 10 << 20
 
@@ -40,49 +32,20 @@ def is_below(inputs: Sequence[DataFrame], limit: int) -> bool:
     return all(size is not None for size in sizes) and sum(sizes) < limit
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    min_rows: int | None = None,
-    limit: int | None = None,
-    small_input: int | None = None,
-    inputs: Sequence[DataFrame] | None = None,
-    nulls: bool = True,
-) -> DataFrame | None:
-    """Keys with at least ``min_rows`` rows and the parts to cut each into, if any.
-
-    None when the input is too small for any key to be hot; where ``df`` is a join, whose
-    size Catalyst overestimates, ``inputs`` names the tables it was made from and their
-    size is taken. Otherwise this runs one job: a frequent-items sketch over the key
-    columns, without a shuffle of the rows, whose result is a list of at most ``limit``
-    hashes. None, too, if that list is empty, so that balanced data is joined plainly. The
-    DataFrame returned counts the keys on the list exactly; it is short enough to
-    broadcast. It has no row but is there when only NULL keys are many, which the left
-    side of a join spreads; ``nulls=False`` leaves them out of account.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
+    """Keys with at least ``min_rows`` rows and the parts to cut each into.
+
+    The list is part of the plan of the join that uses it: nothing runs before that join
+    does. Keys are counted exactly and as they are compared, so that spellings that a
+    collation holds equal are one key. Each map task sends one count per key. The list is
+    no longer than the number of rows divided by ``min_rows``, a million keys for 10^12
+    rows, and is sent to every task. NULL keys match nothing and are not listed.
     """
-    if is_below(inputs or [df], SMALL_INPUT if small_input is None else small_input):
-        return None
     min_rows = HOT_ROWS if min_rows is None else min_rows
-    limit = HOT_LIMIT if limit is None else limit
-    keys = list(keys)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    rows = df.select(*keys, F.when(known, F.xxhash64(*keys)).alias("_hash"))
-    sketch = f"approx_top_k(_hash, {limit}, {max(limit, SKETCH_ITEMS)})"
-    found = rows.agg(
-        F.expr(f"{sketch} FILTER (WHERE _hash IS NOT NULL)").alias("top"),
-        F.count_if(F.col("_hash").isNull()).alias("unknown"),
-    ).first()
-    candidates = [item["item"] for item in found.top or [] if item["count"] >= min_rows]
-    if not candidates and not (nulls and found.unknown >= min_rows):
-        return None
-    counted = rows.where(F.col("_hash").isin(candidates)).groupBy(*keys).agg(
-        F.count("*").alias("_rows"))
-    return (
-        counted.where(F.col("_rows") >= min_rows)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(limit)
-        .select(*keys, F.ceil(F.col("_rows") / min_rows).cast("int").alias("_parts"))
-    )
+    counted = df.where(known).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    parts = F.ceil(F.col("_rows") / min_rows).cast("int").alias("_parts")
+    return counted.where(F.col("_rows") >= min_rows).select(*keys, parts)
 
 
 def _part(columns: Sequence[str], keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
@@ -120,13 +83,16 @@ def skew_join(
     The result is that of the plain join. ``hot_right`` must be counted on rows that are
     all present in ``right``: a left join drops the null-padded copies of a key on the
     strength of its being there. ``hot_left`` affects balance only.
+
+    Without either, the join is left to adaptive execution, which cuts what is hot on a
+    side that the kind of join lets it cut: both of an inner, the left of a left join.
     """
     keys = list(keys)
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     if hot_left is None and hot_right is None:
-        return left.join(right.hint("merge"), keys, how).select(*columns)
+        return left.join(right, keys, how).select(*columns)
 
     on = [*keys]
     if hot_left is not None:
@@ -144,7 +110,7 @@ def skew_join(
         right = right.withColumn("_hit", F.lit(True))
         left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))
         on.append("_right_part")
-    joined = left.join(right.hint("merge"), on, how)
+    joined = left.join(right, on, how)
     if hot_right is not None and how == "left":
         padded = F.col("_right_parts").isNotNull() & F.col("_hit").isNull()
         joined = joined.where(~padded)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.data.subregions import SUBREGIONS, UNCLASSIFIED
 from caseflow.functions import DEFAULT_COLLATION, ci_in, period_filter, wait_days
 from caseflow.functions.semantics import BINARY
-from caseflow.operators import classify, hot_keys, mapping_table, skew_join
+from caseflow.operators import classify, mapping_table, skew_join
 from caseflow.plans.common import Tables
 
 TABLES = ["au_anexos3", "au_anexos4", "au_anexo4_items"]
@@ -46,14 +46,12 @@ def authorization_wait(
                       inclusive_end=inclusive_end)
     ).withColumnRenamed("id", "au_anexos3_id")
     granted = tables["au_anexos4"].withColumnRenamed("id", "au_anexos4_id")
-    granted = skew_join(granted, requests, ["au_anexos3_id"], "inner",
-                        hot_left=hot_keys(granted, ["au_anexos3_id"]))
+    granted = skew_join(granted, requests, ["au_anexos3_id"], "inner")
     granted = classify(granted, "afiliado_municipio", mapping_table(granted.sparkSession, classes),
                        default_class, name="subregion_ant", fold=collation != BINARY)
     items = tables["au_anexo4_items"].where(
         ci_in(F.col("ma_tecnologia_codigo"), list(codes), collation))
-    rows = skew_join(items, granted, ["au_anexos4_id"], "inner",
-                     hot_left=hot_keys(items, ["au_anexos4_id"]))
+    rows = skew_join(items, granted, ["au_anexos4_id"], "inner")
     waited = wait_days(F.col("fecha_solicitud"), F.col("fecha_autorizacion"))
     return rows.select("fecha_solicitud", "fecha_autorizacion", waited.alias("dias_espera"),
                        *_PERSON, *_ITEM, "numero_autorizacion", "subregion_ant")

@@ -26,8 +26,13 @@ def case_detail(
     match: str = "type_or_truthy",
     closing_order: tuple[str, ...] = ("closed_case", "fecha_resuelto"),
     collation: str = DEFAULT_COLLATION,
+    unknown_time: str = "first",
 ) -> DataFrame:
-    """One row per live case and service, created in ``min_year`` or later."""
+    """One row per live case and service, created in ``min_year`` or later.
+
+    A service whose log has an entry of a state without a time has reached that state at
+    no known time with ``unknown_time='first'``; ``'ignore'`` takes the earliest known.
+    """
     recent = period_filter(F.col("fecha_hora_crea"), min_year=min_year)
     cases = common.live_cases(tables).where(recent)
     detail = cases.select(
@@ -38,12 +43,13 @@ def case_detail(
                collation=collation).alias("EstadoCaso"),
         common.reopened_by_regulator(collation).alias("reabierto_Supersalud"),
     )
-    detail = common.with_person(detail, _persons(tables, match, collation), "person_id", tables)
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
-                              {"ResponsableCaso": "nombre"}, hot_from=cases)
+                              {"ResponsableCaso": "nombre"})
+    detail = common.with_person(detail, _persons(tables, match, collation), "person_id", tables,
+                                collation)
     closed = common.case_closings(tables, "one", collation, "closed_case")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
-    detail = common.with_services(detail, _services(tables, collation), "case_id", tables)
+    detail = common.with_services(detail, _services(tables, collation, unknown_time), "case_id", tables)
 
     dates = {n: F.col(n) for n in ("closed_case", "fecha_asignado", "fecha_estudio",
                                    "fecha_cerrado", "fecha_resuelto", "service_created")}
@@ -86,19 +92,19 @@ def _persons(tables: Tables, match: str, collation: str) -> DataFrame:
     matched = match_member(persons, members, "documento", "mae_tipo_documento_codigo", match,
                            "numero_documento", "member_tipo", collation)
     placed = lookup(matched, tables["gn_ubicaciones"], "afiliacion_ubicaciones_id", "id",
-                    {"municipio_afiliacion": "nombre", "region": "mae_region_valor"},
-                    hot_from=members)
+                    {"municipio_afiliacion": "nombre", "region": "mae_region_valor"})
     return placed.select(
         "person_id", "mae_tipo_documento_codigo", "documento", "municipio_afiliacion",
         common.region_name(F.col("region"), collation).alias("region_afiliacion"))
 
 
-def _services(tables: Tables, collation: str) -> DataFrame:
+def _services(tables: Tables, collation: str, unknown_time: str) -> DataFrame:
     """Services with milestone dates, assigned user and destination site."""
     services = tables["aus_caso_servicios"]
     states = {s: n for s, n in common.SERVICE_STATES.items() if s != "Rechazado"}
     reached = milestones(tables["aus_servicio_gestiones"], "aus_servicios_id",
-                         "mae_estado_valor", "fecha_hora_crea", states, collation=collation)
+                         "mae_estado_valor", "fecha_hora_crea", states, collation=collation,
+                         unknown=unknown_time)
     detail = services.select(
         F.col("id").alias("service_id"), F.col("aus_casos_id").alias("case_id"),
         "gn_usuarios_asignado_id", "cnt_prestador_sede_destino_id", "mae_estado_valor",
@@ -106,6 +112,6 @@ def _services(tables: Tables, collation: str) -> DataFrame:
         F.col("fecha_hora_crea").alias("service_created"))
     detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
-                              {"usuario_asignado_servicio": "nombre"}, hot_from=services)
+                              {"usuario_asignado_servicio": "nombre"})
     return lookup(detail, tables["cnt_prestador_sedes"], "cnt_prestador_sede_destino_id", "id",
-                  {"IPSDestino": "nombre"}, hot_from=services)
+                  {"IPSDestino": "nombre"})

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions import BINARY, ci_eq, decode, exclude_codes, flag, not_deleted
+from caseflow.functions import BINARY, ci_eq, decode, exclude_codes, flag, fold, not_deleted
 from caseflow.operators import hot_keys, latest_per_key, lookup, skew_join
 
 Tables = Mapping[str, DataFrame]
@@ -84,18 +84,16 @@ def attach(df: DataFrame, per_key: DataFrame, key: str, per_key_key: str) -> Dat
     return skew_join(df, per_key.withColumnRenamed(per_key_key, key), [key], "left")
 
 
-def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables) -> DataFrame:
-    """Cases with their person's columns. One person may hold very many cases, and a
-    shared document may give one person very many member rows; both are split."""
-    base = tables["aus_casos"].select(F.col("aus_personas_id").alias(key))
-    members = tables["aseg_afiliados"]
-    hot_persons = None
-    # Only a document that many members share can give a person many rows.
-    if hot_keys(members, ["numero_documento"], nulls=False) is not None:
-        hot_persons = hot_keys(persons, [key], nulls=False,
-                               inputs=[tables["aus_personas"], members])
-    return skew_join(cases, persons, [key], "left", hot_left=hot_keys(base, [key]),
-                     hot_right=hot_persons, spread_left=["case_id"])
+def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables,
+                collation: str = BINARY) -> DataFrame:
+    """Cases with their person's columns. A document that very many members share gives
+    each of its persons as many rows; such persons are split by the members' number."""
+    documents = hot_keys(tables["aseg_afiliados"].select(
+        fold(F.col("numero_documento"), collation).alias("_document")), ["_document"])
+    base = tables["aus_personas"].select(
+        F.col("id").alias(key), fold(F.col("documento"), collation).alias("_document"))
+    hot = base.join(F.broadcast(documents), ["_document"]).select(key, "_parts")
+    return skew_join(cases, persons, [key], "left", hot_right=hot)
 
 
 def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables) -> DataFrame:
@@ -103,10 +101,9 @@ def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Table
     meet once, and a case with very many services is split. The hot cases are counted
     on the service table itself, all rows of which are still in ``services``."""
     base = tables["aus_caso_servicios"].select(F.col("aus_casos_id").alias(key))
-    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key], nulls=False),
+    return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]),
                      spread_right=["service_id"])
 
 
-def add_users(df: DataFrame, tables: Tables, key: str, cols: Mapping[str, str],
-              hot_from: DataFrame) -> DataFrame:
-    return lookup(df, tables["gn_usuarios"], key, "id", cols, hot_from=hot_from)
+def add_users(df: DataFrame, tables: Tables, key: str, cols: Mapping[str, str]) -> DataFrame:
+    return lookup(df, tables["gn_usuarios"], key, "id", cols)

@@ -80,9 +80,10 @@ def consolidated(
     cases = common.live_cases(tables).where(recent)
     detail = _cases(cases, with_modified, collation)
     persons = _persons(tables, match, location_role, as_of, year_days, collation)
-    detail = common.with_person(detail, persons, "person_id", tables)
+    # The user is an attribute of the case, so it is looked up before persons repeat cases.
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
-                              {"responsable_caso": "nombre"}, hot_from=cases)
+                              {"responsable_caso": "nombre"})
+    detail = common.with_person(detail, persons, "person_id", tables, collation)
     closed = common.case_closings(tables, closing, collation, "fecha_cierre")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     services = _services(tables, provider_key, name_fallback, removals, collation)
@@ -176,10 +177,10 @@ def _persons(tables, match, location_role, as_of, year_days, collation) -> DataF
                                ["prefijo", "descripcion"])
     placed = lookup(matched, places, "home_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
-                     "municipality": "descripcion"}, hot_from=members,
+                     "municipality": "descripcion"},
                     sized_by=[tables["gn_ubicaciones"]])
     placed = lookup(placed, tables["gn_ubicaciones"], "membership_id", "id",
-                    {"region": "mae_region_valor"}, hot_from=members)
+                    {"region": "mae_region_valor"})
     return placed.select(
         "person_id", "tipo_documento", "documento", "fecha_nacimiento",
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("edad"),
@@ -201,7 +202,7 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
     detail = services.withColumnsRenamed({"id": "service_id", "aus_casos_id": "case_id"})
     detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
-                              {"usuario_asignado_servicio": "nombre"}, hot_from=services)
+                              {"usuario_asignado_servicio": "nombre"})
 
     # Names are cleansed once per site, not once per service.
     site_name = F.col("nombre")
@@ -213,7 +214,6 @@ def _services(tables, provider_key, name_fallback, removals, collation) -> DataF
     sites = lookup(sites, tables["cnt_prestadores"], "provider_id", "id", ["numero_documento"])
     detail = lookup(detail, sites, "cnt_prestador_sede_destino_id", "site_id",
                     {"site_name": "site_name", "provider_document": "numero_documento"},
-                    hot_from=services,
                     sized_by=[tables["cnt_prestador_sedes"], tables["cnt_prestadores"]])
     name = F.col("site_name")
     if name_fallback == "service":

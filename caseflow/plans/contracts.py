@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import decode
-from caseflow.operators import hot_keys, lookup, skew_join
+from caseflow.operators import lookup, skew_join
 from caseflow.plans.common import Tables
 
 TABLES = ["cnt_contratos", "cnt_contrato_sedes", "cnt_contrato_detalles", "cnt_prestadores",
@@ -61,13 +61,11 @@ def _join_sites(tables: Tables, details: DataFrame) -> DataFrame:
     """Details joined once to the contract sites, which carry all other attributes."""
     contracts = tables["cnt_contratos"].withColumnRenamed("id", "cnt_contratos_id")
     sites = tables["cnt_contrato_sedes"].withColumnRenamed("id", "cnt_contrato_sedes_id")
-    sites = skew_join(sites, contracts, ["cnt_contratos_id"], "inner",
-                      hot_left=hot_keys(sites, ["cnt_contratos_id"]))
+    sites = skew_join(sites, contracts, ["cnt_contratos_id"], "inner")
     sites = lookup(sites, tables["cnt_prestadores"], "cnt_prestadores_id", "id",
-                   ["numero_documento", "razon_social"], hot_from=contracts)
+                   ["numero_documento", "razon_social"])
     sites = lookup(sites, tables["cnt_prestador_sedes"], "cnt_prestador_sedes_id", "id",
-                   ["ubicacion_id"], hot_from=tables["cnt_contrato_sedes"])
-    sites = lookup(sites, tables["gn_ubicaciones"], "ubicacion_id", "id", _PLACE,
-                   hot_from=tables["cnt_prestador_sedes"])
+                   ["ubicacion_id"])
+    sites = lookup(sites, tables["gn_ubicaciones"], "ubicacion_id", "id", _PLACE)
     sites = sites.select(*_KEYS, *_CONTRACT, "mae_modalidad_contrato_valor", *_PLACE)
-    return skew_join(details, sites, _KEYS, "inner", hot_left=hot_keys(details, _KEYS))
+    return skew_join(details, sites, _KEYS, "inner")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import DEFAULT_COLLATION, period_filter, simple_upper
-from caseflow.operators import count_by, hot_keys, lookup, skew_join, tagged_union
+from caseflow.operators import count_by, lookup, skew_join, tagged_union
 from caseflow.plans import common
 from caseflow.plans.common import Tables
 
@@ -54,9 +54,9 @@ def _case_info(tables: Tables, collation: str) -> DataFrame:
         F.col("mae_solicitud_riesgo_vidal_valor").alias("riesgo_vida"),
         F.col("mae_solicitud_estado_valor").alias("estado_caso"))
     info = lookup(info, tables["gn_ubicaciones"], "gn_ubicaciones_id", "id",
-                  {"mpio_caso": "nombre", "place_region": "mae_region_valor"}, hot_from=cases)
+                  {"mpio_caso": "nombre", "place_region": "mae_region_valor"})
     info = common.add_users(info, tables, "gn_usuarios_responsable_id",
-                            {"responsible": "nombre"}, hot_from=cases)
+                            {"responsible": "nombre"})
     return info.select(
         "id_caso", "fecha_creacion_caso", simple_upper(F.col("responsible")).alias("responsable_caso"),
         "origen", "riesgo_vida", "estado_caso", "mpio_caso",
@@ -66,8 +66,7 @@ def _case_info(tables: Tables, collation: str) -> DataFrame:
 def _case_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFrame:
     log = _recent(tables["aus_seguimientos"], min_year).select(
         F.col("aus_casos_id").alias("id_caso"), "id", *_log_columns())
-    joined = skew_join(log, info, ["id_caso"], "inner", hot_left=hot_keys(log, ["id_caso"]),
-                       spread_left=["id"])
+    joined = skew_join(log, info, ["id_caso"], "inner")
     return joined.withColumnRenamed("estado_caso", "estado_caso_servicio")
 
 
@@ -75,11 +74,10 @@ def _service_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFram
     services = tables["aus_caso_servicios"].select(
         F.col("aus_casos_id").alias("id_caso"), "id",
         F.col("mae_estado_valor").alias("estado_caso_servicio"))
-    services = skew_join(services, info.drop("estado_caso"), ["id_caso"], "inner",
-                         hot_left=hot_keys(services, ["id_caso"]), spread_left=["id"])
+    services = skew_join(services, info.drop("estado_caso"), ["id_caso"], "inner")
     log = _recent(tables["aus_servicio_gestiones"], min_year).select(
         F.col("aus_servicios_id").alias("id"), *_log_columns())
-    return skew_join(log, services, ["id"], "inner", hot_left=hot_keys(log, ["id"]))
+    return skew_join(log, services, ["id"], "inner")
 
 
 def _recent(log: DataFrame, min_year: int) -> DataFrame:

@@ -40,12 +40,14 @@ def wide_detail(
     match: str = "document",
     provider_key: str = "site_id",
     collation: str = DEFAULT_COLLATION,
+    unknown_time: str = "first",
 ) -> DataFrame:
     """Distinct rows of live cases, their person, places and services.
 
     Joins that could add no column to a distinct result (phones, unread statuses, the
     responsible user) are left out. ``provider_key`` takes the provider either by the
-    service's site id or through the site's foreign key.
+    service's site id or through the site's foreign key. ``unknown_time`` is that of
+    ``case_detail``.
     """
     if provider_key not in PROVIDER_KEYS:
         raise ValueError(f"provider_key must be one of {PROVIDER_KEYS}, not {provider_key!r}")
@@ -57,11 +59,11 @@ def wide_detail(
     # Each attribute is computed at its own grain; the last step only renames and picks.
     detail = _cases(cases, places, tables, collation)
     persons = _persons(tables, places, match, as_of, year_days, collation)
-    detail = common.with_person(detail, persons, "person_id", tables)
+    detail = common.with_person(detail, persons, "person_id", tables, collation)
     closed = common.case_closings(tables, "one", collation, "fecha_cierre_caso")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
     detail = common.with_services(
-        detail, _services(tables, provider_key, collation), "case_id", tables)
+        detail, _services(tables, provider_key, collation, unknown_time), "case_id", tables)
 
     rows = detail.select(
         F.col("tipo_documento").alias("tipo_identificacion_afectado"),
@@ -112,7 +114,7 @@ def wide_detail(
 def _cases(cases, places, tables, collation) -> DataFrame:
     placed = lookup(cases, places, "gn_ubicaciones_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
-                     "municipio_pqrd": "nombre"}, hot_from=cases,
+                     "municipio_pqrd": "nombre"},
                     sized_by=[tables["gn_ubicaciones"]])
     return placed.select(
         F.col("id").alias("case_id"),
@@ -143,7 +145,7 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
         "mae_sexo_codigo",
         F.col("discapacidad").alias("person_disability"),
     )
-    # The result is distinct, so members that agree in every column read count once.
+    # Members that agree in every column read are rare, and the result is distinct anyway.
     members = tables["aseg_afiliados"].select(
         "numero_documento",
         F.col("mae_tipo_documento_codigo").alias("member_tipo"),
@@ -154,13 +156,12 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
         F.col("mae_grupo_poblacional_valor").alias("grupo_poblacional"),
         F.col("discapacidad").alias("member_disability"),
         "residencia_ubicacion_id",
-    ).distinct()
+    )
     matched = match_member(persons, members, "documento", "tipo_documento", match,
                            "numero_documento", "member_tipo", collation)
     placed = lookup(matched, places, "residencia_ubicacion_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
-                     "municipality": "descripcion", "region": "mae_region_valor"},
-                    hot_from=members, sized_by=[tables["gn_ubicaciones"]])
+                     "municipality": "descripcion", "region": "mae_region_valor"}, sized_by=[tables["gn_ubicaciones"]])
     return placed.select(
         "person_id", "tipo_documento", "documento", "fecha_nacimiento",
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("Edad_actual"),
@@ -174,24 +175,23 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
     )
 
 
-def _services(tables, provider_key, collation) -> DataFrame:
+def _services(tables, provider_key, collation, unknown_time) -> DataFrame:
     services = tables["aus_caso_servicios"]
     reached = milestones(tables["aus_servicio_gestiones"], "aus_servicios_id",
                          "mae_estado_valor", "fecha_hora_crea",
                          {"Cerrado": "closed_at", "Resuelto": "solved_at"},
-                         collation=collation)
+                         collation=collation, unknown=unknown_time)
     detail = services.withColumnsRenamed({"id": "service_id", "aus_casos_id": "case_id"})
     detail = common.attach(detail, reached, "service_id", "aus_servicios_id")
     detail = common.add_users(detail, tables, "gn_usuarios_asignado_id",
-                              {"user_name": "nombre", "user_document": "documento"},
-                              hot_from=services)
+                              {"user_name": "nombre", "user_document": "documento"})
     sites, providers = tables["cnt_prestador_sedes"], tables["cnt_prestadores"]
     sizes = [sites, providers]
     if provider_key == "foreign_key":
         providers = lookup(sites, providers,
                            "cnt_prestador_id", "id", ["numero_documento"])
     detail = lookup(detail, providers, "cnt_prestador_sede_destino_id", "id",
-                    {"provider_document": "numero_documento"}, hot_from=services,
+                    {"provider_document": "numero_documento"},
                     sized_by=sizes)
     name = F.coalesce("user_name", "cnt_prestador_sede_destino_valor")
     return detail.select(

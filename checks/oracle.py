@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from caseflow.data.subregions import SUBREGIONS, UNCLASSIFIED
 from caseflow.plans.person_history import FEEDS
-from caseflow.plans.wide_detail import NAME_REMOVALS
 from caseflow.sources.star_schema import BASE_TABLES, DOMAIN_SQL
 from checks.queries import AS_OF, EVENT_TYPES, PERSON, SUBREGION_SAMPLE
 
+# Fixed values, spelt here anew: strings deleted from names, in this order.
+NAME_REMOVALS = [";", ",", "\r", "\n", "\t", '"', "&quot", "\r\n", "\n", "\t", "", "  "]
+
 _NAMES = {name: name for name in BASE_TABLES}
 
 
@@ -69,6 +71,18 @@ _REACHED = """reached AS (
            min(fecha_hora_crea) FILTER (mae_estado_valor = 'Resuelto') AS resuelto
     FROM aus_servicio_gestiones GROUP BY aus_servicios_id)"""
 
+# The first entry of each state by rank, in which an entry without a time comes first.
+_RANKED = """reached AS (
+    SELECT aus_servicios_id,
+           max(fecha_hora_crea) FILTER (mae_estado_valor = 'Asignado') AS asignado,
+           max(fecha_hora_crea) FILTER (mae_estado_valor = 'Estudio') AS estudio,
+           max(fecha_hora_crea) FILTER (mae_estado_valor = 'Cerrado') AS cerrado,
+           max(fecha_hora_crea) FILTER (mae_estado_valor = 'Resuelto') AS resuelto
+    FROM (SELECT * FROM aus_servicio_gestiones QUALIFY row_number() OVER (
+              PARTITION BY aus_servicios_id, mae_estado_valor
+              ORDER BY fecha_hora_crea ASC NULLS FIRST) = 1)
+    GROUP BY aus_servicios_id)"""
+
 _EVENT_COLUMNS = ", ".join(
     f"min(CASE WHEN event_type = '{e}' THEN ts END) AS first_{e}" for e in EVENT_TYPES)
 _EVENT_REACHED = f"reached AS (SELECT user_id, {_EVENT_COLUMNS} FROM events GROUP BY user_id)"
@@ -113,7 +127,7 @@ _CASE_DETAIL = _with(
     LEFT JOIN gn_ubicaciones g ON g.id = m.afiliacion_ubicaciones_id
     LEFT JOIN closed k ON k.aus_casos_id = c.id
     LEFT JOIN reached r ON r.aus_servicios_id = s.id
-    WHERE {_LIVE} AND year(c.fecha_hora_crea) >= 1998""", _CLOSED, _REACHED)
+    WHERE {_LIVE} AND year(c.fecha_hora_crea) >= 1998""", _CLOSED, _RANKED)
 
 _WIDE_DETAIL = _with(
     ["aus_casos", "aus_caso_servicios", "aus_seguimientos", "aus_servicio_gestiones",
@@ -173,7 +187,7 @@ _WIDE_DETAIL = _with(
     LEFT JOIN cnt_prestadores pr ON pr.id = s.cnt_prestador_sede_destino_id
     LEFT JOIN closed k ON k.aus_casos_id = c.id
     LEFT JOIN reached r ON r.aus_servicios_id = s.id
-    WHERE c.borrado <> 1 AND year(c.fecha_hora_crea) >= 1998""", _CLOSED, _REACHED)
+    WHERE c.borrado <> 1 AND year(c.fecha_hora_crea) >= 1998""", _CLOSED, _RANKED)
 
 
 def _consolidated(closed: str, year: int, provider_key: str, name: str, modified: str) -> str:
@@ -492,6 +506,16 @@ ORACLE: dict[str, str] = {
             SELECT l_orderkey, l_suppkey, count(*) AS site_lines FROM lineitem
             GROUP BY l_orderkey, l_suppkey) s
         ON s.l_orderkey = l.l_orderkey AND s.l_suppkey = l.l_suppkey""",
+    "match_strict_folded": _with(["aus_personas", "aseg_afiliados"], """
+        SELECT p.id AS person_id, lower(p.mae_tipo_documento_codigo) AS mae_tipo_documento_codigo,
+               p.documento || CASE p.id % 2 WHEN 0 THEN 'x\u00e9' ELSE 'XE' END AS documento,
+               m.mae_regimen_valor,
+               CAST(m.residencia_ubicacion_id AS BIGINT) AS residencia_ubicacion_id
+        FROM aus_personas p LEFT JOIN aseg_afiliados m
+        ON lower(strip_accents(m.numero_documento || 'Xe')) = lower(strip_accents(
+               p.documento || CASE p.id % 2 WHEN 0 THEN 'x\u00e9' ELSE 'XE' END))
+        AND lower(strip_accents(m.mae_tipo_documento_codigo)) =
+            lower(strip_accents(p.mae_tipo_documento_codigo))"""),
     "provider_chain": _with(
         ["aus_caso_servicios", "cnt_prestador_sedes", "cnt_prestadores"], """
         SELECT s.id, s.aus_casos_id, s.cnt_prestador_sede_destino_id,
@@ -500,6 +524,12 @@ ORACLE: dict[str, str] = {
         LEFT JOIN cnt_prestador_sedes site ON site.id = s.cnt_prestador_sede_destino_id
         LEFT JOIN cnt_prestadores a ON a.id = site.id
         LEFT JOIN cnt_prestadores b ON b.id = site.cnt_prestador_id"""),
+    "loaded_tables": """
+        SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, n_name
+        FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
+    "count_known_times": _with(["aus_servicio_gestiones"], """
+        SELECT mae_estado_valor, count(fecha_hora_crea) AS known
+        FROM aus_servicio_gestiones GROUP BY 1"""),
     "distinct_after_fanout": """
         SELECT DISTINCT c_nationkey, c_mktsegment
         FROM customer LEFT JOIN events ON user_id = c_custkey""",
@@ -583,6 +613,16 @@ ORACLE: dict[str, str] = {
         LEFT JOIN gn_ubicaciones m ON m.id = a.afiliacion_ubicaciones_id
         LEFT JOIN gn_ubicaciones d ON d.id = m.gn_ubicaciones_id
         WHERE a.mae_estado_afiliacion_valor = 'activo' GROUP BY 1"""),
+    # Other spellings of the labels that are compared must change nothing.
+    "case_detail_folded": _CASE_DETAIL,
+    "monthly_tracking_folded": _tracking("count(*)"),
+    "members_by_municipality_folded": _with(["aseg_afiliados", "gn_ubicaciones"], """
+        SELECT d.prefijo || m.prefijo AS cod_municipio_afiliacion,
+               count(*) AS cantidad_afiliados
+        FROM aseg_afiliados a
+        LEFT JOIN gn_ubicaciones m ON m.id = a.afiliacion_ubicaciones_id
+        LEFT JOIN gn_ubicaciones d ON d.id = m.gn_ubicaciones_id
+        WHERE lower(strip_accents(a.mae_estado_afiliacion_valor)) = 'activo' GROUP BY 1"""),
     "contract_tariffs": _with(_CONTRACT_TABLES, f"""
         SELECT DISTINCT {_CONTRACT_COLUMNS}, d.ma_tecnologia_codigo AS codigo_tecnologia,
                d.ma_tecnologia_valor, CAST(d.valor_manual AS DOUBLE) AS valor_manual,

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from caseflow import plans
 from caseflow.functions import (
     BINARY,
+    DEFAULT_COLLATION,
     age_years,
     ci_eq,
     cleanse_text,
@@ -53,6 +54,7 @@ from caseflow.plans.person_history import TABLES as HISTORY_TABLES
 from caseflow.plans.productivity import TABLES as PRODUCTIVITY_TABLES
 from caseflow.plans.wide_detail import NAME_REMOVALS
 from caseflow.plans.wide_detail import TABLES as WIDE_TABLES
+from caseflow.sources import load_tables
 from caseflow.sources.star_schema import base_table, domain_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,12 +161,17 @@ def role_playing(spark, folder):
     lines = base_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
     orders, nation = base_table(spark, folder, "orders"), base_table(spark, folder, "nation")
     customers, suppliers = base_table(spark, folder, "customer"), base_table(spark, folder, "supplier")
-    rows = lookup(lines, orders, "l_orderkey", "o_orderkey", ["o_custkey"], hot_from=lines)
-    rows = lookup(rows, customers, "o_custkey", "c_custkey", ["c_nationkey"], hot_from=orders)
-    rows = lookup(rows, suppliers, "l_suppkey", "s_suppkey", ["s_nationkey"], hot_from=lines)
-    rows = lookup(rows, nation, "c_nationkey", "n_nationkey", ["n_name"], prefix="customer_")
-    rows = lookup(rows, nation, "s_nationkey", "n_nationkey", ["n_name"], prefix="supplier_")
-    return count_by(rows, ["customer_n_name", "supplier_n_name"], name="lines")
+    # The customer's nation is put on the orders, so that line items are joined once; then
+    # they are counted, and suppliers and names come to what is left.
+    placed = lookup(orders.select("o_orderkey", "o_custkey"), customers, "o_custkey", "c_custkey",
+                    ["c_nationkey"])
+    rows = lookup(lines, placed, "l_orderkey", "o_orderkey", ["c_nationkey"])
+    counts = count_by(rows, ["l_suppkey", "c_nationkey"], name="lines")
+    counts = lookup(counts, suppliers, "l_suppkey", "s_suppkey", ["s_nationkey"])
+    counts = count_by(counts, ["c_nationkey", "s_nationkey"], weight="lines", name="lines")
+    counts = lookup(counts, nation, "c_nationkey", "n_nationkey", ["n_name"], prefix="customer_")
+    counts = lookup(counts, nation, "s_nationkey", "n_nationkey", ["n_name"], prefix="supplier_")
+    return count_by(counts, ["customer_n_name", "supplier_n_name"], weight="lines", name="lines")
 
 
 def _match(mode: str) -> Query:
@@ -180,6 +187,22 @@ def _match(mode: str) -> Query:
     return query
 
 
+def match_strict_folded(spark, folder):
+    """Documents and types that agree but for case and accents, under the default."""
+    tables = domain_tables(spark, folder, ["aus_personas", "aseg_afiliados"])
+    ending = F.when(F.col("id") % 2 == 0, "x\u00e9").otherwise("XE")
+    persons = tables["aus_personas"].select(
+        F.col("id").alias("person_id"),
+        F.lower("mae_tipo_documento_codigo").alias("mae_tipo_documento_codigo"),
+        F.concat("documento", ending).alias("documento"))
+    members = tables["aseg_afiliados"].select(
+        F.concat("numero_documento", F.lit("Xe")).alias("numero_documento"),
+        F.col("mae_tipo_documento_codigo").alias("member_tipo"),
+        "mae_regimen_valor", "residencia_ubicacion_id")
+    return match_member(persons, members, "documento", "mae_tipo_documento_codigo", "strict",
+                        "numero_documento", "member_tipo", DEFAULT_COLLATION)
+
+
 def inner_two_keys(spark, folder):
     lines = base_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
@@ -190,14 +213,30 @@ def inner_two_keys(spark, folder):
 def provider_chain(spark, folder):
     tables = domain_tables(spark, folder, ["aus_caso_servicios", "cnt_prestador_sedes",
                                            "cnt_prestadores"])
-    services, sites = tables["aus_caso_servicios"], tables["cnt_prestador_sedes"]
-    rows = services.select("id", "aus_casos_id", "cnt_prestador_sede_destino_id")
+    sites, providers = tables["cnt_prestador_sedes"], tables["cnt_prestadores"]
+    # One flat row per site with the document by either key, joined to the services once.
+    flat = sites.select("id", "cnt_prestador_id")
     for key in ("id", "cnt_prestador_id"):
-        flat = lookup(sites.select(F.col("id").alias("site_id"), F.col(key).alias("provider")),
-                      tables["cnt_prestadores"], "provider", "id", ["numero_documento"])
-        rows = lookup(rows, flat, "cnt_prestador_sede_destino_id", "site_id",
-                      {f"nit_by_{key}": "numero_documento"}, hot_from=services)
-    return rows
+        flat = lookup(flat, providers, key, "id", {f"nit_by_{key}": "numero_documento"})
+    rows = tables["aus_caso_servicios"].select(
+        "id", "aus_casos_id", "cnt_prestador_sede_destino_id")
+    return lookup(rows, flat, "cnt_prestador_sede_destino_id", "id",
+                  ["nit_by_id", "nit_by_cnt_prestador_id"], sized_by=[sites, providers])
+
+
+def loaded_tables(spark, folder):
+    """Tables read, checked and cast by the loader, one of them looked up in the other."""
+    schemas = {
+        "supplier": T.StructType.fromDDL("s_suppkey bigint, s_name string, s_nationkey bigint"),
+        "nation": T.StructType.fromDDL("n_nationkey bigint, n_name string"),
+    }
+    tables = load_tables(spark, folder, list(schemas), schemas=schemas)
+    return lookup(tables["supplier"], tables["nation"], "s_nationkey", "n_nationkey", ["n_name"])
+
+
+def count_known_times(spark, folder):
+    log = domain_tables(spark, folder, ["aus_servicio_gestiones"])["aus_servicio_gestiones"]
+    return count_by(log, ["mae_estado_valor"], non_null="fecha_hora_crea", name="known")
 
 
 def distinct_after_fanout(spark, folder):
@@ -223,7 +262,7 @@ def year_filters(spark, folder):
 def same_month(spark, folder):
     lines = base_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     orders = base_table(spark, folder, "orders")
-    rows = lookup(lines, orders, "l_orderkey", "o_orderkey", ["o_orderdate"], hot_from=lines)
+    rows = lookup(lines, orders, "l_orderkey", "o_orderkey", ["o_orderdate"])
     return rows.select("l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate",
                        same_period(F.col("o_orderdate"), F.col("l_shipdate")).alias("same"))
 
@@ -359,6 +398,27 @@ person_history = _report(
     HISTORY_TABLES, lambda t: plans.person_history(t, PERSON, since="1998-01-01"))
 
 
+def _respelt(tables):
+    """The labels that reports compare but do not show, in other case and with accents."""
+    odd = {"aus_seguimientos": "aus_casos_id", "aus_servicio_gestiones": "aus_servicios_id"}
+    out = dict(tables)
+    for name, key in ((n, k) for n, k in odd.items() if n in tables):
+        label = F.col("mae_estado_valor")
+        other = F.translate(F.lower(label), "aeo", "\u00e1\u00e9\u00f3")
+        out[name] = tables[name].withColumn("mae_estado_valor", F.when(
+            F.col(key) % 2 == 1, other).otherwise(F.upper(label)))
+    tipo = "mae_tipo_documento_codigo"
+    out["aseg_afiliados"] = tables["aseg_afiliados"].withColumn(tipo, F.lower(tipo))
+    return out
+
+
+case_detail_folded = _report(
+    CASE_TABLES, lambda t: plans.case_detail(_respelt(t), min_year=1998))
+monthly_tracking_folded = _report(
+    TRACKING_TABLES, lambda t: plans.monthly_tracking(_respelt(t), **TRACKING))
+members_by_municipality_folded = _report(MEMBERS_TABLES, plans.members_by_municipality)
+
+
 def _feed(name: str) -> Query:
     return _report(
         HISTORY_TABLES,
@@ -384,7 +444,10 @@ QUERIES: dict[str, Query] = {
     "match_document": _match("document"),
     "match_type_or_truthy": _match("type_or_truthy"),
     "inner_two_keys": inner_two_keys,
+    "match_strict_folded": match_strict_folded,
     "provider_chain": provider_chain,
+    "loaded_tables": loaded_tables,
+    "count_known_times": count_known_times,
     "distinct_after_fanout": distinct_after_fanout,
     "year_filters": year_filters,
     "same_month": same_month,
@@ -403,6 +466,9 @@ QUERIES: dict[str, Query] = {
     "monthly_tracking_distinct": monthly_tracking_distinct,
     "productivity": productivity,
     "members_by_municipality": members_by_municipality,
+    "case_detail_folded": case_detail_folded,
+    "monthly_tracking_folded": monthly_tracking_folded,
+    "members_by_municipality_folded": members_by_municipality_folded,
     "contract_tariffs": contract_tariffs,
     "contract_network": contract_network,
     "authorization_wait": authorization_wait,

@@ -245,7 +245,7 @@ def skewed(spark):
 
 
 def hot(df):
-    return hot_keys(df, ["k"], min_rows=20, small_input=0)
+    return hot_keys(df, ["k"], min_rows=20)
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -265,17 +265,14 @@ def test_hot_keys_are_cut_into_parts(skewed):
     left, right = skewed
     assert rows(hot(left)) == [(7, 15)]
     assert rows(hot(right)) == [(100, 3), (7, 2)]
-    assert rows(hot_keys(right, ["k"], min_rows=20, small_input=0, limit=1)) == [(100, 3)]
-    assert hot_keys(left, ["k"], min_rows=301, small_input=0) is None
+    assert rows(hot_keys(left, ["k"], min_rows=301)) == []
 
 
 def test_many_null_keys_are_spread(spark):
     left = spark.createDataFrame([(None, i) for i in range(200)] + [(1, 1)], "k int, l int")
     right = spark.createDataFrame([(1, 5), (None, 6)], "k int, r int")
     found = hot(left)
-    assert found is not None and found.count() == 0
-    assert hot_keys(left, ["k"], min_rows=20, small_input=0, nulls=False) is None
-    assert hot_keys(left.where("k is null"), ["k"], min_rows=500, small_input=0) is None
+    assert found.count() == 0
     joined = skew_join(left, right, ["k"], "left", hot_left=found)
     assert rows(joined) == rows(left.join(right, ["k"], "left"))
 
@@ -292,5 +289,12 @@ def test_parts_are_spread_and_repeatable(skewed):
     assert rows(parts) == rows(marked.repartition(7).select("k", "l", part))
 
 
-def test_small_inputs_are_not_counted(spark):
-    assert hot_keys(spark.read.parquet(f"{DATA}/lineitem.parquet"), ["l_suppkey"]) is None
+def test_spellings_that_compare_equal_are_one_key(spark):
+    rows_ = [("cc",)] * 40 + [("CC",)] * 40
+    df = spark.createDataFrame(rows_, "k string").select(F.collate("k", "UNICODE_CI_AI").alias("k"))
+    assert [r["_parts"] for r in hot_keys(df, ["k"], min_rows=50).collect()] == [2]
+
+
+def test_many_rows_of_one_key_in_a_small_file_are_split(spark, tmp_path):
+    spark.range(2_000_001).select(F.lit(7).alias("k")).write.parquet(str(tmp_path / "t"))
+    assert rows(hot_keys(spark.read.parquet(str(tmp_path / "t")), ["k"])) == [(7, 3)]

@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from caseflow import plans
 from caseflow.operators import skew
+from caseflow.sources import star_schema
 from checks.compare import compare, connect
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
@@ -12,7 +14,8 @@ from tests.conftest import DATA, plan_of
 SPLIT = ["case_detail", "wide_detail", "consolidated_ties", "consolidated_one",
          "monthly_tracking", "monthly_tracking_distinct", "productivity", "contract_tariffs",
          "contract_network", "authorization_wait", "match_strict", "match_document",
-         "match_type_or_truthy", "role_playing", "provider_chain"]
+         "match_type_or_truthy", "role_playing", "provider_chain", "case_detail_folded",
+         "match_strict_folded"]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +25,7 @@ def connection():
 
 
 def test_entry_points_agree():
-    assert list(QUERIES) == list(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
     assert QUERIES.items() <= entry.queries().items()
     assert ORACLE.items() <= entry.oracle_sql().items()
 
@@ -35,8 +38,7 @@ def test_query_equals_sql(spark, connection, name):
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_query_equals_sql_with_hot_keys_split(spark, connection, monkeypatch, name):
-    """Nothing is small, everything with two rows is hot, no dimension is broadcast."""
-    monkeypatch.setattr(skew, "SMALL_INPUT", 0)
+    """Everything with two rows is hot, no dimension is broadcast."""
     monkeypatch.setattr(skew, "BROADCAST_LIMIT", 0)
     monkeypatch.setattr(skew, "HOT_ROWS", 2)
     count, problem = compare(spark, connection, DATA, name)
@@ -66,3 +68,30 @@ def test_plans_are_compiled_as_whole_stages(spark):
             assert not outside, (name, outside)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+
+def test_building_a_report_runs_no_job(spark):
+    """Beyond the reading of file footers: hot keys are counted within the report's plan."""
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    tables = star_schema.domain_tables(spark, DATA, list(star_schema.DOMAIN_SQL))
+    context.setJobGroup("building", "")
+    plans.case_detail(tables)
+    plans.wide_detail(tables)
+    plans.consolidated(tables, **plans.KEEP_TIES)
+    plans.monthly_tracking(tables)
+    plans.productivity(tables)
+    plans.contract_tariffs(tables)
+    plans.authorization_wait(tables)
+    assert not tracker.getJobIdsForGroup("building")
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_hot_keys_are_counted_without_a_single_partition(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    assert "SinglePartition" not in plan_of(skew.hot_keys(lines, ["l_suppkey"]))
+
+
+def test_latest_rows_are_not_sort_aggregated(spark):
+    for name in ("latest_status", "first_status", "latest_inner"):
+        assert "SortAggregate" not in plan_of(QUERIES[name](spark, DATA))

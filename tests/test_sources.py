@@ -39,15 +39,40 @@ def test_bad_codes_fail_instead_of_vanishing(spark):
         conform(raw, StructType.fromDDL("activo int")).collect()
 
 
-def test_catalog_tables_with_namespace(spark):
-    spark.sql("CREATE DATABASE IF NOT EXISTS clinic")
+def test_values_that_a_cast_would_change_are_refused(spark):
+    whole = spark.sql("SELECT timestamp'2024-05-01 00:00:00' AS day, 3.0D AS code")
+    schema = StructType.fromDDL("day date, code int")
+    assert conform(whole, schema).first()["code"] == 3
+    for change in ("timestamp'2024-05-01 10:00:00' AS day, 3.0D AS code",
+                   "timestamp'2024-05-01 00:00:00' AS day, 3.5D AS code"):
+        with pytest.raises(PySparkException, match="would lose"):
+            conform(spark.sql(f"SELECT {change}"), schema).collect()
+
+
+def test_catalog_tables_with_namespace(spark, tables):
     spark.range(3).withColumn("nombre", F.lit("x")).withColumn("documento", F.lit("d")) \
         .createOrReplaceTempView("gn_usuarios")
     assert load_tables(spark, names=["gn_usuarios"])["gn_usuarios"].count() == 3
     spark.catalog.dropTempView("gn_usuarios")
-    with pytest.raises(Exception, match="clinic"):
-        load_tables(spark, names=["gn_usuarios"], namespace="clinic")
-    spark.sql("DROP DATABASE clinic")
+    spark.sql("CREATE DATABASE IF NOT EXISTS clinic")
+    try:
+        tables["gn_usuarios"].write.mode("overwrite").saveAsTable("clinic.gn_usuarios")
+        loaded = load_tables(spark, names=["gn_usuarios"], namespace="clinic")["gn_usuarios"]
+        assert sorted(loaded.collect()) == sorted(tables["gn_usuarios"].collect())
+    finally:
+        spark.sql("DROP DATABASE clinic CASCADE")
+
+
+def test_a_folder_beside_a_file_of_one_name_is_refused(spark, tables, tmp_path):
+    for name in ("gn_usuarios", "gn_usuarios.parquet"):
+        tables["gn_usuarios"].write.parquet(str(tmp_path / name))
+    with pytest.raises(ValueError, match="2 times"):
+        load_tables(spark, str(tmp_path), ["gn_usuarios"])
+
+
+def test_a_database_table_needs_partitions_or_consent(spark):
+    with pytest.raises(ValueError, match="single_task"):
+        load_tables(spark, {"url": "jdbc:none"}, ["gn_usuarios"])
 
 
 def test_single_files_and_other_formats(spark, tables, tmp_path):
