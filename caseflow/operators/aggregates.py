@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.functions.semantics import BINARY, fold
+
 _WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4}
 
 
@@ -18,9 +20,13 @@ def count_by(
     non_null: str | None = None,
     name: str = "n",
     weight: str | None = None,
+    collation: str = BINARY,
 ) -> DataFrame:
     """Rows per group, or rows with a value in ``non_null``.
 
+    Under a ``collation`` other than binary, spellings of a text dimension that it holds
+    equal are one group, shown as the smallest of them in binary order.
+
     ``weight`` sums a column of counts made earlier, so that a hot group can be
     counted before a join and finished after it.
     """
@@ -28,7 +34,17 @@ def count_by(
         measure = F.sum(weight)
     else:
         measure = F.count("*" if non_null is None else non_null)
-    return df.groupBy(*dims).agg(measure.alias(name))
+    if collation == BINARY:
+        return df.groupBy(*dims).agg(measure.alias(name))
+    # Spellings are counted first, by each map task, so that few rows are folded.
+    spelt = df.groupBy(*dims).agg(measure.alias(name))
+    keys = [c for c in spelt.columns if c != name]
+    texts = [f.name for f in spelt.schema.fields
+             if f.name in keys and isinstance(f.dataType, T.StringType)]
+    folded = [fold(F.col(c), collation).alias(f"_{c}") if c in texts else F.col(c) for c in keys]
+    grouped = spelt.groupBy(*folded).agg(
+        F.sum(name).alias(name), *[F.min(c).alias(c) for c in texts])
+    return grouped.select(*keys, name)
 
 
 def tagged_union(branches: Mapping[str, DataFrame], tag_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import (
+    BINARY,
     DEFAULT_COLLATION,
     ci_in,
     decode,
@@ -43,6 +44,7 @@ def monthly_tracking(
     match: str = "type_or_truthy",
     count_distinct_cases: bool = False,
     collation: str = DEFAULT_COLLATION,
+    grouping: str = BINARY,
 ) -> DataFrame:
     """Case counts per month, segment, origin, person and place of membership.
 
@@ -50,6 +52,9 @@ def monthly_tracking(
     ``count_distinct_cases`` once per place. The segment of cases closed in another
     month is not bounded by creation year unless ``other_month_created_years`` is given.
 
+    ``grouping`` is the collation under which labels fall into one group; the source
+    database groups as it compares, so ``grouping="UNICODE_CI_AI"`` is its meaning.
+
     Cases are read once: each row yields the segments it belongs to. Both the cases and
     the members are counted before they meet, so a person with very many cases or a
     document with very many members is a handful of rows by the time of the joins.
@@ -63,7 +68,7 @@ def monthly_tracking(
     joined = skew_join(counted, places, ["person_id"], "left")
     # A case without a person still counts, under empty person and place.
     weighted = joined.withColumn("weight", F.col("cases") * F.coalesce("members", F.lit(1)))
-    return count_by(weighted, DIMS, weight="weight", name="Nro_pqrd")
+    return count_by(weighted, DIMS, weight="weight", name="Nro_pqrd", collation=grouping)
 
 
 def _segments(tables, created_years, closed_years, same_month_created_years,

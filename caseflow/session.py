@@ -19,6 +19,13 @@ SETTINGS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Applies ``SETTINGS`` to a session of the user's own, and returns it."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(name: str, cpus: str | None = None, **settings: str) -> SparkSession:
     """A session on this machine for tests and benches. Jobs on a cluster bring their own."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

@@ -7,14 +7,75 @@ join, and joins that the Spark plans leave out are kept.
 
 from __future__ import annotations
 
-from caseflow.data.subregions import SUBREGIONS, UNCLASSIFIED
-from caseflow.plans.person_history import FEEDS
 from caseflow.sources.star_schema import BASE_TABLES, DOMAIN_SQL
 from checks.queries import AS_OF, EVENT_TYPES, PERSON, SUBREGION_SAMPLE
 
 # Fixed values, spelt here anew: strings deleted from names, in this order.
 NAME_REMOVALS = [";", ",", "\r", "\n", "\t", '"', "&quot", "\r\n", "\n", "\t", "", "  "]
 
+# Fixed values, spelt here anew: municipalities per subregion, and the label of the others.
+SUBREGIONS = {
+    "Valle de Aburrá": [
+        "MEDELLÍN", "BELLO", "ENVIGADO", "ITAGUI", "SABANETA", "LA ESTRELLA", "CALDAS",
+        "COPACABANA", "GIRARDOTA", "BARBOSA",
+    ],
+    "Oriente": [
+        "RIONEGRO", "MARINILLA", "LA CEJA", "EL CARMEN DE VIBORAL", "EL RETIRO",
+        "EL SANTUARIO", "GUARNE", "LA UNION", "SAN VICENTE FERRER", "ALEJANDRIA",
+        "CONCEPCION", "EL PEÑOL", "GRANADA", "GUATAPE", "SAN CARLOS", "SAN RAFAEL",
+        "COCORNA", "SAN FRANCISCO", "SAN LUIS", "ABEJORRAL", "ARGELIA", "NARIÑO",
+        "SONSON",
+    ],
+    "Norte": [
+        "SANTA ROSA DE OS", "SAN PEDRO DE LOS MILAGROS", "SAN JOSE DE LA MONTAÑA",
+        "DONMATIAS", "ENTRERIOS", "BELMIRA", "CAROLINA DEL PRINCIPE", "GOMEZ PLATA",
+        "GUADALUPE", "ANGOSTURA", "BRICEÑO", "CAMPAMENTO", "YARUMAL", "VALDIVIA",
+        "ITUANGO", "SAN ANDRES DE CUERQUIA", "TOLEDO",
+    ],
+    "Nordeste": [
+        "AMALFI", "ANORI", "CISNEROS", "REMEDIOS", "SEGOVIA", "SAN ROQUE",
+        "SANTO DOMINGO", "VEGACHI", "YALI", "YOLOMBO",
+    ],
+    "Occidente": [
+        "ANZA", "ARMENIA", "BURITICA", "CAICEDO", "EBEJICO", "GIRALDO", "HELICONIA",
+        "LIBORINA", "OLAYA", "SABANALARGA", "SAN JERONIMO", "SANTAFE DE ANTIO",
+        "SOPETRAN", "ABRIAQUI", "CANASGORDAS", "DABEIBA", "FRONTINO", "PEQUE", "URAMITA",
+    ],
+    "Suroeste": [
+        "CARAMANTA", "JERICO", "LA PINTADA", "MONTEBELLO", "PUEBLORRICO",
+        "SANTA BARBARA", "TAMESIS", "TARSO", "VALPARAISO", "BETULIA", "CONCORDIA",
+        "SALGAR", "URRAO", "ANDES", "BETANIA", "CIUDAD BOLIVAR", "HISPANIA", "JARDIN",
+        "AMAGA", "ANGELOPOLIS", "FREDONIA", "TITIRIBI", "VENECIA",
+    ],
+    "Bajo Cauca": [
+        "CAUCASIA", "CACERES", "EL BAGRE", "NECHI", "TARAZA", "ZARAGOZA",
+    ],
+    "Magdalena Medio": [
+        "PUERTO BERRIO", "PUERTO NARE", "PUERTO TRIUNFO", "YONDO", "CARACOLI", "MACEO",
+    ],
+    "Urabá": [
+        "APARTADO", "CAREPA", "CHIGORODO", "MUTATA", "TURBO", "ARBOLETES", "NECOCLI",
+        "SAN JUAN DE URA", "SAN PEDRO DE URA", "MURINDO", "VIGIA DEL FUERTE",
+    ],
+}
+UNCLASSIFIED = "SIN CLASIFICAR"
+# Fixed values, spelt here anew: display labels of the urgency feed.
+URGENCY_LABELS = {
+    "codigo_prestador": "Código prestador",
+    "tipo_identificacion": "Tipo identificación",
+    "numero_identificacion": "Número identificación",
+    "fecha_ingreso": "Fecha Ingreso",
+    "causa_externa": "Causa Externa",
+    "dx_salida": "DX Salida",
+    "dx_relacionado_1": "Diagnóstico relacionado No. 1 a la salida",
+    "dx_relacionado_2": "Diagnóstico relacionado No. 2 a la salida",
+    "dx_relacionado_3": "Diagnóstico relacionado No. 3 a la salida",
+    "destino_salida": "Destino del usuario a la salida de observación",
+    "estado_salida": "Estado a la salida",
+    "causa_muerte": "Causa básica de muerte en urgencias",
+    "fecha_salida": "Fecha de la salida del usuario en observación",
+}
+
 _NAMES = {name: name for name in BASE_TABLES}
 
 
@@ -527,6 +588,12 @@ ORACLE: dict[str, str] = {
     "loaded_tables": """
         SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, n_name
         FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
+    "count_folded": """
+        SELECT min(priority) AS priority, o_orderstatus, count(*) AS cases
+        FROM (SELECT CASE o_orderkey % 2 WHEN 0 THEN lower(o_orderpriority)
+                     ELSE translate(o_orderpriority, 'EI', '\u00c9\u00cd') END AS priority, o_orderstatus
+              FROM orders)
+        GROUP BY lower(strip_accents(priority)), o_orderstatus""",
     "count_known_times": _with(["aus_servicio_gestiones"], """
         SELECT mae_estado_valor, count(fecha_hora_crea) AS known
         FROM aus_servicio_gestiones GROUP BY 1"""),
@@ -640,6 +707,6 @@ ORACLE: dict[str, str] = {
     "history_stays": _feed("hospitalizacion"),
     "history_procedures": _feed("procedimiento"),
     "history_labels": _with([_FEED_SQL["urgencia"][0]], f"""
-        SELECT {", ".join(f'{o} AS "{label}"' for o, label in FEEDS["urgencia"].labels.items())}
+        SELECT {", ".join(f'{o} AS "{label}"' for o, label in URGENCY_LABELS.items())}
         FROM ({_feed_select("urgencia", timeline=False)}) AS rows"""),
 }

@@ -234,6 +234,16 @@ def loaded_tables(spark, folder):
     return lookup(tables["supplier"], tables["nation"], "s_nationkey", "n_nationkey", ["n_name"])
 
 
+def count_folded(spark, folder):
+    """Groups of labels in two spellings each, counted under the default collation."""
+    orders = base_table(spark, folder, "orders")
+    label = F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(
+        F.translate("o_orderpriority", "EI", "\u00c9\u00cd"))
+    rows = orders.select(label.alias("priority"), "o_orderstatus")
+    return count_by(rows, ["priority", "o_orderstatus"], name="cases",
+                    collation=DEFAULT_COLLATION)
+
+
 def count_known_times(spark, folder):
     log = domain_tables(spark, folder, ["aus_servicio_gestiones"])["aus_servicio_gestiones"]
     return count_by(log, ["mae_estado_valor"], non_null="fecha_hora_crea", name="known")
@@ -448,6 +458,7 @@ QUERIES: dict[str, Query] = {
     "provider_chain": provider_chain,
     "loaded_tables": loaded_tables,
     "count_known_times": count_known_times,
+    "count_folded": count_folded,
     "distinct_after_fanout": distinct_after_fanout,
     "year_filters": year_filters,
     "same_month": same_month,

@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from caseflow.session import SETTINGS, configure
 from caseflow.sources import conform, load_tables, registry, table_names
 from caseflow.sources.star_schema import DOMAIN_SQL, domain_tables
 from tests import fixtures
@@ -75,6 +76,11 @@ def test_a_database_table_needs_partitions_or_consent(spark):
         load_tables(spark, {"url": "jdbc:none"}, ["gn_usuarios"])
 
 
+def test_a_users_own_session_gets_the_settings(spark):
+    own = configure(spark.newSession())
+    assert all(own.conf.get(key) == value for key, value in SETTINGS.items())
+
+
 def test_single_files_and_other_formats(spark, tables, tmp_path):
     users = tables["gn_usuarios"]
     users.write.json(str(tmp_path / "gn_usuarios"))
