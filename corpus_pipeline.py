@@ -7,13 +7,34 @@ often each is to be taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import decontaminate, line_chunks, mixing, queries, simhash, toxicity
 from caseflow.llm.tables import fold, read, saved
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+# The columns of ``documents``; a stage hands on any others untouched.
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_other_columns(stage: Stage) -> Stage:
+    """Columns beyond those of ``documents`` are out of a stage's way under other names."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        away = {c: f"extra_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENTS}
+        kept = stage(spark, docs.withColumnsRenamed(away), sf_dir)
+        return kept.withColumnsRenamed({new: old for old, new in away.items()})
+
+    return run_stage
+
 
+@with_other_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half, learnt from the labelled ones."""
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
@@ -22,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("_score < 0.5").select(*docs.columns)
 
 
+@with_other_columns
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the line chunks that stand in an earlier place already."""
     edited = line_chunks.remove_repeated(docs, removed="_removed", lines="_lines")
@@ -30,11 +52,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
         *docs.columns)
 
 
+@with_other_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group whose SimHash fingerprints are linked."""
     return simhash.drop_near_duplicates(docs)
 
 
+@with_other_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in twenty are in benchmark passages."""
     found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark"), words="n_words",
@@ -43,7 +67,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, with domain, ``n_tokens`` and ``copies``."""
+    """The documents of the mixture, with domain, ``n_tokens`` and ``copies``, which replace
+    columns of those names."""
     return mixing.mix(docs, queries.MIX_LEVELS, queries.MIX_WEIGHTS,
                       queries.MIX_PERCENT, seed=queries.MIX_SEED)
 

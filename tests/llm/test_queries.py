@@ -133,3 +133,23 @@ def test_pipeline_stage_by_stage(spark):
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted((r.doc_id, r.copies) for r in whole.collect()) == sorted(
         (r.doc_id, r.copies) for r in rows)
+
+
+def test_stages_with_awkward_rows_and_columns(spark):
+    rows = [(1, "", "en", "s1", 0), (2, None, None, None, None), (2, None, None, None, None),
+            (None, "fine words here " * 5, "en", "src1", 80), (4, "long " * 30_000, "de", "src2", 1),
+            (5, "a\nb\nc\nd\ne\nf", "fr", "src3", 11), (6, "a\nb\nc\nd\ne\nf", "fr", "src3", 11)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "1 AS n_words", "2 AS matches", "3 AS items", "4 AS _score", "5 AS n_lines",
+        "6 AS _removed", "7 AS contaminated", "8 AS copies", "9 AS component_id")
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, DATA)
+        own = [c for c in docs.columns if name != "source_mixing" or c != "copies"]
+        extra = own[len(corpus_pipeline.DOCUMENTS):]
+        values = kept.select(*extra).distinct().collect()
+        expected = tuple(i + 1 for i, c in enumerate(docs.columns[5:]) if c in extra)
+        assert [tuple(v) for v in values] == [expected], name
+        if name not in ("simhash_near_dedup", "source_mixing"):
+            assert kept.columns == docs.columns and kept.count() == len(rows)
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
