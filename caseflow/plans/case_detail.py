@@ -27,14 +27,18 @@ def case_detail(
     closing_order: tuple[str, ...] = ("closed_case", "fecha_resuelto"),
     collation: str = DEFAULT_COLLATION,
     unknown_time: str = "first",
+    reduce_first: bool = False,
 ) -> DataFrame:
     """One row per live case and service, created in ``min_year`` or later.
 
     A service whose log has an entry of a state without a time has reached that state at
     no known time with ``unknown_time='first'``; ``'ignore'`` takes the earliest known.
+    ``reduce_first`` is that of ``consolidated``.
     """
     recent = period_filter(F.col("fecha_hora_crea"), min_year=min_year)
     cases = common.live_cases(tables).where(recent)
+    if reduce_first:
+        tables = common.reduced(tables, cases)
     detail = cases.select(
         F.col("id").alias("case_id"), F.col("aus_personas_id").alias("person_id"),
         "gn_usuarios_responsable_id", "radicado", "fecha_hora_crea", "fecha_hora_modifica",

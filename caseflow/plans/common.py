@@ -40,6 +40,26 @@ def live_cases(tables: Tables, exclude_types: bool = True) -> DataFrame:
     return cases
 
 
+def reduced(tables: Tables, cases: DataFrame) -> Tables:
+    """The tables with only the services, log entries and persons of ``cases``.
+
+    Worth its further shuffles where the cases are a small part, such as one year of many:
+    what belongs to the others is then neither aggregated nor matched.
+    """
+    ids = cases.select(F.col("id").alias("aus_casos_id"))
+    services = tables["aus_caso_servicios"].join(ids, ["aus_casos_id"], "left_semi")
+    of_services = services.select(F.col("id").alias("aus_servicios_id"))
+    of_cases = cases.select(F.col("aus_personas_id").alias("id"))
+    return {
+        **tables,
+        "aus_caso_servicios": services,
+        "aus_seguimientos": tables["aus_seguimientos"].join(ids, ["aus_casos_id"], "left_semi"),
+        "aus_servicio_gestiones": tables["aus_servicio_gestiones"].join(
+            of_services, ["aus_servicios_id"], "left_semi"),
+        "aus_personas": tables["aus_personas"].join(of_cases, ["id"], "left_semi"),
+    }
+
+
 def region_name(col: Column, collation: str = BINARY) -> Column:
     return decode(col, REGION_NAMES, keep_other=True, collation=collation)
 

@@ -60,6 +60,7 @@ def consolidated(
     match: str = "strict",
     location_role: str = "residence",
     collation: str = DEFAULT_COLLATION,
+    reduce_first: bool = False,
 ) -> DataFrame:
     """One row per case, member row and service, created in ``min_year`` or later.
 
@@ -68,6 +69,8 @@ def consolidated(
     Where a site has no name, ``name_fallback`` gives an empty one or the text held on
     the service. ``location_role`` chooses the residence or the membership place for
     municipality and code; the region always comes from the membership.
+    ``reduce_first`` cuts services, logs and persons to the kept cases before they are
+    worked on, which pays where ``min_year`` keeps a small part of the cases.
     ``consolidated(tables, **KEEP_TIES)`` and ``**ONE_ROW`` are the two issued forms.
     """
     if name_fallback not in NAME_FALLBACKS:
@@ -78,6 +81,8 @@ def consolidated(
         "nombre", simple_upper(F.col("nombre")))}
     recent = period_filter(F.col("fecha_hora_crea"), min_year=min_year)
     cases = common.live_cases(tables).where(recent)
+    if reduce_first:
+        tables = common.reduced(tables, cases)
     detail = _cases(cases, with_modified, collation)
     persons = _persons(tables, match, location_role, as_of, year_days, collation)
     # The user is an attribute of the case, so it is looked up before persons repeat cases.

@@ -41,13 +41,14 @@ def wide_detail(
     provider_key: str = "site_id",
     collation: str = DEFAULT_COLLATION,
     unknown_time: str = "first",
+    reduce_first: bool = False,
 ) -> DataFrame:
     """Distinct rows of live cases, their person, places and services.
 
     Joins that could add no column to a distinct result (phones, unread statuses, the
     responsible user) are left out. ``provider_key`` takes the provider either by the
-    service's site id or through the site's foreign key. ``unknown_time`` is that of
-    ``case_detail``.
+    service's site id or through the site's foreign key. ``unknown_time`` and
+    ``reduce_first`` are those of ``case_detail``.
     """
     if provider_key not in PROVIDER_KEYS:
         raise ValueError(f"provider_key must be one of {PROVIDER_KEYS}, not {provider_key!r}")
@@ -56,6 +57,8 @@ def wide_detail(
     places = flatten_hierarchy(tables["gn_ubicaciones"], "id", "gn_ubicaciones_id",
                                ["prefijo", "nombre", "descripcion", "mae_region_valor"])
 
+    if reduce_first:
+        tables = common.reduced(tables, cases)
     # Each attribute is computed at its own grain; the last step only renames and picks.
     detail = _cases(cases, places, tables, collation)
     persons = _persons(tables, places, match, as_of, year_days, collation)

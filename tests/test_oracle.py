@@ -95,3 +95,14 @@ def test_hot_keys_are_counted_without_a_single_partition(spark):
 def test_latest_rows_are_not_sort_aggregated(spark):
     for name in ("latest_status", "first_status", "latest_inner"):
         assert "SortAggregate" not in plan_of(QUERIES[name](spark, DATA))
+
+
+def test_reducing_to_the_kept_cases_first_changes_nothing(spark):
+    tables = star_schema.domain_tables(spark, DATA, list(star_schema.DOMAIN_SQL))
+    day = {"as_of": "2025-05-01"}
+    for build, options in ((plans.case_detail, {}), (plans.wide_detail, day),
+                           (plans.consolidated, {**plans.KEEP_TIES, **day})):
+        options = {**options, "min_year": 2000}
+        plain = sorted(map(repr, build(tables, **options).collect()))
+        assert plain and plain == sorted(
+            map(repr, build(tables, **options, reduce_first=True).collect()))
