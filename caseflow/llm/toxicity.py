@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.tables import need, saved
+from caseflow.llm.tables import keeps_names, need, others, saved
 from caseflow.llm.words import NOT_ALNUM, Piece, mix, pieces
 
 _U64 = np.uint64
+# A state is averaged in so many parts, each in a task of its own.
+PARTS = 16
+STATE = "part int, state binary"
 
 
 @dataclass(frozen=True)
@@ -98,10 +101,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     chosen = chosen.select(F.col(id).alias("_chosen"), "_label")
     if settings.max_rows <= 100_000:  # ids and labels: two megabytes
         chosen = F.broadcast(chosen)
-    # A text that repeats an id is learnt from as often as it is there, up to the bound.
-    rows = docs.join(chosen, F.col(id) == F.col("_chosen")).select(
-        F.col(text).alias("_text"), "_label", hashed.alias("_order"))
-    rows = rows.orderBy("_order").limit(settings.max_rows)
+    rows = docs.join(chosen, F.col(id) == F.col("_chosen"))
+    rows = rows.groupBy(hashed.alias("_order"), F.col(id).alias("_id"), "_label").agg(
+        F.min(text).alias("_text"))
     shard = F.pmod(F.xxhash64("_order"), F.lit(settings.shards)).cast("int")
     return rows.select(shard.alias("_shard"), "_order", "_label", "_text")
 
@@ -121,19 +123,29 @@ def _learning(sent, settings: Settings, round: int):
             order = np.random.default_rng(17 * round + turn).permutation(len(rows))
             for row in order.tolist():
                 learner.learn(*rows[row])
-        packed = np.stack([learner.z, learner.n]).astype(np.float32)
-        return pa.table({"state": [packed.tobytes()]})
+        whole = np.r_[learner.z, learner.n].astype(np.float32)
+        parts = [part.tobytes() for part in np.array_split(whole, PARTS)]
+        return pa.table({"part": np.arange(PARTS, dtype=np.int32), "state": parts})
 
     return learn
 
 
+def _mean(states: pa.Table) -> pa.Table:
+    """The mean of the shards' values for one part of the state."""
+    values = [np.frombuffer(s.as_buffer(), np.float32) for s in states.column("state")]
+    mean = (sum(v.astype(np.float64) for v in values) / len(values)).astype(np.float32)
+    return pa.table({"part": states.column("part")[:1], "state": [mean.tobytes()]})
+
+
+@keeps_names
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
         label: str = "toxic", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Weights and bias, learnt from at most ``settings.max_rows`` labelled documents.
 
     Each shard of the sample is gone through in one task; after each round the states of
     the shards, of fixed size, are averaged and are the start of the next. Ids with several
-    labels count as toxic if one of them says so. Without labelled rows all weights are 0.
+    labels count as toxic if one of them says so; of rows that repeat an id the smallest text
+    is learnt from. Without labelled rows all weights are 0.
     """
     need(docs, id, text)
     need(labels, id, label)
@@ -142,15 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     state = None
     for round in range(settings.rounds):
         learn = _learning(context.broadcast(state), settings, round)
-        states = sample.groupBy("_shard").applyInArrow(learn, "state binary").collect()
-        if not states:
+        states = sample.groupBy("_shard").applyInArrow(learn, STATE)
+        parts = sorted(states.groupBy("part").applyInArrow(_mean, STATE).collect())
+        if not parts:
             break
-        state = sum(np.frombuffer(row.state, np.float32).astype(np.float64) for row in states)
-        state = (state / len(states)).reshape(2, -1).astype(np.float32)
+        state = np.frombuffer(b"".join(p["state"] for p in parts), np.float32).reshape(2, -1)
     learner = Learner(settings, state)
     return learner.weights()[:-1].astype(np.float32), float(learner.bias())
 
 
+@keeps_names
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
           name: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic, from whole texts alone.
@@ -163,8 +176,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
     bits = int(len(weights)).bit_length() - 1
     places = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((places, weights[places]))
-    kept = [c for c in docs.columns if c != name]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    rows = docs.select(*others(docs, name), F.col(text).alias("_text"))
     rest = rows.drop("_text")
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
 
