@@ -29,12 +29,12 @@ class Settings:
     documents are learnt from; those with the smallest hash of their id."""
 
     bits: int = 18
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 2.0
     l2: float = 0.0
     passes: int = 1
-    rounds: int = 8
+    rounds: int = 6
     shards: int = 16
     max_rows: int = 20_000
 
