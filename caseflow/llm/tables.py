@@ -23,7 +23,7 @@ def saved(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.split("[")[0] == "local":
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
