@@ -1,11 +1,10 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Words that make up a share of the corpus are symbols of the tree; all others are one more
-symbol, the rare word, which then draws its spelling from their smoothed counts. Contexts
-are runs of up to ``depth`` words whose share of the corpus is large enough to be told
-apart from chance, and of these the tree keeps those whose next symbols differ from what
-their suffix predicts. Both bounds are shares, so that the tree has a known largest size,
-which goes to the tasks; counts of rare words grow with the corpus and stay distributed.
+Contexts are runs of up to ``depth`` words seen a number of times that does not depend on
+the size of the corpus, and of these the tree keeps those whose next words differ from what
+their suffix predicts. So the tree grows with the corpus. It is a table of keys and values,
+counted, smoothed and pruned level by level with joins; no process holds it. Texts are
+scored in blocks, each of which is sent the part of the table that its own words ask for.
 """
 
 from __future__ import annotations
@@ -20,29 +19,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.llm.tables import need, saved
-from caseflow.llm.words import BLANKS, Lookup, Piece, mix, pieces
+from caseflow.llm.words import BLANKS, Lookup, Piece, pieces
 
 _U64 = np.uint64
-_STEP = _U64(0xD6E8FEB86659FD93)
+# Primes of the xxHash algorithm.
+_P1, _P2, _P3 = _U64(0x9E3779B185EBCA87), _U64(0xC2B2AE3D27D4EB4F), _U64(0x165667B19E3779F9)
+_P4, _P5 = _U64(0x85EBCA77C2B2AE63), _U64(0x27D4EB2F165667C5)
 # Stand for the start and the end of a text among the hashes of words.
 START, END = _U64(0x53D3B4D5C3A1F2E7), _U64(0xE4D1A9B8C7F60513)
-# Tokens gathered before they are counted together.
+# Parts the keys of contexts from those of words.
+_CONTEXT = _U64(0x8EBC6AF09C88C6E3)
+# Tokens gathered before they are counted together, and bytes of text scored together.
 COUNTED_TOKENS = 1 << 21
+BLOCK_BYTES = 8 << 20
+# Slots of the filters that spare tasks to ask for keys that no table has. A full filter
+# lets all keys through, which changes nothing but the number of rows.
+FILTER_SLOTS = 1 << 26
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: a word or context is told apart if its share of the training tokens is
-    this or more, which bounds the tree to 1 / share contexts a level. ``entry_share``: a
-    next symbol has a probability of its own after a context if both together have this
-    share. ``divergence``: least Kullback-Leibler divergence, in nats, of a kept context
-    from its suffix. ``weight``: how many observations the suffix counts as in smoothing."""
+    """``least``: a context is seen this many times or more. ``own``: a next word seen this
+    often after a context has a probability of its own there. ``divergence``: least
+    Kullback-Leibler divergence, in nats, of a kept context from its suffix. ``weight``: how
+    many observations the suffix counts as in smoothing. ``share``: on request, the least
+    share of the training tokens that a context has; it bounds the tree."""
 
     depth: int = 3
-    share: float = 2.0 ** -14
-    entry_share: float = 2.0 ** -20
+    least: int = 32
+    own: int = 2
     divergence: float = 0.01
     weight: float = 20.0
+    share: float = 0.0
 
 
 def _sequences(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -56,35 +64,48 @@ def _sequences(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _contexts(sequence: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple]:
-    """Per level, the places before which the text goes on, the code of the words up to
-    there, and the code of the same without the earliest word."""
-    place = np.flatnonzero(sequence != END)
-    begin = first[np.searchsorted(first, place, "right") - 1]
-    code, parent = sequence[place], np.zeros(len(place), dtype=_U64)
-    for level in range(1, depth + 1):
-        yield place, code, parent
-        longer = place - level >= begin
-        place, begin, parent = place[longer], begin[longer], code[longer]
-        code = mix(parent * _STEP + sequence[place - level])
+def _turned(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values << _U64(bits)) | (values >> _U64(64 - bits))
+
+
+def _taken_in(seed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = (seed + _P5 + _U64(8)) ^ (_turned(values * _P2, 31) * _P1)
+    out = _turned(out, 27) * _P1 + _P4
+    out = (out ^ (out >> _U64(33))) * _P2
+    out = (out ^ (out >> _U64(29))) * _P3
+    return out ^ (out >> _U64(32))
+
+
+def _pair(code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Code of a run of words and the word after it: Spark's xxhash64 of both."""
+    return _taken_in(_taken_in(np.full(len(code), _U64(42)), code), word)
+
+
+def _runs(sequence: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple]:
+    """Per length, the code of the run of so many words that ends at each place, and
+    whether the text has so many there."""
+    place = np.arange(len(sequence))
+    within = place - first[np.searchsorted(first, place, "right") - 1]
+    code = sequence
+    for length in range(1, longest + 1):
+        yield code, within >= length - 1
+        code = np.r_[_U64(0), _pair(code[:-1], sequence[1:])]
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], count: Callable) -> Iterator[pa.RecordBatch]:
     """``count`` of the pieces' sequences, about ``COUNTED_TOKENS`` at a time."""
-    held, keys, first, size = [], [], [], 0
+    held, first, size = [], [], 0
     for batch in batches:
-        key = batch.column(1).to_numpy()
         for piece in pieces(batch.column(0), BLANKS):
             sequence, own = _sequences(piece)
             held.append(sequence)
             first.append(own + size)
-            keys.append(key[piece.first : piece.first + piece.texts])
             size += len(sequence)
             if size >= COUNTED_TOKENS:
-                yield count(np.concatenate(held), np.concatenate(first), np.concatenate(keys))
-                held, keys, first, size = [], [], [], 0
+                yield count(np.concatenate(held), np.concatenate(first))
+                held, first, size = [], [], 0
     if held:
-        yield count(np.concatenate(held), np.concatenate(first), np.concatenate(keys))
+        yield count(np.concatenate(held), np.concatenate(first))
 
 
 def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -92,250 +113,258 @@ def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
         [pa.array(np.asarray(c).astype(np.uint64).view(np.int64)) for c in columns], names=names)
 
 
-def _heavy(training: DataFrame, settings: Settings) -> tuple[list[np.ndarray], int]:
-    """Codes, parents and levels of heavy contexts, and the number of training tokens.
+def _filter(keys: DataFrame):
+    """A broadcast bit set of the column ``key``, of fixed size."""
+    slot = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_SLOTS - 1)).alias("slot"))
+    rows = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_SLOTS >> 6, dtype=_U64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(_U64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
-    A task reports what has the share among the tokens it counts together; what has twice
-    the share of all tokens is sure to have it in the sum of what was reported, and no more
-    than 1 / share codes a level can.
-    """
-    names = ["level", "code", "parent", "tokens"]
-
-    def count(sequence: np.ndarray, first: np.ndarray, _) -> pa.RecordBatch:
-        tokens = len(sequence) - len(first)
-        found = [([0], [0], [0], [tokens])]
-        for level, (_, code, parent) in enumerate(
-                _contexts(sequence, first, settings.depth), start=1):
-            codes, at, counts = np.unique(code, return_index=True, return_counts=True)
-            some = counts >= settings.share * tokens
-            found.append((np.full(some.sum(), level), codes[some], parent[at[some]], counts[some]))
-        return _longs(*[np.concatenate([np.asarray(c, dtype=_U64) for c in column])
-                        for column in zip(*found)], names=names)
-
-    reports = training.mapInArrow(
-        lambda batches: _flushed(batches, count), ", ".join(f"{n} long" for n in names))
-    sums = saved(reports.groupBy("level", "code", "parent").agg(F.sum("tokens").alias("tokens")))
-    whole = sums.where("level = 0").first()
-    tokens = whole["tokens"] if whole else 0
-    heavy = sums.where((F.col("level") > 0) & (F.col("tokens") >= settings.share * tokens))
-    table = heavy.toArrow()
-    return [table.column(n).to_numpy().view(_U64) for n in names[:3]], tokens
 
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & _U64(FILTER_SLOTS - 1)
+    return (bits[(slot >> _U64(6)).astype(np.int64)] >> (slot & _U64(63))) & _U64(1) > 0
 
-class Tree:
-    """Contexts as numbered states, 0 the root, and the symbols that may follow.
 
-    Symbols are the heavy words and END; their number itself stands for a rare word.
-    """
+def word_counts(training: DataFrame) -> DataFrame:
+    """(word, tokens) over the training texts, START and END among the words."""
+
+    def count(sequence: np.ndarray, _) -> pa.RecordBatch:
+        return _longs(*np.unique(sequence, return_counts=True), names=["word", "tokens"])
+
+    counts = training.mapInArrow(
+        lambda batches: _flushed(batches, count), "word long, tokens long")
+    return counts.groupBy("word").agg(F.sum("tokens").alias("tokens"))
+
 
-    def __init__(self, heavy: list[np.ndarray], tokens: int, settings: Settings):
-        level, code, parent = heavy
-        words = code[(level == 1) & (code != START)]
-        self.symbols = np.union1d(words[words != END], [END])
-        self.width, self.tokens, self.settings = len(self.symbols) + 1, tokens, settings
-        self.symbol = Lookup(self.symbols)
-        # States level by level, each after its suffix.
-        order = np.argsort(level, kind="stable")
-        level, code, parent = level[order], code[order], parent[order]
-        at, self.codes, self.parent, self.level = {}, [0], [0], [0]
-        for one, own, above in zip(level.tolist(), code.tolist(), parent.tolist()):
-            if one == 1 or above in at:
-                at[own] = len(self.codes)
-                self.codes.append(own)
-                self.parent.append(0 if one == 1 else at[above])
-                self.level.append(one)
-        self.codes = np.array(self.codes, dtype=_U64)
-        self.parent, self.level = np.array(self.parent), np.array(self.level)
-        self._index()
-
-    def _index(self) -> None:
-        self.state = Lookup(self.codes[1:])
-
-    def next_symbols(self, sequence: np.ndarray) -> np.ndarray:
-        found = self.symbol.find(sequence)
-        return np.where(found < 0, self.width - 1, found)
-
-    def states(self, sequence: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-        """Per level, places and states of the contexts that are in the tree."""
-        for place, code, _ in _contexts(sequence, first, self.settings.depth):
-            state = self.state.find(code)
-            known = state >= 0
-            yield place[known], state[known] + 1
-
-    def learn(self, pairs: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> None:
-        """Probabilities from counts of (state, next symbol), and the choice of contexts.
-
-        ``rest`` has each state's number of next symbols that are not told apart."""
-        state, symbol = pairs // self.width, pairs % self.width
-        seen = np.bincount(state, counts, minlength=len(self.codes)) + rest
-        root = state == 0
-        self.counts = np.zeros(self.width)
-        self.counts[symbol[root]] = counts[root]
-        self.root = (self.counts + 0.5) / (self.counts.sum() + 0.5 * self.width)
-        state, symbol, counts = state[~root], symbol[~root], counts[~root]
-        weight = self.settings.weight
-        self.back = (weight + rest) / (weight + seen)
-        self.entries, self.chance = np.zeros(0, dtype=np.int64), np.zeros(0)
-        divergence = np.zeros(len(self.codes))
-        for level in range(1, self.settings.depth + 1):
-            at = np.flatnonzero(self.level[state] == level)
-            s, x = state[at], symbol[at]
-            above = 10 ** self.log_chance(self.parent[s], x)
-            chance = counts[at] / (weight + seen[s]) + self.back[s] * above
-            size = len(self.codes)
-            divergence += np.bincount(s, chance * np.log(chance / above), minlength=size)
-            here = np.flatnonzero(self.level == level)
-            left = np.clip(1 - np.bincount(s, above, minlength=size)[here], 0, 1)
-            divergence[here] += left * self.back[here] * np.log(self.back[here])
-            self.entries = np.r_[self.entries, s * self.width + x]
-            self.chance = np.r_[self.chance, np.log10(chance)]
-            self._entry = Lookup(self.entries.view(_U64))
-        keep = divergence >= self.settings.divergence
-        for s in range(len(keep) - 1, 0, -1):  # the suffixes of a kept context are kept
-            if keep[s]:
-                keep[self.parent[s]] = True
-        self._prune(keep)
-
-    def _prune(self, keep: np.ndarray) -> None:
-        keep[0] = True
-        number = np.cumsum(keep) - 1
-        state = self.entries // self.width
-        kept = keep[state]
-        self.entries = number[state[kept]] * self.width + self.entries[kept] % self.width
-        self.chance = self.chance[kept]
-        self.codes, self.level = self.codes[keep], self.level[keep]
-        self.parent, self.back = number[self.parent[keep]], self.back[keep]
-        self._entry = Lookup(self.entries.view(_U64))
-        self._index()
+def _run_counts(training: DataFrame, length: int, prefixes, suffixes) -> DataFrame:
+    """(prefix, word, suffix, run, tokens) of the runs of ``length`` words: codes of the run
+    without its last word, of that word, of the run without its first, and of the whole.
+
+    Runs with another prefix or suffix than those given are left out, for being no more
+    frequent than these."""
+    names = ["prefix", "word", *(["suffix"] if length > 2 else [])]
+
+    def count(sequence: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        *_, (shorter, _), (code, whole) = _runs(sequence, first, length)
+        place = np.flatnonzero(whole)
+        place = place[_may_have(prefixes.value, shorter[place - 1])]
+        place = place[_may_have(suffixes.value, shorter[place])]
+        _, at, counts = np.unique(code[place], return_index=True, return_counts=True)
+        at = place[at]
+        columns = [shorter[at - 1], sequence[at], shorter[at]][: len(names)]
+        return _longs(*columns, counts, names=[*names, "tokens"])
+
+    counts = training.mapInArrow(
+        lambda batches: _flushed(batches, count), ", ".join(f"{n} long" for n in [*names, "tokens"]))
+    suffix = F.col("suffix" if length > 2 else "word")
+    return counts.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select(
+        "prefix", "word", suffix.alias("suffix"), F.xxhash64("prefix", "word").alias("run"), "tokens")
+
+
+def _entries(counts: DataFrame, shorter: DataFrame, least: float, settings: Settings) -> DataFrame:
+    """(run, prefix, parent, tokens, chance, above, back) of the next words with
+    probabilities of their own: the run is the context, ``prefix``, and the word after it.
+    ``above`` is the word's probability after the context's suffix, ``parent``."""
+    own = counts.groupBy("prefix").agg(F.sum("tokens").alias("own"))
+    seen = shorter.where(F.col("tokens") >= least).select(
+        F.col("run").alias("prefix"), (F.col("tokens") + settings.weight).alias("of"))
+    contexts = own.join(seen, "prefix").select(
+        "prefix", "of", ((F.col("of") - F.col("own")) / F.col("of")).alias("back"))
+    # A run is no more frequent than the same without its first word, which has an entry.
+    above = shorter.select(F.col("run").alias("suffix"), F.col("prefix").alias("parent"),
+                           F.col("chance").alias("above"))
+    rows = counts.join(contexts, "prefix").join(above, "suffix")
+    chance = F.col("tokens") / F.col("of") + F.col("back") * F.col("above")
+    return rows.select("run", "prefix", "parent", "tokens", chance.alias("chance"), "above", "back")
+
+
+def _divergences(entries: DataFrame) -> DataFrame:
+    own = F.sum(F.col("chance") * F.log(F.col("chance") / F.col("above")))
+    left = F.greatest(1 - F.sum("above"), F.lit(0.0))
+    back = F.min("back")
+    return entries.groupBy(F.col("prefix").alias("code")).agg(
+        F.min("parent").alias("parent"), back.alias("back"),
+        (own + left * back * F.log(back)).alias("divergence"))
+
+
+@dataclass
+class Model:
+    """``words``: (word, tokens). ``contexts``: (level, code, parent, back) of those kept.
+    ``entries``: (run, chance) of their next words. ``tokens`` and ``distinct`` count the
+    training tokens and words."""
+
+    words: DataFrame
+    contexts: DataFrame
+    entries: DataFrame
+    tokens: int
+    distinct: int
+
+    @property
+    def base(self) -> float:
+        """What a word's count and a half are divided by."""
+        return self.tokens + 0.5 * (self.distinct + 1)
+
+    def table(self) -> DataFrame:
+        """(key, value): counts of words, back-off logarithms of contexts, and logarithms of
+        entries' probabilities."""
+        key = F.col("code").bitwiseXOR(F.lit(int(_CONTEXT.view(np.int64))))
+        return self.contexts.select(key.alias("key"), F.log10("back").alias("value")).union(
+            self.entries.select("run", F.log10("chance")))
+
+
+def learn(training: DataFrame, settings: Settings = Settings()) -> Model:
+    """The model of a DataFrame whose first column is the text."""
+    start = F.col("word") == F.lit(int(START.view(np.int64)))
+    counts = saved(word_counts(training))
+    tokens, distinct = counts.where(~start).agg(F.sum("tokens"), F.count("*")).first()
+    tokens = tokens or 0
+    model = Model(counts.where(~start), None, None, tokens, distinct)
+    least = max(settings.least, settings.share * tokens)
+    shorter = counts.select(
+        F.col("word").alias("run"), F.lit(None).cast("long").alias("prefix"), "tokens",
+        ((F.col("tokens") + 0.5) / model.base).alias("chance"))
+    levels = []
+    for level in range(1, settings.depth + 1):
+        keys = shorter.select(F.col("run").alias("key"), "tokens")
+        prefixes, suffixes = (_filter(keys.where(F.col("tokens") >= n)) for n in (least, settings.own))
+        runs = _run_counts(training, level + 1, prefixes, suffixes)
+        runs = saved(runs.where(F.col("tokens") >= settings.own))
+        entries = saved(_entries(runs, shorter, least, settings))
+        levels.append((level, entries, saved(_divergences(entries))))
+        shorter = entries
+    contexts, kept, longer = None, None, None
+    for level, entries, stats in reversed(levels):
+        keep = F.col("divergence") >= settings.divergence
+        if longer is not None:  # the suffixes of a kept context are kept
+            suffixes = longer.select(F.col("parent").alias("code"), F.lit(True).alias(
+                "_longer")).distinct()
+            stats, keep = stats.join(suffixes, "code", "left"), keep | F.col("_longer").isNotNull()
+        longer = stats.where(keep).select(F.lit(level).alias("level"), "code", "parent", "back")
+        own = entries.join(longer.select(F.col("code").alias("prefix")), "prefix", "left_semi")
+        own = own.select("run", "chance")
+        contexts = longer if contexts is None else contexts.union(longer)
+        kept = own if kept is None else kept.union(own)
+    model.contexts, model.entries = contexts, kept
+    return model
+
+
+class Answers:
+    """Values of the keys asked for; nan where the table has none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.rows, self.values = Lookup(keys), np.r_[values, np.nan]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.rows.find(keys)]
+
+    def log_chance(self, codes: list[np.ndarray], known: list[np.ndarray], word: np.ndarray,
+                   base: np.ndarray) -> np.ndarray:
+        """log10 of the words' probabilities after contexts, whose ``codes`` are given level
+        by level where they are ``known``: that of the longest one with an entry, times the
+        back-off of those longer."""
+        out, left = np.zeros(len(word)), np.arange(len(word))
+        for code, some in zip(reversed(codes), reversed(known)):
+            at = some[left]
+            own = np.full(len(left), np.nan)
+            own[at] = self.find(_pair(code[left[at]], word[left[at]]))
+            back = np.full(len(left), np.nan)
+            back[at] = self.find(code[left[at]] ^ _CONTEXT)
+            has = ~np.isnan(own)
+            out[left] += np.where(has, own, np.nan_to_num(back))
+            left = left[~has]
+        out[left] += base[left]
+        return out
+
+
+class Tree:
+    """The whole model in one process, for small corpora: contexts as numbered states, 0
+    the root, and symbols, the last of which is a word never seen."""
+
+    def __init__(self, model: Model, settings: Settings):
+        self.settings = settings
+        words = model.words.toArrow()
+        self.symbols = np.r_[words.column("word").to_numpy().view(_U64), _U64(0)]
+        self.width, self.tokens = len(self.symbols), model.tokens
+        self.counts = np.r_[words.column("tokens").to_numpy(), 0]
+        self.base = np.log10(self.counts + 0.5) - np.log10(model.base)
+        contexts = model.contexts.orderBy("level", "code").toArrow()
+        codes = contexts.column("code").to_numpy().view(_U64)
+        self.codes = np.r_[_U64(0), codes]
+        self.level = np.r_[0, contexts.column("level").to_numpy()]
+        above = contexts.column("parent").fill_null(0).to_numpy().view(_U64)
+        self.parent = np.r_[0, np.where(self.level[1:] == 1, 0, Lookup(codes).find(above) + 1)]
+        table = model.table().toArrow()
+        self.answers = Answers(table.column("key").to_numpy().view(_U64),
+                               table.column("value").to_numpy())
 
     def log_chance(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 of a symbol's probability in each state, smoothed towards its suffixes."""
-        out, state, left = np.zeros(len(state)), state.copy(), np.arange(len(state))
-        while len(left):
-            s, x = state[left], symbol[left]
-            at_root = s == 0
-            out[left[at_root]] += np.log10(self.root[x[at_root]])
-            left, s, x = left[~at_root], s[~at_root], x[~at_root]
-            if not len(left):
-                break
-            found = self._entry.find((s * self.width + x).view(_U64))
-            own = found >= 0
-            out[left[own]] += self.chance[found[own]]
-            left, s = left[~own], s[~own]
-            out[left] += np.log10(self.back[s])
-            state[left] = self.parent[s]
-        return out
+        codes = [np.zeros(len(state), dtype=_U64) for _ in range(self.settings.depth)]
+        known = [np.zeros(len(state), dtype=bool) for _ in codes]
+        while state.any():
+            for level in range(1, self.settings.depth + 1):
+                here = self.level[state] == level
+                codes[level - 1][here], known[level - 1][here] = self.codes[state[here]], True
+            state = self.parent[state]
+        return self.answers.log_chance(codes, known, self.symbols[symbol], self.base[symbol])
 
 
 def fit(training: DataFrame, settings: Settings = Settings()) -> Tree:
-    """A tree from a DataFrame of (text, key): heavy contexts first, then what follows them,
-    counted over all training texts."""
-    heavy, tokens = _heavy(training, settings)
-    tree = Tree(heavy, tokens, settings)
-    sent = training.sparkSession.sparkContext.broadcast(tree)
-
-    def count(sequence: np.ndarray, first: np.ndarray, _) -> pa.RecordBatch:
-        tree = sent.value
-        symbols = tree.next_symbols(sequence)
-        follows = symbols[sequence != START]
-        pairs = [follows]
-        for place, state in tree.states(sequence, first):
-            pairs.append(state * tree.width + symbols[place + 1])
-        return _longs(*np.unique(np.concatenate(pairs), return_counts=True),
-                      names=["pair", "tokens"])
-
-    pairs = training.mapInArrow(lambda batches: _flushed(batches, count), "pair long, tokens long")
-    pairs = pairs.groupBy("pair").agg(F.sum("tokens").alias("tokens"))
-    # What is too rare for a probability of its own still counts towards its context.
-    own = max(2, settings.entry_share * tokens)
-    single = F.when((F.col("tokens") >= own) | (F.col("pair") < tree.width), F.col("pair"))
-    state = F.floor(F.col("pair") / tree.width).cast("long")
-    pairs = pairs.groupBy(state.alias("state"), single.alias("pair")).agg(
-        F.sum("tokens").alias("tokens")).toArrow()
-    pair = pairs.column("pair")
-    some = pair.is_valid().to_numpy()
-    state, counts = pairs.column("state").to_numpy(), pairs.column("tokens").to_numpy()
-    rest = np.bincount(state[~some], counts[~some], minlength=len(tree.codes))
-    tree.learn(pair.drop_null().to_numpy(), counts[some], rest)
-    return tree
-
-
-def _rare_counts(training: DataFrame, tree) -> DataFrame:
-    """Per rare word its ``tokens`` and the smallest ``key`` of a text it is in."""
-
-    def count(sequence: np.ndarray, first: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        place = np.flatnonzero(tree.value.symbol.find(sequence) < 0)
-        place = place[sequence[place] != START]
-        order = place[np.argsort(sequence[place], kind="stable")]
-        words, at, counts = np.unique(sequence[order], return_index=True, return_counts=True)
-        of = keys[np.searchsorted(first, order, "right") - 1]
-        least = np.minimum.reduceat(of, at) if len(at) else of
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words.view(np.int64)), pa.array(counts), pa.array(least)],
-            names=["word", "tokens", "key"])
+    """``learn``, gathered into a tree; for small corpora."""
+    return Tree(learn(training, settings), settings)
 
-    counts = training.mapInArrow(
-        lambda batches: _flushed(batches, count), "word long, tokens long, key long")
-    return counts.groupBy("word").agg(F.sum("tokens").alias("tokens"), F.min("key").alias("least"))
-
-
-def _scored_piece(piece: Piece, tree: Tree) -> tuple[np.ndarray, ...]:
-    """Per text log-probability of its symbols, log of the smoothed counts of its heavy
-    words, and numbers of tokens, of heavy and of rare ones; and (text, word, count) of the
-    rare ones."""
-    sequence, first = _sequences(piece)
-    text = np.repeat(np.arange(piece.texts), np.diff(np.r_[first, len(sequence)]))
-    symbols = tree.next_symbols(sequence)
-    state = np.zeros(len(sequence), dtype=np.int64)
-    for place, found in tree.states(sequence, first):
-        state[place] = found
+
+def _levels(sequence: np.ndarray, first: np.ndarray, depth: int) -> tuple:
+    """Places of the tokens, and for each the codes of the contexts before it and which
+    there are, level by level."""
     token = np.flatnonzero(sequence != START)
-    of, symbol = text[token], symbols[token]
-    rare = symbol == tree.width - 1
-
-    def sums(values):
-        return np.bincount(of, values, minlength=piece.texts)
-
-    heavy = np.where(rare, 0, np.log10(tree.counts[symbol] + 0.5))
-    known = ~rare & (tree.counts[symbol] > 0)
-    totals = (sums(tree.log_chance(state[token - 1], symbol)), sums(heavy),
-              sums(np.ones(len(of))), sums(known), sums(rare))
-    word, of = sequence[token[rare]], of[rare]
-    order = np.lexsort((word, of))
-    word, of = word[order], of[order]
-    edge = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (of[1:] != of[:-1])]
-                          if len(word) else [])
-    return totals, of[edge], word[edge], np.diff(np.r_[edge, len(word)])
-
-
-def _rows(docs: DataFrame, tree) -> DataFrame:
-    """A row with ``sums`` for each text, and one for each rare word it has."""
-    schema = T.StructType([
-        docs.schema["_id"], T.StructField("_key", T.LongType()), T.StructField("word", T.LongType()),
-        T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("_id"))
-            keys = batch.column(batch.schema.get_field_index("_key")).to_numpy()
-            text = batch.column(batch.schema.get_field_index("_text"))
-            for piece in pieces(text, BLANKS):
-                totals, of, word, count = _scored_piece(piece, tree.value)
-                sums = np.stack([*totals, np.ones(piece.texts)], axis=1)
-                some = np.zeros(len(of) + piece.texts, dtype=np.int32)
-                some[: piece.texts] = sums.shape[1]
-                values = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(some)].astype(np.int32)), sums.ravel(),
-                    mask=pa.array(some == 0))
-                row = np.r_[np.arange(piece.texts), of] + piece.first
-                # Rows of whole texts join with nothing; their own keys spread them.
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(keys[row]),
-                     pa.array(np.r_[keys[row[: piece.texts]], word.view(np.int64)]),
-                     pa.array(np.r_[np.zeros(piece.texts, dtype=np.int64), count]), values],
-                    names=schema.names)
-
-    return docs.mapInArrow(scored, schema)
+    codes, known = [], []
+    for length, (code, _) in enumerate(_runs(sequence, first, depth)):
+        codes.append(code[token - 1])
+        known.append(token - 1 - length >= first[np.searchsorted(first, token, "right") - 1])
+    return token, codes, known
+
+
+def _asked(table: pa.Table, bits: np.ndarray, depth: int) -> pa.Table:
+    """The keys that a block's texts ask the model for, each once."""
+    keys = [np.zeros(0, dtype=_U64)]
+    for chunk in table.column("_text").chunks:
+        for piece in pieces(chunk, BLANKS):
+            sequence, first = _sequences(piece)
+            token, codes, known = _levels(sequence, first, depth)
+            word = sequence[token]
+            found = [np.unique(word)]
+            for code, some in zip(codes, known):
+                for key in (code[some] ^ _CONTEXT, _pair(code[some], word[some])):
+                    found.append(np.unique(key[_may_have(bits, key)]))
+            keys.append(np.unique(np.concatenate(found)))
+    keys = np.unique(np.concatenate(keys))
+    block = np.full(len(keys), table.column("_block")[0].as_py(), dtype=np.int64)
+    return pa.table({"_block": block, "key": keys.view(np.int64)})
+
+
+def _scored(rows: pa.Table, answers: pa.Table, log_base: float, depth: int,
+            names: list[str]) -> pa.Table:
+    """Per text its numbers of tokens and of known ones, base score and score."""
+    answers = Answers(answers.column("key").to_numpy().view(_U64),
+                      answers.column("value").to_numpy())
+    totals = []
+    for chunk in rows.column("_text").chunks:
+        for piece in pieces(chunk, BLANKS):
+            sequence, first = _sequences(piece)
+            token, codes, known = _levels(sequence, first, depth)
+            of, word = np.searchsorted(first, token, "right") - 1, sequence[token]
+            seen = np.nan_to_num(answers.find(word))
+            base = np.log10(seen + 0.5) - log_base
+            chance = answers.log_chance(codes, known, word, base)
+            totals.append([np.bincount(of, v, minlength=piece.texts)
+                           for v in (np.ones(len(of)), seen > 0, base, chance)])
+    tokens, known, base, score = [np.concatenate(c) for c in zip(*totals)]
+    return pa.table([rows.column("_id"), rows.column("_copies"), tokens.astype(np.int64),
+                     known.astype(np.int64), base, score], names=names)
 
 
 def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text",
@@ -346,44 +375,40 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
     The texts for which ``training`` holds are learnt from. ``n_known`` counts tokens that
     training has, ``train_tokens`` is the number of training tokens. ``base_score`` sums
     log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens. ``score`` is a probability under
-    the tree, in which a rare word's is that of the rare symbol times the word's smoothed
-    share of all rare tokens, unseen words together taking the share of one never counted.
+    the tree, whose root is that of ``base_score``; unseen words together take the share of
+    one never counted.
 
     Null texts count as empty: one token, the end. Rows that are equal in id and text are
     scored alike, each in a row of its own; null ids are no special case. Without training
-    texts every base probability is 1. Words are told apart by 64-bit hashes.
+    texts every base probability is 1. Words, contexts and next words are told apart by
+    64-bit hashes.
     """
     need(docs, id, text)
     rows = docs.select(
         F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(training, F.lit(False)).alias("_train"))
-    rows = rows.withColumn("_key", F.xxhash64("_id", "_text"))
-    learnt = rows.where("_train").select("_text", "_key")
-    tree = fit(learnt, settings)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    rare = _rare_counts(learnt, sent)
-    joined = _rows(rows.select("_id", "_key", "_text"), sent).join(rare, "word", "left")
-    is_word = F.col("sums").isNull()
-    seen = F.coalesce("tokens", F.lit(0))
-    names = ["tree", "heavy", "tokens", "known", "rare", "copies"]
-    sums = saved(joined.groupBy("_id", "_key").agg(
-        F.sum(F.when(is_word, F.col("n") * F.log10(seen + 0.5))).alias("rare_log"),
-        F.sum(F.when(is_word & (seen > 0), F.col("n"))).alias("rare_known"),
-        F.count_if(is_word & (F.col("least") == F.col("_key"))).alias("first"),
-        *[F.sum(F.get("sums", F.lit(i))).alias(f"sum_{name}") for i, name in enumerate(names)]))
-    each = {name: F.col(f"sum_{name}") / F.col("sum_copies") for name in names}
-    vocabulary = sums.agg(F.sum(F.col("first") / F.col("sum_copies"))).first()[0] or 0
-    distinct = round(vocabulary) + int((tree.counts[:-1] > 0).sum())
-    rare_log = F.coalesce("rare_log", F.lit(0.0)) / F.col("sum_copies")
-    base = np.log10(tree.tokens + 0.5 * (distinct + 1))
-    spelt = np.log10(tree.counts[-1] + 0.5 * (round(vocabulary) + 1))
-    out = sums.select(
-        F.col("_id").alias(id),
-        F.round(each["tokens"]).cast("long").alias("n_tokens"),
-        F.round(each["known"] + F.coalesce("rare_known", F.lit(0)) / F.col("sum_copies")).cast(
-            "long").alias("n_known"),
-        F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
-        (each["heavy"] + rare_log - each["tokens"] * float(base)).alias("base_score"),
-        (each["tree"] + rare_log - each["rare"] * float(spelt)).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("sum_copies").cast("int"))).alias("_copy"))
-    return out.drop("_copy")
+    model = learn(rows.where("_train").select("_text"), settings)
+    table = saved(model.table())
+    sent = _filter(table)
+    depth, log_base = settings.depth, float(np.log10(model.base))
+    words = model.words.select(F.col("word").alias("key"), F.col("tokens").cast("double").alias(
+        "value"))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    # Equal rows are scored once, so that no block gathers many of them.
+    rows = rows.withColumn("_key", F.xxhash64("_id", "_text")).groupBy("_id", "_key").agg(
+        F.first("_text").alias("_text"), F.count("*").alias("_copies"))
+    rows = rows.select("_id", "_text", "_copies", F.pmod(
+        F.xxhash64("_key"), F.lit(size // BLOCK_BYTES + 1)).alias("_block"))
+    asked = rows.groupBy("_block").applyInArrow(
+        lambda block: _asked(block, sent.value, depth), "_block long, key long")
+    answers = asked.join(words.union(table), "key")
+    schema = T.StructType([
+        docs.select(F.col(id).alias("_id")).schema["_id"], T.StructField("_copies", T.LongType()),
+        T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out = rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
+        lambda block, known: _scored(block, known, log_base, depth, schema.names), schema)
+    return out.select(
+        F.col("_id").alias(id), "n_tokens", "n_known",
+        F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score",
+        F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
