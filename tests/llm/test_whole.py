@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import suffix_tree
+from caseflow.llm import chat, suffix_tree
 from tests.llm import reference as plain
 
 
@@ -17,3 +17,20 @@ def test_contexts_of_a_count_are_learnt_in_a_corpus_of_any_size(spark):
     found = {r.doc_id: r for r in suffix_tree.score(docs, F.col("doc_id") < 99).collect()}
     # beta, gamma and the end are each next to certain after what stands before them.
     assert found[99].base_score < -15 and found[99].score > -6
+
+
+def test_parts_of_a_dialogue_joined_are_the_whole_rendering(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 4090, "anna b", "hi"), (1, 4100, "bo", "héllo <|"),
+            (1, 4101, "bo", "and"), (1, 9000, "cy", "late"), (1, 9001, "bo", "bye")]
+    rows += [(2, t, "bo" if t % 2 else "anna", f"turn {t}") for t in range(4090, 4110)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    joined = {}
+    for r in chat.perspectives(turns).orderBy("conv_id", "speaker", "part").collect():
+        view = joined.setdefault((r.conv_id, r.speaker), ["", [], 0, 0])
+        for i, value in enumerate((r.rendered, r["mask"], r.n_turns, r.n_own)):
+            view[i] += value
+    whole = {(r.conv_id, r.speaker): [r.rendered, r["mask"], r.n_turns, r.n_own]
+             for r in chat.perspectives(turns, part_turns=10 ** 6).collect()}
+    assert len(whole) == 5 and joined == whole
+    text, mask, _, own = whole[1, "anna b"]
+    assert own == 1 and [text[m.start:m.end] for m in mask] == ["hi<|im_end|>"]
