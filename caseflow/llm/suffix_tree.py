@@ -31,7 +31,7 @@ START, END = _U64(0x53D3B4D5C3A1F2E7), _U64(0xE4D1A9B8C7F60513)
 _CONTEXT = _U64(0x8EBC6AF09C88C6E3)
 # Tokens gathered before they are counted together, and bytes of text scored together.
 COUNTED_TOKENS = 1 << 21
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 # Slots of the filters that spare tasks to ask for keys that no table has. A full filter
 # lets all keys through, which changes nothing but the number of rows.
 FILTER_SLOTS = 1 << 26
@@ -140,8 +140,8 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _run_counts(training: DataFrame, length: int, prefixes, suffixes) -> DataFrame:
-    """(prefix, word, suffix, run, tokens) of the runs of ``length`` words: codes of the run
-    without its last word, of that word, of the run without its first, and of the whole.
+    """(prefix, suffix, run, tokens) of the runs of ``length`` words: codes of the run
+    without its last word, of it without its first, and of the whole.
 
     Runs with another prefix or suffix than those given are left out, for being no more
     frequent than these."""
@@ -161,7 +161,7 @@ def _run_counts(training: DataFrame, length: int, prefixes, suffixes) -> DataFra
         lambda batches: _flushed(batches, count), ", ".join(f"{n} long" for n in [*names, "tokens"]))
     suffix = F.col("suffix" if length > 2 else "word")
     return counts.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select(
-        "prefix", "word", suffix.alias("suffix"), F.xxhash64("prefix", "word").alias("run"), "tokens")
+        "prefix", suffix.alias("suffix"), F.xxhash64("prefix", "word").alias("run"), "tokens")
 
 
 def _entries(counts: DataFrame, shorter: DataFrame, least: float, settings: Settings) -> DataFrame:
@@ -395,10 +395,10 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
         "value"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     # Equal rows are scored once, so that no block gathers many of them.
-    rows = rows.withColumn("_key", F.xxhash64("_id", "_text")).groupBy("_id", "_key").agg(
+    rows = rows.select("_id", "_text", F.xxhash64("_id", "_text").alias("_key"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(size // BLOCK_BYTES + 1)))
+    rows = rows.repartition("_block").groupBy("_block", "_id", "_key").agg(
         F.first("_text").alias("_text"), F.count("*").alias("_copies"))
-    rows = rows.select("_id", "_text", "_copies", F.pmod(
-        F.xxhash64("_key"), F.lit(size // BLOCK_BYTES + 1)).alias("_block"))
     asked = rows.groupBy("_block").applyInArrow(
         lambda block: _asked(block, sent.value, depth), "_block long, key long")
     answers = asked.join(words.union(table), "key")
