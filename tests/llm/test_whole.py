@@ -34,3 +34,70 @@ def test_parts_of_a_dialogue_joined_are_the_whole_rendering(spark):
     assert len(whole) == 5 and joined == whole
     text, mask, _, own = whole[1, "anna b"]
     assert own == 1 and [text[m.start:m.end] for m in mask] == ["hi<|im_end|>"]
+
+
+def suffix_scores(texts, training, settings):
+    """log10 probabilities of texts in the tree of the training texts, from exact counts."""
+    follows = defaultdict(Counter)
+    for text in training:
+        own = ["<s>", *plain.words(text), None]
+        for at in range(1, len(own)):
+            for level in range(min(settings.depth, at) + 1):
+                follows[tuple(own[at - level:at])][own[at]] += 1
+    root = follows[()]
+    base = sum(root.values()) + 0.5 * (len(root) + 1)
+    entries, back, keep = {}, {}, set()
+
+    def chance(context, word):
+        while context:
+            if context in back and word in entries[context]:
+                return entries[context][word]
+            if context in back:
+                return back[context] * chance(context[1:], word)
+            context = context[1:]
+        return (root[word] + 0.5) / base
+
+    for context in sorted(follows, key=len)[1:]:
+        seen = sum(follows[context].values())
+        if seen >= settings.least:
+            own = {w: n for w, n in follows[context].items() if n >= settings.own}
+            b = (settings.weight + seen - sum(own.values())) / (settings.weight + seen)
+            above = {w: chance(context[1:], w) for w in own}
+            entries[context] = {
+                w: n / (settings.weight + seen) + b * above[w] for w, n in own.items()}
+            back[context] = b
+            divergence = sum(c * math.log(c / above[w]) for w, c in entries[context].items())
+            divergence += (1 - sum(above.values())) * b * math.log(b)
+            if divergence >= settings.divergence:
+                keep |= {context[i:] for i in range(len(context))}
+    back = {context: b for context, b in back.items() if context in keep}
+    out = []
+    for text in texts:
+        own = ["<s>", *plain.words(text), None]
+        out.append(sum(math.log10(chance(tuple(own[max(0, at - settings.depth):at]), own[at]))
+                       for at in range(1, len(own))))
+    return out, len(keep)
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_contexts_are_counted_over_all_texts(spark, monkeypatch, files):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 5000)
+    generator = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = []
+    for i in range(300):
+        own = generator.choices(vocabulary, weights, k=generator.randint(0, 60))
+        texts.append(" ".join(own) + " new york city hall" * (i % 3) + f" only{i}")
+    training = texts[:240]
+    settings = suffix_tree.Settings()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.repartitionByRange(files, "doc_id")
+    found = {r.doc_id: r.score for r in suffix_tree.score(
+        docs, F.col("doc_id") < len(training), settings=settings).collect()}
+    expected, kept = suffix_scores(texts, training, settings)
+    assert kept > 40
+    for i, score in enumerate(expected):
+        assert found[i] == pytest.approx(score, rel=1e-9)
+    learnt = suffix_tree.learn(docs.where(F.col("doc_id") < len(training)).select("text"), settings)
+    assert learnt.contexts.count() == kept
