@@ -245,9 +245,11 @@ def near_links(prints: DataFrame, name: str = "fingerprint", radius: int = RADIU
 
 
 def _components(docs: DataFrame, id: str, text: str, shingle: int, radius: int) -> DataFrame:
-    """``_id``, ``_print``, the component's smallest fingerprint and smallest id, per row."""
+    """``_id``, ``_key`` (a hash of the text), ``_print``, the component's smallest
+    fingerprint and smallest id, per row."""
     need(docs, id, text)
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_key"),
+                       F.col(text).alias("_text"))
     rows = saved(fingerprints(rows, "_text", shingle, "_print"))
     prints = saved(rows.groupBy("_print").agg(F.min("_id").alias("_least")))
     links = near_links(prints.select("_print"), "_print", radius)
@@ -280,17 +282,15 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
                          shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every component: that with the component's smallest ``id``.
 
-    Of rows that repeat an id the one with the smallest hash of its text stays. A
-    component in which no row has an id keeps one row, chosen likewise.
+    Of rows that repeat an id the one with the smallest hash of its text stays, in each
+    component by itself. A component in which no row has an id keeps one row, chosen likewise.
     """
-    found = saved(_components(docs, id, text, shingle, radius))
-    ids = found.where("_id = component_id").select("_id").distinct()
-    order = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(text)))
-    chosen = docs.join(ids, docs[id] == ids["_id"], "left_semi").withColumn("_row", order)
-    chosen = chosen.where("_row = 1").select(*docs.columns)
-    roots = found.where("component_id IS NULL").select("_print", "_root").distinct()
-    unnamed = docs.where(F.col(id).isNull()).withColumn("_text", F.col(text))
-    unnamed = fingerprints(unnamed, "_text", shingle, "_print").join(roots, "_print")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    first = unnamed.groupBy("_root").agg(F.min_by(row, F.xxhash64(text)).alias("_row"))
-    return chosen.union(first.select("_row.*"))
+    found = _components(docs, id, text, shingle, radius)
+    row = F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_key")
+    chosen = found.groupBy("_root").agg(F.min(row).alias("_row")).select(
+        F.col("_row._id").alias("_least_id"), F.col("_row._key").alias("_least_key"))
+    rows = docs.withColumn("_key", F.xxhash64(text))
+    rows = rows.join(chosen, F.col(id).eqNullSafe(F.col("_least_id"))
+                     & (F.col("_key") == F.col("_least_key")), "left_semi")
+    order = F.row_number().over(Window.partitionBy(id, "_key").orderBy("_key"))
+    return rows.withColumn("_row", order).where("_row = 1").select(*docs.columns)

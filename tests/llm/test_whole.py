@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import chat, suffix_tree
+from caseflow.llm import chat, simhash, suffix_tree
 from tests.llm import reference as plain
 
 
@@ -101,3 +101,11 @@ def test_contexts_are_counted_over_all_texts(spark, monkeypatch, files):
         assert found[i] == pytest.approx(score, rel=1e-9)
     learnt = suffix_tree.learn(docs.where(F.col("doc_id") < len(training)).select("text"), settings)
     assert learnt.contexts.count() == kept
+
+
+def test_each_group_keeps_a_document_where_ids_repeat(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(80)) for name in ("one", "two", "three")]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[3]])
