@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,8 +15,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read back from there.
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of this session, set up if it is not yet.
 
     The folder is the one in ``spark.checkpoint.dir``, so that lost executors cost only
     their running tasks. Where that is unset and the session runs inside one process, a
@@ -29,9 +30,22 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder and read back from there."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def handed_on(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet into a new folder under the shared one and read back."""
+    folder = f"{shared_folder(df)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; an id of null counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

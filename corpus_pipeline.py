@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import decontaminate, line_chunks, mixing, queries, simhash, toxicity
-from caseflow.llm.tables import fold, read, saved
+from caseflow.llm.tables import fold, handed_on, read, saved  # noqa: F401 (saved: for tests)
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -86,8 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what one keeps is written before the next begins."""
+    """All stages over the documents; what one keeps is written as Parquet before the
+    next begins, and stays in the checkpoint folder."""
     docs = read(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, saved(docs) if number else docs, sf_dir)
+        docs = stage(spark, handed_on(docs) if number else docs, sf_dir)
     return docs

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from caseflow.llm import chat, simhash, suffix_tree
+from tests.conftest import DATA
 from tests.llm import reference as plain
 
 
@@ -109,3 +111,16 @@ def test_each_group_keeps_a_document_where_ids_repeat(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.drop_near_duplicates(docs).collect()
     assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_stages_are_handed_parquet(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, folder):
+        seen.append((docs.inputFiles(), docs.count()))
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage)])
+    kept = corpus_pipeline.run(spark, DATA)
+    assert seen[1][0] and all(f.endswith(".parquet") for f in seen[1][0])
+    assert 0 < kept.count() == seen[1][1] < seen[0][1]
