@@ -1,5 +1,7 @@
 """SQL for the operators that SQL can express, by query name."""
 
+from caseflow.llm.license_scan import LEAST_SHARE, PHRASES, SLACK, TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
@@ -149,7 +151,141 @@ SELECT doc_id, domain, lang, source, n_tokens,
 FROM run WHERE epochs + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END > 0
 """
 
+
+def _template_rows() -> str:
+    rows = (f"({n}, '{t.label}', {t.k}, {0 if t.whole else SLACK}, "
+            f"{1.0 if t.whole else LEAST_SHARE}, '{' '.join(t.words())}')"
+            for n, t in enumerate(TEMPLATES))
+    return ", ".join(rows)
+
+
+OP11 = f"""
+WITH template AS (
+  SELECT *, string_split(words, ' ') AS w
+  FROM (VALUES {_template_rows()}) AS t(template, label, k, slack, least, words)),
+tgram AS (
+  SELECT template, k, p, list_slice(w, p, p + k - 1) AS gram
+  FROM (SELECT template, k, w, unnest(generate_series(1, len(w) - k + 1)) AS p FROM template)),
+doc AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS w FROM documents),
+dgram AS (
+  SELECT row_id, k, i, list_slice(w, i, i + k - 1) AS gram
+  FROM (SELECT row_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM doc, (SELECT DISTINCT k FROM template) WHERE len(w) >= k)
+  WHERE w[i] IN (SELECT gram[1] FROM tgram)),
+hit AS (SELECT row_id, template, k, i, p, i - p AS diagonal FROM dgram JOIN tgram USING (k, gram)),
+voted AS (SELECT row_id, template, diagonal FROM hit GROUP BY ALL),
+placed AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (
+           PARTITION BY row_id, template ORDER BY diagonal) > slack, true) AS fresh
+  FROM voted JOIN template USING (template)),
+span AS (SELECT row_id, template, diagonal, sum(CAST(fresh AS INTEGER)) OVER (
+           PARTITION BY row_id, template ORDER BY diagonal) AS span FROM placed),
+found AS (
+  SELECT row_id, template, label, min(i) - 1 AS first_word,
+         count(DISTINCT p) / (len(any_value(w)) - any_value(t.k) + 1) AS share
+  FROM hit JOIN span USING (row_id, template, diagonal) JOIN template t USING (template)
+  GROUP BY row_id, template, label, span HAVING share >= any_value(least)),
+summed AS (
+  SELECT row_id, count(*) FILTER (template < {len(PHRASES)}) AS n_base,
+         min(first_word) FILTER (template < {len(PHRASES)}) AS first_word,
+         max(first_word) FILTER (template < {len(PHRASES)}) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (template < {len(PHRASES)}) AS base,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM found GROUP BY row_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0) AS score
+FROM doc LEFT JOIN summed USING (row_id)
+"""
+
+OP12 = f"""
+WITH item AS (
+  SELECT row_number() OVER () AS q, item_id, terms
+  FROM (SELECT DISTINCT item_id, list_sort(list_distinct({_WORDS})) AS terms FROM benchmark)),
+doc AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS words FROM documents),
+whole AS (SELECT count(*) FILTER (len(words) > 0) AS n, sum(len(words)) AS l FROM doc),
+asked AS (SELECT q, item_id, unnest(terms) AS term FROM item),
+posting AS (
+  SELECT row_id, term, count(*) AS tf
+  FROM (SELECT row_id, unnest(words) AS term FROM doc)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), whole),
+long_as AS (SELECT row_id, doc_id, CAST(50 + (50 * len(words) * n) // l AS BIGINT) AS m
+            FROM doc, whole WHERE len(words) > 0),
+scored AS (
+  SELECT q, item_id, doc_id, row_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN posting USING (term) JOIN weight USING (term) JOIN long_as USING (row_id)
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+# Parts, entries and rounds of the codebooks, and how often a component counts.
+_PARTS, _ENTRIES, _ROUNDS, _SCALE = 8, 16, 6, 4096
+
+
+def _round(number: int) -> str:
+    """CTEs of one round: members of each entry, and the entries that follow from them."""
+    return f"""
+near{number} AS ({_nearest(f"book{number}")}),
+mean{number} AS (
+  SELECT position, entry, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT)
+                               ORDER BY place) AS fresh
+  FROM (SELECT position, entry, place, sum(part[place]) AS total, count(*) AS n
+        FROM near{number}, (SELECT unnest(generate_series(1, (SELECT min(len(part)) FROM part)))
+                            AS place)
+        GROUP BY ALL) GROUP BY ALL),
+book{number + 1} AS (SELECT position, entry, coalesce(fresh, centre) AS centre
+                     FROM book{number} LEFT JOIN mean{number} USING (position, entry))"""
+
+
+def _nearest(book: str) -> str:
+    return f"""
+  SELECT row_id, position, part, entry, away FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id, position ORDER BY away, entry) AS place
+    FROM (SELECT row_id, position, part, entry, CAST(list_sum(list_transform(
+                   list_zip(part, centre), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS away
+          FROM part JOIN {book} USING (position)))
+  WHERE place = 1"""
+
+
+OP13 = f"""
+WITH whole AS (
+  SELECT row_number() OVER () AS row_id, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({_SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+part AS (
+  SELECT row_id, position, list_slice(v, position * len(v) // {_PARTS} + 1,
+                                      (position + 1) * len(v) // {_PARTS}) AS part
+  FROM whole, (SELECT unnest(generate_series(0, {_PARTS - 1})) AS position)),
+book0 AS (
+  SELECT position, place - 1 AS entry, part AS centre
+  FROM (SELECT row_id, row_number() OVER (ORDER BY vec_id, v) AS place FROM whole)
+  JOIN part USING (row_id) WHERE place <= {_ENTRIES}),
+{",".join(_round(n) for n in range(_ROUNDS))},
+final AS ({_nearest(f"book{_ROUNDS}")}),
+coded AS (
+  SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY position) AS code,
+         CAST(sum(away) AS BIGINT) AS error FROM final GROUP BY row_id),
+digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY position, entry, place)) AS codebooks_sha256
+  FROM (SELECT position, entry, unnest(centre) AS x,
+               unnest(generate_series(1, len(centre))) AS place FROM book{_ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       codebooks_sha256
+FROM whole JOIN coded USING (row_id), digest
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_license_scans": OP11,
+    "op12_ranked_search": OP12,
+    "op13_vector_codes": OP13,
     "op6_source_mixing": OP6,
     "op1_exact_top_k": OP1,
     "op2_chat_formatting": OP2,

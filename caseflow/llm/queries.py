@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import (
     chat,
     decontaminate,
+    license_scan,
     line_chunks,
+    max_sketch,
     mixing,
     quality,
     simhash,
@@ -18,6 +20,7 @@ from caseflow.llm import (
     topk,
     toxicity,
     url_rules,
+    vector_codes,
 )
 from caseflow.llm.tables import fold, read
 
@@ -113,6 +116,32 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", held_out, "score", predicted)
 
 
+def op11_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.licenses(read(spark, folder, "documents").select("doc_id", "text"))
+    named = len(license_scan.PHRASES)
+    base = F.filter("spans", lambda s: s["template"] < named)
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"),
+        F.array_max("base.first").alias("last_word"),
+        _listed("base.label").alias("base_labels"), _listed("spans.label").alias("labels"),
+        F.coalesce(F.array_max("spans.share"), F.lit(0.0)).alias("score"))
+
+
+def _listed(labels: str) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = max_sketch.build(read(spark, folder, "documents").select("doc_id", "text"))
+    return max_sketch.search(index, read(spark, folder, "benchmark"), 50)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.coded(read(spark, folder, "embeddings"), parts=8, entries=16, rounds=6,
+                              scale=4096)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_formatting": op2_chat_formatting,
@@ -124,4 +153,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_model": op9_language_model,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_license_scans": op11_license_scans,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_vector_codes": op13_vector_codes,
 }
