@@ -16,6 +16,7 @@ from caseflow.functions.semantics import (
     DEFAULT_COLLATION,
     ci_eq,
     ci_in,
+    collation_class,
     fold,
     loose_eq,
     mysql_number,
@@ -25,7 +26,8 @@ from caseflow.functions.semantics import (
 
 __all__ = [
     "BINARY", "DEFAULT_COLLATION", "age_years", "ci_eq", "ci_in", "cleanse_text",
-    "coalesce_milestones", "decode", "exclude_codes", "flag", "fold", "geo_code",
+    "coalesce_milestones", "collation_class", "decode", "exclude_codes", "flag", "fold",
+    "geo_code",
     "loose_eq", "mysql_number", "mysql_truthy", "not_deleted", "period_filter",
     "same_period", "simple_upper", "wait_days", "with_labels",
 ]

@@ -55,6 +55,24 @@ def loose_eq(col: Column, number: Column | float) -> Column:
     return mysql_number(col) == other.cast("double")
 
 
+# Characters that sort one after another under the label collations; texts are told apart by
+# where they fall between these.
+_PIVOTS = "123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def collation_class(col: Column, collation: str = DEFAULT_COLLATION) -> Column:
+    """A small number that is the same for all spellings that the collation holds equal.
+
+    Only comparisons with fixed texts go into it, and equal texts compare alike with any
+    third one. It tells few texts apart, and serves to spread rows, not to identify them.
+    """
+    folded = fold(col, collation)
+    number = F.when(folded < _PIVOTS[0], 0)
+    for place, pivot in enumerate(_PIVOTS[1:], 1):
+        number = number.when(folded < pivot, place)
+    return number.otherwise(F.when(col.isNotNull(), len(_PIVOTS)))
+
+
 # Characters whose upper case is longer than one character, and as many that have no case.
 _GROWING = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
@@ -62,6 +80,8 @@ _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
 
 def simple_upper(col: Column) -> Column:
     """Upper case with one character for one: a character that Spark would write as
-    several, such as ß or ŉ, stays as it is."""
+    several, such as ß or ŉ, stays as it is. Only text beyond ASCII is looked at for these."""
     kept = F.translate(F.upper(F.translate(col, _GROWING, _STAND_INS)), _STAND_INS, _GROWING)
-    return F.when(F.length(F.upper(col)) == F.length(col), F.upper(col)).otherwise(kept)
+    plain = F.octet_length(col) == F.length(col)
+    grown = F.length(F.upper(col)) != F.length(col)
+    return F.when(plain, F.upper(col)).when(grown, kept).otherwise(F.upper(col))

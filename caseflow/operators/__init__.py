@@ -1,13 +1,13 @@
 """DataFrame-level operators the reports are composed of."""
 
-from caseflow.operators.aggregates import count_by, tagged_union
+from caseflow.operators.aggregates import count_by, distinct_rows, tagged_union
 from caseflow.operators.classify import classify, mapping_table
 from caseflow.operators.history import first_per_key, latest_per_key, milestones
 from caseflow.operators.joins import flatten_hierarchy, lookup, match_member
 from caseflow.operators.skew import hot_keys, skew_join
 
 __all__ = [
-    "classify", "count_by", "first_per_key", "flatten_hierarchy", "hot_keys",
+    "classify", "count_by", "distinct_rows", "first_per_key", "flatten_hierarchy", "hot_keys",
     "latest_per_key", "lookup", "mapping_table", "match_member", "milestones",
     "skew_join", "tagged_union",
 ]

@@ -47,6 +47,25 @@ def count_by(
     return grouped.select(*keys, name)
 
 
+def distinct_rows(df: DataFrame, collation: str = BINARY) -> DataFrame:
+    """Distinct rows; under a ``collation`` other than binary, rows whose texts it holds
+    equal are one, each of its texts shown in the smallest spelling in binary order.
+
+    Equal spellings go first, in each map task, so that few rows are compared under the
+    collation; those are sorted by their other columns before any text. Where the rows
+    already lie by some of their other columns, neither step shuffles them.
+    """
+    spelt = df.distinct()
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if collation == BINARY or not texts:
+        return spelt
+    rest = [c for c in df.columns if c not in texts]
+    folded = [fold(F.col(c), collation).alias(f"_{c}") for c in texts]
+    # Of the text itself, min_by is min; beside min, Spark would leave out the first step.
+    smallest = [F.min_by(c, c).alias(c) for c in texts]
+    return spelt.groupBy(*rest, *folded).agg(*smallest).select(*df.columns)
+
+
 def tagged_union(branches: Mapping[str, DataFrame], tag_col: str) -> DataFrame:
     """UNION ALL of the branches with a constant tag per branch.
 

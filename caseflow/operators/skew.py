@@ -8,9 +8,14 @@ from functools import reduce
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with this many rows is cut into parts of about this many rows.
 HOT_ROWS = 1_000_000
+# Keys are first counted by hash in so many buckets, and at most so many of these and of the
+# keys in them are looked at closer. A key with more than one in MAX_HOT of all rows is
+# among them, for no more than MAX_HOT buckets can hold as much.
+BUCKETS, MAX_HOT = 1 << 16, 1 << 12
 # Rows with a NULL key match nothing; they are spread over this many parts.
 NULL_PARTS = 1024
 # A dimension estimated below this size is broadcast.
@@ -33,22 +38,48 @@ def is_below(inputs: Sequence[DataFrame], limit: int) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
-    """Keys with at least ``min_rows`` rows and the parts to cut each into.
+    """The heaviest keys with at least ``min_rows`` rows and the parts to cut each into.
 
     The list is part of the plan of the join that uses it: nothing runs before that join
-    does. Keys are counted exactly and as they are compared, so that spellings that a
-    collation holds equal are one key. Each map task sends one count per key. The list is
-    no longer than the number of rows divided by ``min_rows``, a million keys for 10^12
-    rows, and is sent to every task. NULL keys match nothing and are not listed.
+    does. A first pass over the keys adds up rows in ``BUCKETS`` buckets, a table of a fixed
+    size that every map task sends its share of; a second one counts the keys of the
+    heaviest buckets exactly, as they are compared, so that spellings that a collation holds
+    equal are one key. With no heavy bucket, which adaptive execution finds out, the second
+    pass and the join with the list fall away. The list has ``MAX_HOT`` keys at most, whatever
+    the data, among them every key with more than one in ``MAX_HOT`` of the rows; it is sent
+    to every task. NULL keys match nothing and are not listed.
     """
     min_rows = HOT_ROWS if min_rows is None else min_rows
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counted = df.where(known).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    bucket = F.pmod(F.xxhash64(*[_alike(df, k) for k in keys]), F.lit(BUCKETS)).cast("int")
+    rows = df.where(known).select(*keys, bucket.alias("_bucket"))
+    sketch = rows.groupBy("_bucket").agg(F.count("*").alias("_load"))
+    heavy = _heaviest(sketch, "_load", min_rows).select("_bucket")
+    counted = rows.join(F.broadcast(heavy), ["_bucket"], "left_semi")
+    counted = counted.groupBy(*keys).agg(F.count("*").alias("_rows"))
     parts = F.ceil(F.col("_rows") / min_rows).cast("int").alias("_parts")
-    return counted.where(F.col("_rows") >= min_rows).select(*keys, parts)
+    return _heaviest(counted, "_rows", min_rows).select(*keys, parts)
 
 
-def _part(columns: Sequence[str], keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
+def _heaviest(counts: DataFrame, count: str, least: int) -> DataFrame:
+    others = [c for c in counts.columns if c != count]
+    return counts.where(F.col(count) >= least).orderBy(F.desc(count), *others).limit(MAX_HOT)
+
+
+def _alike(df: DataFrame, key: str) -> Column:
+    """What is hashed of a key: all of it, or under a collation what spellings share.
+
+    Digits and consonants are nearly always that. Spellings that differ in them are
+    counted apart, which can cost balance but no rows.
+    """
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.StringType) or kind.isUTF8BinaryCollation():
+        return F.col(key)
+    plain = F.lower(F.collate(key, "UTF8_BINARY"))
+    return F.regexp_replace(plain, "[^0-9bdfghjklmpqrstvwxz]", "")
+
+
+def _part(columns: Sequence[str | Column], keys: Sequence[str], parts: str, spread_nulls: bool) -> Column:
     """Part number of a row, from a hash of its values so that a retry repeats it."""
     row_hash = F.xxhash64(*columns)
     part = F.when(F.col(parts) > 1, F.pmod(row_hash, F.col(parts)))
@@ -72,8 +103,9 @@ def skew_join(
     how: str = "left",
     hot_left: DataFrame | None = None,
     hot_right: DataFrame | None = None,
-    spread_left: Sequence[str] | None = None,
-    spread_right: Sequence[str] | None = None,
+    spread_left: Sequence[str | Column] | None = None,
+    spread_right: Sequence[str | Column] | None = None,
+    keep_part: bool = False,
 ) -> DataFrame:
     """Equi-join on same-named ``keys`` (inner or left) that splits hot keys.
 
@@ -84,6 +116,10 @@ def skew_join(
     all present in ``right``: a left join drops the null-padded copies of a key on the
     strength of its being there. ``hot_left`` affects balance only.
 
+    ``spread_right`` names what the parts of a hot key of ``right`` are made from, and
+    ``keep_part`` leaves the number in the result as ``_right_part``. The rows then lie by
+    key and part, so that they can be grouped by these and more without a shuffle.
+
     Without either, the join is left to adaptive execution, which cuts what is hot on a
     side that the kind of join lets it cut: both of an inner, the left of a left join.
     """
@@ -91,6 +127,10 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     columns = [*left.columns, *[c for c in right.columns if c not in keys]]
+    if keep_part and hot_right is None:
+        raise ValueError("there are no parts to keep without hot_right")
+    if keep_part:
+        columns.append("_right_part")
     if hot_left is None and hot_right is None:
         return left.join(right, keys, how).select(*columns)
 
@@ -105,13 +145,11 @@ def skew_join(
     if hot_right is not None:
         hot = F.broadcast(hot_right.withColumnRenamed("_parts", "_right_parts"))
         part = _part(spread_right or right.columns, keys, "_right_parts", spread_nulls=False)
-        right = right.join(hot, keys, "left").withColumn("_right_part", part)
-        right = right.drop("_right_parts")
-        right = right.withColumn("_hit", F.lit(True))
+        right = right.join(hot, keys, "left").select(
+            *right.columns, part.alias("_right_part"), F.lit(True).alias("_hit"))
         left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))
         on.append("_right_part")
     joined = left.join(right, on, how)
     if hot_right is not None and how == "left":
-        padded = F.col("_right_parts").isNotNull() & F.col("_hit").isNull()
-        joined = joined.where(~padded)
+        joined = joined.where("_right_parts IS NULL OR _hit IS NOT NULL")
     return joined.select(*columns)

@@ -11,7 +11,7 @@ from caseflow.functions import (
     decode,
     period_filter,
 )
-from caseflow.operators import lookup, match_member, milestones
+from caseflow.operators import lookup, milestones
 from caseflow.plans import common
 from caseflow.plans.common import Tables
 
@@ -49,11 +49,11 @@ def case_detail(
     )
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
                               {"ResponsableCaso": "nombre"})
-    detail = common.with_person(detail, _persons(tables, match, collation), "person_id", tables,
-                                collation)
     closed = common.case_closings(tables, "one", collation, "closed_case")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
-    detail = common.with_services(detail, _services(tables, collation, unknown_time), "case_id", tables)
+    detail = _with_persons(detail, tables, match, collation)
+    services = _services(tables, collation, unknown_time)
+    detail = common.with_services(detail, services, "case_id", tables)
 
     dates = {n: F.col(n) for n in ("closed_case", "fecha_asignado", "fecha_estudio",
                                    "fecha_cerrado", "fecha_resuelto", "service_created")}
@@ -61,7 +61,7 @@ def case_detail(
         F.col("case_id").alias("numero_solicitud_pqrsf"),
         F.col("radicado").alias("numero_radicado"),
         F.col("service_id").alias("numero_servicio"),
-        F.col("mae_tipo_documento_codigo").alias("tipo_doc_usuario"),
+        F.col("tipo_documento").alias("tipo_doc_usuario"),
         F.col("documento").alias("doc_usuario"),
         "municipio_afiliacion",
         "region_afiliacion",
@@ -86,20 +86,18 @@ def case_detail(
     )
 
 
-def _persons(tables: Tables, match: str, collation: str) -> DataFrame:
-    """Persons with the municipality and region of their membership."""
-    persons = tables["aus_personas"].select(
-        F.col("id").alias("person_id"), "mae_tipo_documento_codigo", "documento")
+def _with_persons(detail: DataFrame, tables: Tables, match: str, collation: str) -> DataFrame:
+    """Adds the person, and the municipality and region of the membership."""
     members = tables["aseg_afiliados"].select(
         "numero_documento", F.col("mae_tipo_documento_codigo").alias("member_tipo"),
         "afiliacion_ubicaciones_id")
-    matched = match_member(persons, members, "documento", "mae_tipo_documento_codigo", match,
-                           "numero_documento", "member_tipo", collation)
+    matched = common.with_members(
+        detail, tables, "person_id",
+        {"tipo_documento": "mae_tipo_documento_codigo", "documento": "documento"},
+        members, match, collation)
     placed = lookup(matched, tables["gn_ubicaciones"], "afiliacion_ubicaciones_id", "id",
                     {"municipio_afiliacion": "nombre", "region": "mae_region_valor"})
-    return placed.select(
-        "person_id", "mae_tipo_documento_codigo", "documento", "municipio_afiliacion",
-        common.region_name(F.col("region"), collation).alias("region_afiliacion"))
+    return placed.withColumn("region_afiliacion", common.region_name(F.col("region"), collation))
 
 
 def _services(tables: Tables, collation: str, unknown_time: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions import BINARY, ci_eq, decode, exclude_codes, flag, fold, not_deleted
-from caseflow.operators import hot_keys, latest_per_key, lookup, skew_join
+from caseflow.functions import BINARY, ci_eq, decode, exclude_codes, flag, not_deleted
+from caseflow.operators import hot_keys, latest_per_key, lookup, match_member, skew_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -104,25 +104,29 @@ def attach(df: DataFrame, per_key: DataFrame, key: str, per_key_key: str) -> Dat
     return skew_join(df, per_key.withColumnRenamed(per_key_key, key), [key], "left")
 
 
-def with_person(cases: DataFrame, persons: DataFrame, key: str, tables: Tables,
-                collation: str = BINARY) -> DataFrame:
-    """Cases with their person's columns. A document that very many members share gives
-    each of its persons as many rows; such persons are split by the members' number."""
-    documents = hot_keys(tables["aseg_afiliados"].select(
-        fold(F.col("numero_documento"), collation).alias("_document")), ["_document"])
-    base = tables["aus_personas"].select(
-        F.col("id").alias(key), fold(F.col("documento"), collation).alias("_document"))
-    hot = base.join(F.broadcast(documents), ["_document"]).select(key, "_parts")
-    return skew_join(cases, persons, [key], "left", hot_right=hot)
+def with_members(cases: DataFrame, tables: Tables, key: str, person: Mapping[str, str],
+                 members: DataFrame, match: str, collation: str = BINARY) -> DataFrame:
+    """Cases with columns of their person, one row each, and of the members it matches.
+
+    ``person`` names columns, ``documento`` and ``tipo_documento`` among them; members have
+    ``numero_documento`` and ``member_tipo``. The cases bring the document to the members,
+    so persons and members that no case needs never meet, and what is split is the member
+    side alone, by documents.
+    """
+    found = lookup(cases, tables["aus_personas"], key, "id", person)
+    return match_member(found, members, "documento", "tipo_documento", match,
+                        "numero_documento", "member_tipo", collation)
 
 
-def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables) -> DataFrame:
+def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables,
+                  spread: Sequence[str | Column] = ("service_id",),
+                  keep_part: bool = False) -> DataFrame:
     """Cases with their services, whose own attributes were added before: the two sides
-    meet once, and a case with very many services is split. The hot cases are counted
-    on the service table itself, all rows of which are still in ``services``."""
+    meet once, and a case with very many services is split by ``spread``. The hot cases are
+    counted on the service table itself, all rows of which are still in ``services``."""
     base = tables["aus_caso_servicios"].select(F.col("aus_casos_id").alias(key))
     return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]),
-                     spread_right=["service_id"])
+                     spread_right=spread, keep_part=keep_part)
 
 
 def add_users(df: DataFrame, tables: Tables, key: str, cols: Mapping[str, str]) -> DataFrame:

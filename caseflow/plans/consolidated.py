@@ -19,7 +19,7 @@ from caseflow.functions import (
     period_filter,
     simple_upper,
 )
-from caseflow.operators import flatten_hierarchy, lookup, match_member, milestones
+from caseflow.operators import flatten_hierarchy, lookup, milestones
 from caseflow.plans import common
 from caseflow.plans.common import Tables
 
@@ -84,13 +84,12 @@ def consolidated(
     if reduce_first:
         tables = common.reduced(tables, cases)
     detail = _cases(cases, with_modified, collation)
-    persons = _persons(tables, match, location_role, as_of, year_days, collation)
     # The user is an attribute of the case, so it is looked up before persons repeat cases.
     detail = common.add_users(detail, tables, "gn_usuarios_responsable_id",
                               {"responsable_caso": "nombre"})
-    detail = common.with_person(detail, persons, "person_id", tables, collation)
     closed = common.case_closings(tables, closing, collation, "fecha_cierre")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
+    detail = _with_persons(detail, tables, match, location_role, as_of, year_days, collation)
     services = _services(tables, provider_key, name_fallback, removals, collation)
     detail = common.with_services(detail, services, "case_id", tables)
 
@@ -154,14 +153,8 @@ def _cases(cases: DataFrame, with_modified: bool, collation: str) -> DataFrame:
     )
 
 
-def _persons(tables, match, location_role, as_of, year_days, collation) -> DataFrame:
-    persons = tables["aus_personas"].select(
-        F.col("id").alias("person_id"),
-        F.col("mae_tipo_documento_codigo").alias("tipo_documento"),
-        "documento",
-        "mae_sexo_codigo",
-        F.col("discapacidad").alias("person_disability"),
-    )
+def _with_persons(detail, tables, match, location_role, as_of, year_days,
+                  collation) -> DataFrame:
     home = {"residence": "residencia_ubicacion_id",
             "membership": "afiliacion_ubicaciones_id"}[location_role]
     members = tables["aseg_afiliados"].select(
@@ -176,8 +169,11 @@ def _persons(tables, match, location_role, as_of, year_days, collation) -> DataF
         F.col(home).alias("home_id"),
         F.col("afiliacion_ubicaciones_id").alias("membership_id"),
     )
-    matched = match_member(persons, members, "documento", "tipo_documento", match,
-                           "numero_documento", "member_tipo", collation)
+    matched = common.with_members(detail, tables, "person_id", {
+        "tipo_documento": "mae_tipo_documento_codigo", "documento": "documento",
+        "mae_sexo_codigo": "mae_sexo_codigo", "person_disability": "discapacidad",
+        "known_person": "id",
+    }, members, match, collation)
     places = flatten_hierarchy(tables["gn_ubicaciones"], "id", "gn_ubicaciones_id",
                                ["prefijo", "descripcion"])
     placed = lookup(matched, places, "home_id", "id",
@@ -187,11 +183,13 @@ def _persons(tables, match, location_role, as_of, year_days, collation) -> DataF
     placed = lookup(placed, tables["gn_ubicaciones"], "membership_id", "id",
                     {"region": "mae_region_valor"})
     return placed.select(
-        "person_id", "tipo_documento", "documento", "fecha_nacimiento",
+        *detail.columns, "tipo_documento", "documento", "fecha_nacimiento",
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("edad"),
         F.coalesce("mae_sexo_codigo", "mae_genero_codigo").alias("genero_afectado"),
         "estado_afiliacion", "regimen_afiliacion", "grupo_poblacional",
-        common.disability(F.col("member_disability"), F.col("person_disability"))
+        # A case without a person says nothing of one.
+        F.when(F.col("known_person").isNotNull(), common.disability(
+            F.col("member_disability"), F.col("person_disability")))
         .alias("discapacidad_afectado"),
         geo_code(F.col("parent_prefix"), F.col("prefix")).alias("cod_divipola_afiliacion"),
         common.municipality_name(F.col("municipality"), collation).alias("mpio_afiliacion"),

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions import decode
-from caseflow.operators import lookup, skew_join
+from caseflow.functions import DEFAULT_COLLATION, decode
+from caseflow.operators import distinct_rows, lookup, skew_join
 from caseflow.plans.common import Tables
 
 TABLES = ["cnt_contratos", "cnt_contrato_sedes", "cnt_contrato_detalles", "cnt_prestadores",
@@ -25,26 +25,32 @@ _TARIFF = ["ma_tecnologia_codigo", "ma_tecnologia_valor", "valor_manual", "valor
 _PLACE = ["nombre", "mae_region_valor"]
 
 
-def contract_tariffs(tables: Tables, types: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
-    """Distinct contract x site x technology with its tariff, active rows only."""
+def contract_tariffs(tables: Tables, types: Sequence[int] = (1, 2, 3, 4),
+                     grouping: str = DEFAULT_COLLATION) -> DataFrame:
+    """Distinct contract x site x technology with its tariff, active rows only.
+
+    Texts that ``grouping`` holds equal make one row, shown in the smallest spelling.
+    """
     details = _active_details(tables, types, [*_SERVICE, *_TARIFF])
     rows = _join_sites(tables, details)
-    return rows.select(
+    return distinct_rows(rows.select(
         *_CONTRACT, _type_label(), *_SERVICE,
         F.col("ma_tecnologia_codigo").alias("codigo_tecnologia"), *_TARIFF[1:],
         "mae_modalidad_contrato_valor", *_PLACE,
-    ).distinct()
+    ), grouping)
 
 
-def contract_network(tables: Tables, types: Sequence[int] = (1, 4)) -> DataFrame:
-    """Distinct contract x site x enabled service, active rows only.
+def contract_network(tables: Tables, types: Sequence[int] = (1, 4),
+                     grouping: str = DEFAULT_COLLATION) -> DataFrame:
+    """Distinct contract x site x enabled service, active rows only; ``grouping`` is that of
+    ``contract_tariffs``.
 
     A site repeats an enabled service for each of its technologies; the repeats go
     before the join, within each map task first.
     """
     details = _active_details(tables, types, _SERVICE).distinct()
     rows = _join_sites(tables, details)
-    return rows.select(*_CONTRACT, _type_label(), *_SERVICE, *_PLACE).distinct()
+    return distinct_rows(rows.select(*_CONTRACT, _type_label(), *_SERVICE, *_PLACE), grouping)
 
 
 def _active_details(tables: Tables, types: Sequence[int], cols: list[str]) -> DataFrame:

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import (
-    BINARY,
     DEFAULT_COLLATION,
     ci_in,
     decode,
     period_filter,
     same_period,
 )
-from caseflow.operators import count_by, lookup, match_member, skew_join
+from caseflow.operators import count_by, distinct_rows, lookup, match_member, skew_join
 from caseflow.plans import common
 from caseflow.plans.common import Tables
 
@@ -44,7 +43,7 @@ def monthly_tracking(
     match: str = "type_or_truthy",
     count_distinct_cases: bool = False,
     collation: str = DEFAULT_COLLATION,
-    grouping: str = BINARY,
+    grouping: str | None = None,
 ) -> DataFrame:
     """Case counts per month, segment, origin, person and place of membership.
 
@@ -52,19 +51,20 @@ def monthly_tracking(
     ``count_distinct_cases`` once per place. The segment of cases closed in another
     month is not bounded by creation year unless ``other_month_created_years`` is given.
 
-    ``grouping`` is the collation under which labels fall into one group; the source
-    database groups as it compares, so ``grouping="UNICODE_CI_AI"`` is its meaning.
+    ``grouping`` is the collation under which labels fall into one group, as in the source
+    database the one that compares them unless given.
 
     Cases are read once: each row yields the segments it belongs to. Both the cases and
     the members are counted before they meet, so a person with very many cases or a
     document with very many members is a handful of rows by the time of the joins.
     """
+    grouping = collation if grouping is None else grouping
     segments = _segments(
         tables, created_years, closed_years, same_month_created_years,
         other_month_created_years, open_years, collation)
     counted = count_by(segments, ["person_id", "anio", "mes", "grupo_caso", "origen"],
                        name="cases")
-    places = _person_places(tables, match, count_distinct_cases, collation)
+    places = _person_places(tables, match, count_distinct_cases, collation, grouping)
     joined = skew_join(counted, places, ["person_id"], "left")
     # A case without a person still counts, under empty person and place.
     weighted = joined.withColumn("weight", F.col("cases") * F.coalesce("members", F.lit(1)))
@@ -107,7 +107,7 @@ def _segments(tables, created_years, closed_years, same_month_created_years,
         "person_id", "origen", "s.anio", "s.mes", "s.grupo_caso")
 
 
-def _person_places(tables, match, distinct_places, collation) -> DataFrame:
+def _person_places(tables, match, distinct_places, collation, grouping) -> DataFrame:
     """Per person and place of membership, the number of member rows behind it."""
     members = count_by(
         tables["aseg_afiliados"],
@@ -125,5 +125,6 @@ def _person_places(tables, match, distinct_places, collation) -> DataFrame:
     places = match_member(persons, placed, "documento", "mae_tipo_documento_codigo", match,
                           "numero_documento", "member_tipo", collation, split_members=False)
     if distinct_places:
-        places = places.select(*_PERSON, *_PLACE).distinct().withColumn("members", F.lit(1))
+        places = distinct_rows(places.select(*_PERSON, *_PLACE), grouping)
+        places = places.withColumn("members", F.lit(1))
     return places

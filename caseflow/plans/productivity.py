@@ -24,9 +24,11 @@ COLUMNS = [*DIMS[:-1], "grupo", "fecha_interaccion", "interacciones"]
 
 
 def productivity(tables: Tables, min_year: int = 2024,
-                 collation: str = DEFAULT_COLLATION) -> DataFrame:
+                 collation: str = DEFAULT_COLLATION, grouping: str | None = None) -> DataFrame:
     """Interactions per log entry's case or service, responsible user, place and time.
 
+    Labels fall into one group under ``grouping``, which is ``collation`` unless given.
+
     The case group is keyed by the log entry, the service group by the service. Entries
     of deleted or unknown cases are left out.
     """
@@ -38,7 +40,8 @@ def productivity(tables: Tables, min_year: int = 2024,
     # Each group is counted where its join left it: the join key is one of the
     # dimensions, so the rows need not be shuffled again.
     counted = {
-        tag: count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones")
+        tag: count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones",
+                      collation=collation if grouping is None else grouping)
         for tag, entries in branches.items()
     }
     return tagged_union(counted, "grupo").select(*COLUMNS)

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions import (
+    BINARY,
     DEFAULT_COLLATION,
     age_years,
     cleanse_text,
+    collation_class,
     decode,
     geo_code,
     period_filter,
 )
-from caseflow.operators import flatten_hierarchy, lookup, match_member, milestones
+from caseflow.operators import distinct_rows, flatten_hierarchy, lookup, milestones
 from caseflow.plans import common
 from caseflow.plans.common import Tables
 
@@ -29,6 +32,11 @@ NAME_REMOVALS = [";", ",", "\r", "\n", "\t", '"', "&quot", "\r\n", "\n", "\t", "
 YES_NO = {0: "NO", 1: "SI"}
 ATTRIBUTED = {0: "NO", 1: "SI", 3: "No aplica"}
 
+# What a row shows of its service alone.
+SHOWN_OF_SERVICE = ["medicamento", "servicio_atribuido_ips", "nit_responsable_respuesta",
+                    "IPS_responsable_respuesta", "ambito_servicio", "fecha_cierre_servicio",
+                    "codigo_servicio_pqrd", "descripcion_servicio_pqrd"]
+
 PROVIDER_KEYS = ("site_id", "foreign_key")
 
 
@@ -42,9 +50,13 @@ def wide_detail(
     collation: str = DEFAULT_COLLATION,
     unknown_time: str = "first",
     reduce_first: bool = False,
+    grouping: str | None = None,
 ) -> DataFrame:
     """Distinct rows of live cases, their person, places and services.
 
+    Rows are distinct under ``grouping``, which is ``collation`` unless given: texts that it
+    holds equal make one row, with the smallest spelling of each.
+
     Joins that could add no column to a distinct result (phones, unread statuses, the
     responsible user) are left out. ``provider_key`` takes the provider either by the
     service's site id or through the site's foreign key. ``unknown_time`` and
@@ -52,6 +64,7 @@ def wide_detail(
     """
     if provider_key not in PROVIDER_KEYS:
         raise ValueError(f"provider_key must be one of {PROVIDER_KEYS}, not {provider_key!r}")
+    grouping = collation if grouping is None else grouping
     cases = common.live_cases(tables, exclude_types=False)
     cases = cases.where(period_filter(F.col("fecha_hora_crea"), min_year=min_year))
     places = flatten_hierarchy(tables["gn_ubicaciones"], "id", "gn_ubicaciones_id",
@@ -61,12 +74,13 @@ def wide_detail(
         tables = common.reduced(tables, cases)
     # Each attribute is computed at its own grain; the last step only renames and picks.
     detail = _cases(cases, places, tables, collation)
-    persons = _persons(tables, places, match, as_of, year_days, collation)
-    detail = common.with_person(detail, persons, "person_id", tables, collation)
     closed = common.case_closings(tables, "one", collation, "fecha_cierre_caso")
     detail = common.attach(detail, closed, "case_id", "aus_casos_id")
-    detail = common.with_services(
-        detail, _services(tables, provider_key, collation, unknown_time), "case_id", tables)
+    detail = _with_persons(detail, tables, places, match, as_of, year_days, collation)
+    services = _services(tables, provider_key, collation, unknown_time)
+    # A hot case is split by what its rows show of the service, so that equal rows meet.
+    spread = [_alike(services.schema[c].dataType, c, grouping) for c in SHOWN_OF_SERVICE]
+    detail = common.with_services(detail, services, "case_id", tables, spread, keep_part=True)
 
     rows = detail.select(
         F.col("tipo_documento").alias("tipo_identificacion_afectado"),
@@ -107,13 +121,21 @@ def wide_detail(
         "codigo_servicio_pqrd",
         "descripcion_servicio_pqrd",
         "reabierto_Supersalud",
+        "_right_part",
     )
-    # Distinct while the case id is still the column the rows are partitioned by, so that
-    # no further shuffle is needed; only then is the id made text.
-    return rows.distinct().withColumn(
+    # Distinct while the rows lie by case id and part, so that no further shuffle is needed:
+    # equal rows have the same part. Only then is the id made text.
+    return distinct_rows(rows, grouping).drop("_right_part").withColumn(
         "numero_solicitud_pqrsf", F.col("numero_solicitud_pqrsf").cast("string"))
 
 
+def _alike(kind: T.DataType, name: str, grouping: str) -> Column:
+    """The same value for all that DISTINCT holds equal."""
+    if isinstance(kind, T.StringType) and grouping != BINARY:
+        return collation_class(F.col(name), grouping)
+    return F.col(name)
+
+
 def _cases(cases, places, tables, collation) -> DataFrame:
     placed = lookup(cases, places, "gn_ubicaciones_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
@@ -140,14 +162,7 @@ def _cases(cases, places, tables, collation) -> DataFrame:
     )
 
 
-def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
-    persons = tables["aus_personas"].select(
-        F.col("id").alias("person_id"),
-        F.col("mae_tipo_documento_codigo").alias("tipo_documento"),
-        "documento",
-        "mae_sexo_codigo",
-        F.col("discapacidad").alias("person_disability"),
-    )
+def _with_persons(detail, tables, places, match, as_of, year_days, collation) -> DataFrame:
     # Members that agree in every column read are rare, and the result is distinct anyway.
     members = tables["aseg_afiliados"].select(
         "numero_documento",
@@ -160,14 +175,16 @@ def _persons(tables, places, match, as_of, year_days, collation) -> DataFrame:
         F.col("discapacidad").alias("member_disability"),
         "residencia_ubicacion_id",
     )
-    matched = match_member(persons, members, "documento", "tipo_documento", match,
-                           "numero_documento", "member_tipo", collation)
+    matched = common.with_members(detail, tables, "person_id", {
+        "tipo_documento": "mae_tipo_documento_codigo", "documento": "documento",
+        "mae_sexo_codigo": "mae_sexo_codigo", "person_disability": "discapacidad",
+    }, members, match, collation)
     placed = lookup(matched, places, "residencia_ubicacion_id", "id",
                     {"prefix": "prefijo", "parent_prefix": "parent_prefijo",
                      "municipality": "descripcion", "region": "mae_region_valor"},
                     sized_by=[tables["gn_ubicaciones"]])
     return placed.select(
-        "person_id", "tipo_documento", "documento", "fecha_nacimiento",
+        *detail.columns, "tipo_documento", "documento", "fecha_nacimiento",
         age_years(F.col("fecha_nacimiento"), as_of, year_days).alias("Edad_actual"),
         F.coalesce("mae_sexo_codigo", "mae_genero_codigo").alias("genero_afectado"),
         "estado_afiliacion", "regimen_afiliacion", "grupo_poblacional",

@@ -8,7 +8,14 @@ join, and joins that the Spark plans leave out are kept.
 from __future__ import annotations
 
 from caseflow.sources.star_schema import BASE_TABLES, DOMAIN_SQL
-from checks.queries import AS_OF, EVENT_TYPES, PERSON, SUBREGION_SAMPLE
+from checks.queries import (
+    AS_OF,
+    EVENT_TYPES,
+    PERSON,
+    SPELT_SERVICE,
+    SPELT_TARIFF,
+    SUBREGION_SAMPLE,
+)
 
 # Fixed values, spelt here anew: strings deleted from names, in this order.
 NAME_REMOVALS = [";", ",", "\r", "\n", "\t", '"', "&quot", "\r\n", "\n", "\t", "", "  "]
@@ -88,6 +95,24 @@ def _with(tables: list[str], body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([*map(_domain, tables), *ctes]) + "\n" + body
 
 
+def _spelt_twice(sql: str, table: str, columns: list[str], shown: list[str],
+                 summed: str | None = None) -> str:
+    """A query over a table that has every row again in other spellings: the labels as
+    ``shown`` that fold alike are one, in the smallest spelling."""
+    other = ", ".join(f"translate(upper({c}), 'AEO', '\u00c1\u00c9\u00d3') AS {c}" for c in columns)
+    once = _domain(table).replace(f"{table} AS", f"{table}_once AS", 1)
+    twice = (f"{table} AS (SELECT * FROM {table}_once UNION ALL "
+             f"SELECT * REPLACE ({other}) FROM {table}_once)")
+    assert _domain(table) in sql
+    rows = sql.replace(_domain(table), f"{once},\n{twice}", 1)
+    left_out = [*shown, *([summed] if summed else [])]
+    keys = [f"lower(strip_accents({c})) AS key_{i}, min({c}) AS {c}" for i, c in enumerate(shown)]
+    sums = [f"CAST(sum({summed}) AS BIGINT) AS {summed}"] if summed else []
+    return (f"SELECT * EXCLUDE ({', '.join(f'key_{i}' for i in range(len(shown)))}) FROM ("
+            f"SELECT * EXCLUDE ({', '.join(left_out)}), {', '.join([*keys, *sums])} "
+            f"FROM ({rows}) GROUP BY ALL)")
+
+
 def _text(value: str) -> str:
     """A SQL literal; control characters as chr() since DuckDB does not unescape."""
     parts = ["chr(%d)" % ord(c) if c in "\r\n\t" else "'%s'" % c.replace("'", "''")
@@ -379,6 +404,15 @@ _CONTRACT_COLUMNS = """
 _CONTRACT_TABLES = ["cnt_contratos", "cnt_contrato_sedes", "cnt_contrato_detalles",
                     "cnt_prestadores", "cnt_prestador_sedes", "gn_ubicaciones"]
 
+_TARIFFS = _with(_CONTRACT_TABLES, f"""
+    SELECT DISTINCT {_CONTRACT_COLUMNS}, d.ma_tecnologia_codigo AS codigo_tecnologia,
+           d.ma_tecnologia_valor, CAST(d.valor_manual AS DOUBLE) AS valor_manual,
+           CAST(d.valor_contratado AS DOUBLE) AS valor_contratado, d.complejidad,
+           cs.mae_modalidad_contrato_valor
+    {_CONTRACT_JOINS.format(types="1, 2, 3, 4")}""")
+_NETWORK = _with(_CONTRACT_TABLES, f"""
+    SELECT DISTINCT {_CONTRACT_COLUMNS} {_CONTRACT_JOINS.format(types="1, 4")}""")
+
 
 def _subregion_case(column: str, classes, default: str) -> str:
     arms = " ".join(
@@ -690,14 +724,18 @@ ORACLE: dict[str, str] = {
         LEFT JOIN gn_ubicaciones m ON m.id = a.afiliacion_ubicaciones_id
         LEFT JOIN gn_ubicaciones d ON d.id = m.gn_ubicaciones_id
         WHERE lower(strip_accents(a.mae_estado_afiliacion_valor)) = 'activo' GROUP BY 1"""),
-    "contract_tariffs": _with(_CONTRACT_TABLES, f"""
-        SELECT DISTINCT {_CONTRACT_COLUMNS}, d.ma_tecnologia_codigo AS codigo_tecnologia,
-               d.ma_tecnologia_valor, CAST(d.valor_manual AS DOUBLE) AS valor_manual,
-               CAST(d.valor_contratado AS DOUBLE) AS valor_contratado, d.complejidad,
-               cs.mae_modalidad_contrato_valor
-        {_CONTRACT_JOINS.format(types="1, 2, 3, 4")}"""),
-    "contract_network": _with(_CONTRACT_TABLES, f"""
-        SELECT DISTINCT {_CONTRACT_COLUMNS} {_CONTRACT_JOINS.format(types="1, 4")}"""),
+    "contract_tariffs": _TARIFFS,
+    "contract_network": _NETWORK,
+    "contract_tariffs_folded": _spelt_twice(
+        _TARIFFS, "cnt_contrato_detalles", SPELT_TARIFF, SPELT_TARIFF),
+    "contract_network_folded": _spelt_twice(
+        _NETWORK, "cnt_contrato_detalles", SPELT_TARIFF, SPELT_TARIFF[1:]),
+    "wide_detail_folded": _spelt_twice(
+        _WIDE_DETAIL, "aus_caso_servicios", SPELT_SERVICE,
+        ["descripcion_servicio_pqrd", "ambito_servicio"]),
+    "productivity_folded": _spelt_twice(
+        _PRODUCTIVITY, "aus_servicio_gestiones", ["mae_estado_valor"],
+        ["estado_interaccion"], summed="interacciones"),
     "authorization_wait": _AUTHORIZATION,
     "person_history": _with(
         [table for table, *_ in _FEED_SQL.values()],

@@ -398,8 +398,10 @@ productivity = _report(
     lambda t: plans.productivity(t, min_year=1999, collation=BINARY))
 members_by_municipality = _report(
     MEMBERS_TABLES, lambda t: plans.members_by_municipality(t, collation=BINARY))
-contract_tariffs = _report(CONTRACTS_TABLES, plans.contract_tariffs)
-contract_network = _report(CONTRACTS_TABLES, plans.contract_network)
+contract_tariffs = _report(
+    CONTRACTS_TABLES, lambda t: plans.contract_tariffs(t, grouping=BINARY))
+contract_network = _report(
+    CONTRACTS_TABLES, lambda t: plans.contract_network(t, grouping=BINARY))
 authorization_wait = _report(
     AUTHORIZATION_TABLES,
     lambda t: plans.authorization_wait(
@@ -422,6 +424,23 @@ def _respelt(tables):
     return out
 
 
+def _spelt_twice(tables, name, columns):
+    """Every row of a table again, with other spellings of labels that the report shows."""
+    again = tables[name].withColumns(
+        {c: F.translate(F.upper(c), "AEO", "\u00c1\u00c9\u00d3") for c in columns})
+    return {**tables, name: tables[name].unionAll(again)}
+
+
+SPELT_TARIFF = ["ma_tecnologia_valor", "ma_servicio_habilitacion_valor"]
+SPELT_SERVICE = ["ma_tecnologia_valor", "mae_servicio_ambito_valor"]
+contract_tariffs_folded = _report(CONTRACTS_TABLES, lambda t: plans.contract_tariffs(
+    _spelt_twice(t, "cnt_contrato_detalles", SPELT_TARIFF)))
+contract_network_folded = _report(CONTRACTS_TABLES, lambda t: plans.contract_network(
+    _spelt_twice(t, "cnt_contrato_detalles", SPELT_TARIFF)))
+wide_detail_folded = _report(WIDE_TABLES, lambda t: plans.wide_detail(
+    _spelt_twice(t, "aus_caso_servicios", SPELT_SERVICE), min_year=1998, as_of=AS_OF))
+productivity_folded = _report(PRODUCTIVITY_TABLES, lambda t: plans.productivity(
+    _spelt_twice(t, "aus_servicio_gestiones", ["mae_estado_valor"]), min_year=1999))
 case_detail_folded = _report(
     CASE_TABLES, lambda t: plans.case_detail(_respelt(t), min_year=1998))
 monthly_tracking_folded = _report(
@@ -478,6 +497,10 @@ QUERIES: dict[str, Query] = {
     "productivity": productivity,
     "members_by_municipality": members_by_municipality,
     "case_detail_folded": case_detail_folded,
+    "contract_tariffs_folded": contract_tariffs_folded,
+    "contract_network_folded": contract_network_folded,
+    "wide_detail_folded": wide_detail_folded,
+    "productivity_folded": productivity_folded,
     "monthly_tracking_folded": monthly_tracking_folded,
     "members_by_municipality_folded": members_by_municipality_folded,
     "contract_tariffs": contract_tariffs,

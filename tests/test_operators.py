@@ -7,6 +7,7 @@ from caseflow.data.subregions import SUBREGIONS
 from caseflow.operators import (
     classify,
     count_by,
+    distinct_rows,
     first_per_key,
     flatten_hierarchy,
     hot_keys,
@@ -18,6 +19,7 @@ from caseflow.operators import (
     skew_join,
     tagged_union,
 )
+from caseflow.functions import collation_class
 from caseflow.operators import skew
 from tests.conftest import DATA, plan_of
 
@@ -298,3 +300,58 @@ def test_spellings_that_compare_equal_are_one_key(spark):
 def test_many_rows_of_one_key_in_a_small_file_are_split(spark, tmp_path):
     spark.range(2_000_001).select(F.lit(7).alias("k")).write.parquet(str(tmp_path / "t"))
     assert rows(hot_keys(spark.read.parquet(str(tmp_path / "t")), ["k"])) == [(7, 3)]
+
+
+def test_the_list_of_hot_keys_is_bounded_and_keeps_the_heaviest(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HOT", 5)
+    sizes = {k: 10 + k for k in range(40)}
+    df = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "k int")
+    found = rows(hot_keys(df, ["k"], min_rows=10))
+    assert [k for k, _ in found] == [35, 36, 37, 38, 39]
+    # With fewer buckets than keys, the heaviest buckets are still counted by key.
+    monkeypatch.setattr(skew, "BUCKETS", 3)
+    assert rows(hot_keys(df, ["k"], min_rows=10)) == found
+
+
+def test_keys_without_weight_cost_no_second_pass(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("k")).write.parquet(str(tmp_path / "t"))
+    found = hot_keys(spark.read.parquet(str(tmp_path / "t")), ["k"])
+    assert rows(found) == []
+    plan = plan_of(found)
+    first = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert first.count("FileScan") <= 1
+
+
+def test_parts_made_from_shown_columns_keep_equal_rows_together(spark):
+    left = spark.createDataFrame([(7, "a"), (8, "b"), (9, "c")], "k int, l string")
+    right = spark.createDataFrame(
+        [(7, i % 13, i) for i in range(200)] + [(8, 1, 1), (8, 1, 2)], "k int, shown int, id int")
+    joined = skew_join(left, right, ["k"], "left", hot_right=hot(right),
+                       spread_right=["shown"], keep_part=True)
+    kept = joined.select("k", "l", "shown", "_right_part").distinct()
+    assert kept.where("k = 7").select("_right_part").distinct().count() > 3
+    expected = left.join(right, ["k"], "left").select("k", "l", "shown").distinct()
+    assert rows(kept.drop("_right_part")) == rows(expected)
+    with pytest.raises(ValueError):
+        skew_join(left, right, ["k"], "left", keep_part=True)
+
+
+def test_distinct_rows_under_a_collation(spark):
+    data = [("Abc", 1, "x"), ("ABC", 1, "X"), ("ábc", 1, "x"), ("abc", 2, "x"),
+            (None, 1, "x"), (None, 1, "X"), ("Abc", 1, None), ("Abc", 1, "x")]
+    df = spark.createDataFrame(data, "a string, n int, b string")
+    assert len(rows(distinct_rows(df))) == 7
+    folded = rows(distinct_rows(df, "UNICODE_CI_AI"))
+    assert folded == sorted(
+        [("ABC", 1, "X"), ("Abc", 1, None), (None, 1, "X"), ("abc", 2, "x")], key=repr)
+
+
+def test_classes_of_a_collation_agree_for_equal_spellings(spark):
+    pairs = [("Café", "CAFE"), ("Ñandú", "nandu"), ("9a", "9A"), ("ß", "SS"),
+             ("\u0001x", "x"), ("zz", "ZZ"), ("", ""), ("-1", "-1"), ("ﬁn", "FIN")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    equal = df.where(F.collate("a", "UNICODE_CI_AI") == F.collate("b", "UNICODE_CI_AI"))
+    assert equal.count() >= 7
+    assert equal.where(collation_class(F.col("a")) != collation_class(F.col("b"))).count() == 0
+    spread = spark.createDataFrame([(c,) for c in "0aBcz9é-"], "a string")
+    assert spread.select(collation_class(F.col("a"))).distinct().count() == 7

@@ -15,7 +15,8 @@ SPLIT = ["case_detail", "wide_detail", "consolidated_ties", "consolidated_one",
          "monthly_tracking", "monthly_tracking_distinct", "productivity", "contract_tariffs",
          "contract_network", "authorization_wait", "match_strict", "match_document",
          "match_type_or_truthy", "role_playing", "provider_chain", "case_detail_folded",
-         "match_strict_folded"]
+         "match_strict_folded", "contract_tariffs_folded", "wide_detail_folded",
+         "productivity_folded"]
 
 
 @pytest.fixture(scope="module")

@@ -36,8 +36,9 @@ def test_case_detail_dates(detail):
     # The last closing entry; the NULL one does not count as last.
     assert got[1000].fecha_cierre == ts("2023-03-20 08:00:00")
     assert got[1001].fecha_cierre == ts("2023-07-10")
-    # The unknown time of the first assignment is ignored.
-    assert got[1000].fecha_asignacion_servicio == ts("2023-03-06")
+    # The first assignment has no known time and counts as the earliest, so the study
+    # that follows gives the date.
+    assert got[1000].fecha_asignacion_servicio == ts("2023-03-08")
     assert got[1001].fecha_asignacion_servicio == ts("2023-05-09")
     assert got[1002].fecha_asignacion_servicio == ts("2023-01-01")
     assert got[1000].fecha_solucion_servicio == ts("2023-03-15")
@@ -157,11 +158,19 @@ def test_location_role(tables):
     assert place.where("numero_servicio = 1000").first().cod_divipola_afiliacion == "05088"
 
 
+def test_case_detail_with_unknown_times_ignored(tables):
+    detail = plans.case_detail(tables, unknown_time="ignore")
+    assert detail.where("numero_servicio = 1000").first().fecha_asignacion_servicio == ts(
+        "2023-03-06")
+
+
 # Wide detail ---------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
 def wide(tables):
-    return plans.wide_detail(tables, as_of=AS_OF).cache()
+    rows = plans.wide_detail(tables, as_of=AS_OF).cache()
+    yield rows
+    rows.unpersist()
 
 
 def test_wide_rows(wide):
@@ -204,7 +213,9 @@ def test_wide_provider_key(tables):
         plans.wide_detail(tables, provider_key="name")
 
 
-def test_wide_distinct_needs_no_shuffle_of_its_own(tables):
+def test_wide_distinct_needs_no_shuffle_of_its_own(spark, tables):
+    # The plan of a report, and not that of a cached copy of it.
+    spark.catalog.clearCache()
     plan = plan_of(plans.wide_detail(tables, as_of=AS_OF))
     above_join = plan[:plan.index("SortMergeJoin")]
     assert "HashAggregate" in above_join and "Exchange" not in above_join
