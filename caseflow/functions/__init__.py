@@ -14,6 +14,7 @@ from caseflow.functions.filters import exclude_codes, not_deleted, period_filter
 from caseflow.functions.semantics import (
     BINARY,
     DEFAULT_COLLATION,
+    Spellings,
     ci_eq,
     ci_in,
     collation_class,
@@ -25,7 +26,7 @@ from caseflow.functions.semantics import (
 )
 
 __all__ = [
-    "BINARY", "DEFAULT_COLLATION", "age_years", "ci_eq", "ci_in", "cleanse_text",
+    "BINARY", "DEFAULT_COLLATION", "Spellings", "age_years", "ci_eq", "ci_in", "cleanse_text",
     "coalesce_milestones", "collation_class", "decode", "exclude_codes", "flag", "fold",
     "geo_code",
     "loose_eq", "mysql_number", "mysql_truthy", "not_deleted", "period_filter",

@@ -8,7 +8,9 @@ make each of those choices explicit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable, Mapping, Sequence
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BINARY = "binary"
@@ -27,14 +29,57 @@ def fold(col: Column, collation: str = DEFAULT_COLLATION) -> Column:
     return col if collation == BINARY else F.collate(col, collation)
 
 
+class Spellings(str):
+    """The name of a collation that also knows how the labels of some columns are spelt.
+
+    Given in place of the name, it turns a comparison of one of these columns with fixed
+    labels into a binary IN over all spellings that the collation holds equal, which a
+    parquet scan can test against its statistics. Any other comparison stays as it is.
+    ``caseflow.sources.label_spellings`` reads the spellings from the tables at hand.
+    """
+
+    labels: Mapping[str, tuple[str, ...]]
+    spark: SparkSession
+
+    def __new__(cls, collation: str, labels: Mapping[str, Iterable[str]], spark: SparkSession):
+        made = super().__new__(cls, collation)
+        made.labels = {column: tuple(found) for column, found in labels.items()}
+        made.spark = spark
+        return made
+
+    def of(self, column: str, values: Sequence[str]) -> list[str] | None:
+        """The spellings of ``values`` in a column, None if its labels are not known.
+
+        A filter over rows of the plan itself, which Spark evaluates without a job.
+        """
+        if column not in self.labels:
+            return None
+        if not self.labels[column]:
+            return []
+        rows = ", ".join(["(?)"] * len(self.labels[column]))
+        known = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(label)",
+                               args=list(self.labels[column]))
+        same = known.where(F.collate("label", str(self)).isin(*values))
+        return sorted(r.label for r in same.collect())
+
+
 def ci_eq(col: Column, value: Column | str, collation: str = DEFAULT_COLLATION) -> Column:
     """Equality that ignores what the collation ignores."""
-    other = F.lit(value) if isinstance(value, str) else value
-    return fold(col, collation) == other
+    if isinstance(value, str):
+        return ci_in(col, [value], collation)
+    return fold(col, collation) == value
 
 
 def ci_in(col: Column, values: list[str], collation: str = DEFAULT_COLLATION) -> Column:
     """Membership that ignores what the collation ignores."""
+    if isinstance(collation, Spellings):
+        spelt = collation.of(str(col)[len("Column<'"):-len("'>")], values)
+        if spelt:
+            return col.isin(*spelt)
+        if spelt is not None:
+            return F.when(col.isNotNull(), F.lit(False))
+    if len(values) == 1:
+        return fold(col, collation) == values[0]
     return fold(col, collation).isin(*values)
 
 

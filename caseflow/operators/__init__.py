@@ -3,11 +3,20 @@
 from caseflow.operators.aggregates import count_by, distinct_rows, tagged_union
 from caseflow.operators.classify import classify, mapping_table
 from caseflow.operators.history import first_per_key, latest_per_key, milestones
-from caseflow.operators.joins import flatten_hierarchy, lookup, match_member
+from caseflow.operators.incremental import (
+    StateTable,
+    merge_latest,
+    merge_milestones,
+    milestone_state,
+    milestones_of,
+)
+from caseflow.operators.joins import flatten_hierarchy, hierarchy_roots, lookup, match_member
+from caseflow.operators.marks import keep_marked, key_marks
 from caseflow.operators.skew import hot_keys, skew_join
 
 __all__ = [
-    "classify", "count_by", "distinct_rows", "first_per_key", "flatten_hierarchy", "hot_keys",
-    "latest_per_key", "lookup", "mapping_table", "match_member", "milestones",
-    "skew_join", "tagged_union",
+    "StateTable", "classify", "count_by", "distinct_rows", "first_per_key", "flatten_hierarchy",
+    "hierarchy_roots", "hot_keys", "keep_marked", "key_marks", "latest_per_key", "lookup",
+    "mapping_table", "match_member", "merge_latest", "merge_milestones", "milestone_state",
+    "milestones", "milestones_of", "skew_join", "tagged_union",
 ]

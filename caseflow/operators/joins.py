@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.semantics import BINARY, fold, mysql_truthy
 from caseflow.operators import skew
 from caseflow.operators.skew import hot_keys, is_below, skew_join
+from caseflow.session import checkpointed
 
 
 def lookup(
@@ -81,6 +82,39 @@ def flatten_hierarchy(
     return flat.drop("_up")
 
 
+def hierarchy_roots(dim: DataFrame, id: str, parent: str) -> DataFrame:
+    """Every node's root and its depth under it, for a hierarchy of any depth.
+
+    Columns are ``id``, ``root``, ``depth`` (0 for a root) and ``in_cycle``. A node without
+    a parent, or whose parent is not there, is a root. A node on a cycle, or under one, has
+    no root: it is marked, and root and depth are NULL. Ids must be unique; a NULL id is left out.
+
+    Pointers double: each round a node that has not met its root takes over the pointer of
+    the node it points to, so that a chain of a million nodes takes 20 rounds. Rounds end
+    when all have met theirs, or have gone further than there are nodes. Nodes that are done
+    take no part as askers, so a root with very many nodes is no hot key; each round is
+    written to the checkpoint folder.
+    """
+    nodes = dim.where(F.col(id).isNotNull()).select(F.col(id), F.col(parent).alias("_parent"))
+    known = nodes.select(F.col(id).alias("_parent"), F.lit(True).alias("_known"))
+    top = F.when(F.col("_known"), F.col("_parent"))
+    state = nodes.join(known, ["_parent"], "left").select(
+        id, F.coalesce(top, F.col(id)).alias("root"),
+        top.isNotNull().cast("long").alias("depth"), top.isNull().alias("_done"))
+    state = checkpointed(state)
+    total, reach = state.count(), 1
+    while reach <= total and state.where("NOT _done").limit(1).count():
+        ahead = state.select(F.col(id).alias("root"), F.col("root").alias("_next"),
+                             F.col("depth").alias("_further"), F.col("_done").alias("_ends"))
+        open_ = state.where("NOT _done").drop("_done").join(ahead, ["root"]).select(
+            id, F.col("_next").alias("root"), (F.col("depth") + F.col("_further")).alias("depth"),
+            F.col("_ends").alias("_done"))
+        state, reach = checkpointed(state.where("_done").unionByName(open_)), reach * 2
+    return state.select(id, F.when(F.col("_done"), F.col("root")).alias("root"),
+                        F.when(F.col("_done"), F.col("depth")).alias("depth"),
+                        (~F.col("_done")).alias("in_cycle"))
+
+
 MATCH_MODES = ("strict", "document", "type_or_truthy")
 
 

@@ -12,6 +12,7 @@ from caseflow.functions import DEFAULT_COLLATION, ci_in, period_filter, wait_day
 from caseflow.functions.semantics import BINARY
 from caseflow.operators import classify, mapping_table, skew_join
 from caseflow.plans.common import Tables
+from caseflow.sources.landing import MONTH, in_months
 
 TABLES = ["au_anexos3", "au_anexos4", "au_anexo4_items"]
 
@@ -39,8 +40,11 @@ def authorization_wait(
     """One row per authorised item whose request date lies in the period.
 
     Requests outside the period are cut before the join. An authorisation without a
-    request has no date to test and is left out.
+    request has no date to test and is left out. Of tables written by ``land_requests`` only
+    the months of the period are read, of all three.
     """
+    tables = {n: tables[n].where(in_months(tables[n], str(start), str(end))).drop(MONTH)
+              for n in TABLES}
     requests = tables["au_anexos3"].where(
         period_filter(F.col("fecha_solicitud"), start=start, end=end,
                       inclusive_end=inclusive_end)

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import BINARY, ci_eq, decode, exclude_codes, flag, not_deleted
-from caseflow.operators import hot_keys, latest_per_key, lookup, match_member, skew_join
+from caseflow.operators import (
+    hot_keys,
+    keep_marked,
+    key_marks,
+    latest_per_key,
+    lookup,
+    match_member,
+    skew_join,
+)
 
 Tables = Mapping[str, DataFrame]
 
@@ -41,22 +49,24 @@ def live_cases(tables: Tables, exclude_types: bool = True) -> DataFrame:
 
 
 def reduced(tables: Tables, cases: DataFrame) -> Tables:
-    """The tables with only the services, log entries and persons of ``cases``.
+    """The tables with little more than the services, log entries and persons of ``cases``.
 
-    Worth its further shuffles where the cases are a small part, such as one year of many:
-    what belongs to the others is then neither aggregated nor matched.
+    Worth its further reads where the cases are a small part, such as one year of many: what
+    belongs to the others is tested against a bit set of the kept keys where it is read, and
+    is then neither shuffled nor aggregated nor matched. The few rows that pass by chance
+    belong to no kept case and fall out of the joins.
     """
-    ids = cases.select(F.col("id").alias("aus_casos_id"))
-    services = tables["aus_caso_servicios"].join(ids, ["aus_casos_id"], "left_semi")
-    of_services = services.select(F.col("id").alias("aus_servicios_id"))
-    of_cases = cases.select(F.col("aus_personas_id").alias("id"))
+    of_cases = key_marks(cases, "id")
+    services = keep_marked(tables["aus_caso_servicios"], "aus_casos_id", of_cases)
+    of_services = key_marks(services, "id")
     return {
         **tables,
         "aus_caso_servicios": services,
-        "aus_seguimientos": tables["aus_seguimientos"].join(ids, ["aus_casos_id"], "left_semi"),
-        "aus_servicio_gestiones": tables["aus_servicio_gestiones"].join(
-            of_services, ["aus_servicios_id"], "left_semi"),
-        "aus_personas": tables["aus_personas"].join(of_cases, ["id"], "left_semi"),
+        "aus_seguimientos": keep_marked(tables["aus_seguimientos"], "aus_casos_id", of_cases),
+        "aus_servicio_gestiones": keep_marked(
+            tables["aus_servicio_gestiones"], "aus_servicios_id", of_services),
+        "aus_personas": keep_marked(
+            tables["aus_personas"], "id", key_marks(cases, "aus_personas_id")),
     }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import with_labels
 from caseflow.plans.common import Tables
+from caseflow.sources.landing import of_person
 
 TABLES = ["RIPS_AC_LLAVE", "RIPS_AU_LLAVE", "RIPS_AH_LLAVE", "RIPS_AP_LLAVE"]
 
@@ -178,7 +179,8 @@ def person_history(tables: Tables, person: str, since: str | dt.date = "2015-01-
                    feeds: Mapping[str, Feed] = FEEDS) -> DataFrame:
     """One timeline over all feeds: feed, event date and every feed's columns by name.
 
-    A column that a feed does not have is NULL there.
+    A column that a feed does not have is NULL there. Of feeds written by ``land_history``
+    only the person's folder is read.
     """
     parts = []
     for name, feed in feeds.items():
@@ -193,4 +195,4 @@ def person_history(tables: Tables, person: str, since: str | dt.date = "2015-01-
 def _rows(tables: Tables, feed: Feed, person: str, since: str | dt.date) -> DataFrame:
     document = F.col(feed.columns["numero_identificacion"])
     return tables[feed.table].where(
-        (document == F.lit(person)) & (F.col(feed.filter_date) >= F.lit(str(since))))
+        of_person(tables[feed.table], person) & (document == F.lit(person)) & (F.col(feed.filter_date) >= F.lit(str(since))))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Plans are adapted at run time: partitions are merged or split by their real size, and a
 # skewed sort-merge join is cut even where that costs a shuffle further on. Generated code
@@ -26,6 +27,29 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset and the session runs inside one process, a new temporary folder
+    serves; elsewhere it must be set.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(name: str, cpus: str | None = None, **settings: str) -> SparkSession:
     """A session on this machine for tests and benches. Jobs on a cluster bring their own."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

@@ -724,6 +724,18 @@ ORACLE: dict[str, str] = {
         LEFT JOIN gn_ubicaciones m ON m.id = a.afiliacion_ubicaciones_id
         LEFT JOIN gn_ubicaciones d ON d.id = m.gn_ubicaciones_id
         WHERE lower(strip_accents(a.mae_estado_afiliacion_valor)) = 'activo' GROUP BY 1"""),
+    "hierarchy_roots": """
+        SELECT o_orderkey, first_value(o_orderkey) OVER by_customer AS root,
+               row_number() OVER by_customer - 1 AS depth, false AS in_cycle
+        FROM orders WINDOW by_customer AS (PARTITION BY o_custkey
+                                           ORDER BY o_orderdate, o_orderkey)""",
+    "label_pruned": """
+        SELECT event_id, user_id, event_type FROM events
+        WHERE lower(strip_accents(event_type)) IN ('error', 'purchase')""",
+    "catalog_tables": """
+        SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name,
+               CAST(n_regionkey AS BIGINT) AS n_regionkey, r_name
+        FROM nation LEFT JOIN region ON r_regionkey = n_regionkey""",
     "contract_tariffs": _TARIFFS,
     "contract_network": _NETWORK,
     "contract_tariffs_folded": _spelt_twice(
@@ -748,3 +760,8 @@ ORACLE: dict[str, str] = {
         SELECT {", ".join(f'{o} AS "{label}"' for o, label in URGENCY_LABELS.items())}
         FROM ({_feed_select("urgencia", timeline=False)}) AS rows"""),
 }
+# Other ways to the same rows.
+for _name, _same in {"milestones_incremental": "milestones", "latest_incremental": "latest_status",
+                     "landed_history": "person_history", "landed_wait": "authorization_wait",
+                     "consolidated_reduced": "consolidated_one"}.items():
+    ORACLE[_name] = ORACLE[_same]

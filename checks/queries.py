@@ -7,9 +7,10 @@ as doubles, which both engines render alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from caseflow.functions import (
     DEFAULT_COLLATION,
     age_years,
     ci_eq,
+    ci_in,
     cleanse_text,
     coalesce_milestones,
     decode,
@@ -37,11 +39,16 @@ from caseflow.operators import (
     count_by,
     first_per_key,
     flatten_hierarchy,
+    hierarchy_roots,
     latest_per_key,
     lookup,
     mapping_table,
     match_member,
+    merge_latest,
+    merge_milestones,
+    milestone_state,
     milestones,
+    milestones_of,
     tagged_union,
 )
 from caseflow.plans.authorization_wait import TABLES as AUTHORIZATION_TABLES
@@ -54,7 +61,8 @@ from caseflow.plans.person_history import TABLES as HISTORY_TABLES
 from caseflow.plans.productivity import TABLES as PRODUCTIVITY_TABLES
 from caseflow.plans.wide_detail import NAME_REMOVALS
 from caseflow.plans.wide_detail import TABLES as WIDE_TABLES
-from caseflow.sources import load_tables
+from caseflow.session import shared_folder
+from caseflow.sources import label_spellings, land_history, land_requests, landed, load_tables
 from caseflow.sources.star_schema import base_table, domain_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,6 +262,73 @@ def distinct_after_fanout(spark, folder):
     return base_table(spark, folder, "customer").select("c_nationkey", "c_mktsegment").distinct()
 
 
+# Kept state, hierarchies, landed tables -------------------------------------------------
+
+def _event_batches(events):
+    """The log in parts by month of the year, not in the order of time; one comes twice."""
+    parts = [events.where(F.month("ts") % 3 == n) for n in (2, 0, 1)]
+    return [*parts, parts[0]]
+
+
+def milestones_incremental(spark, folder):
+    names = {e: f"first_{e}" for e in EVENT_TYPES}
+    states = [milestone_state(part, ["user_id"], "event_type", "ts", names)
+              for part in _event_batches(base_table(spark, folder, "events"))]
+    return milestones_of(merge_milestones(states, ["user_id"]), ["user_id"])
+
+
+def latest_incremental(spark, folder):
+    states = [latest_per_key(part, ["user_id"], "ts", ["event_id"],
+                             where=F.col("event_type") == "error")
+              for part in _event_batches(base_table(spark, folder, "events"))]
+    return merge_latest(states, ["user_id"], "ts", ["event_id"]).select(states[0].columns)
+
+
+def hierarchy_roots_query(spark, folder):
+    """Each order hangs on the customer's order before it."""
+    orders = base_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    linked = orders.withColumn("before", F.lag("o_orderkey").over(by))
+    return hierarchy_roots(linked, "o_orderkey", "before")
+
+
+def label_pruned(spark, folder):
+    """A folded label that the scan can test."""
+    events = base_table(spark, folder, "events")
+    known = label_spellings({"events": events}, ["event_type"])
+    return events.where(ci_in(F.col("event_type"), ["ERROR", "Purchase"], known)).select(
+        "event_id", "user_id", "event_type")
+
+
+def catalog_tables(spark, folder):
+    """Tables that are named with their database."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS caseflow_checks")
+    for name in ("nation", "region"):
+        spark.sql(f"DROP TABLE IF EXISTS caseflow_checks.{name}")
+        spark.catalog.createTable(f"caseflow_checks.{name}", f"{folder}/{name}.parquet", "parquet")
+    schemas = {
+        "nation": T.StructType.fromDDL("n_nationkey bigint, n_name string, n_regionkey bigint"),
+        "region": T.StructType.fromDDL("r_regionkey bigint, r_name string"),
+    }
+    tables = load_tables(spark, names=list(schemas), namespace="caseflow_checks", schemas=schemas)
+    return lookup(tables["nation"], tables["region"], "n_regionkey", "r_regionkey", ["r_name"])
+
+
+def landed_history(spark, folder):
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    land_history(domain_tables(spark, folder, HISTORY_TABLES), target)
+    return _portable(plans.person_history(
+        landed(spark, target, HISTORY_TABLES), PERSON, since="1998-01-01"))
+
+
+def landed_wait(spark, folder):
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    land_requests(domain_tables(spark, folder, AUTHORIZATION_TABLES), target)
+    return _portable(plans.authorization_wait(
+        landed(spark, target, AUTHORIZATION_TABLES), start="1997-01-01", end="1998-03-31",
+        collation=BINARY))
+
+
 # Filters and expressions ---------------------------------------------------------------
 
 def year_filters(spark, folder):
@@ -402,6 +477,11 @@ contract_tariffs = _report(
     CONTRACTS_TABLES, lambda t: plans.contract_tariffs(t, grouping=BINARY))
 contract_network = _report(
     CONTRACTS_TABLES, lambda t: plans.contract_network(t, grouping=BINARY))
+consolidated_reduced = _report(
+    CONSOLIDATED_TABLES,
+    lambda t: plans.consolidated(
+        t, **{**plans.ONE_ROW, "min_year": 1997}, as_of=AS_OF, collation=BINARY,
+        reduce_first=True))
 authorization_wait = _report(
     AUTHORIZATION_TABLES,
     lambda t: plans.authorization_wait(
@@ -497,6 +577,14 @@ QUERIES: dict[str, Query] = {
     "productivity": productivity,
     "members_by_municipality": members_by_municipality,
     "case_detail_folded": case_detail_folded,
+    "milestones_incremental": milestones_incremental,
+    "latest_incremental": latest_incremental,
+    "hierarchy_roots": hierarchy_roots_query,
+    "label_pruned": label_pruned,
+    "catalog_tables": catalog_tables,
+    "landed_history": landed_history,
+    "landed_wait": landed_wait,
+    "consolidated_reduced": consolidated_reduced,
     "contract_tariffs_folded": contract_tariffs_folded,
     "contract_network_folded": contract_network_folded,
     "wide_detail_folded": wide_detail_folded,
