@@ -1,8 +1,11 @@
 """Removal of repeated passages of lines, in chunks that the content itself bounds.
 
-DataFrame functions only. A text is cut where the hashes of its lines say so, so that a
-passage is cut alike wherever it stands; the chunks are compared byte by byte over all
-documents and all but the first of equal ones go.
+DataFrame functions only. A hash rolls over every two lines that follow each other, and is
+counted over all documents. A text is cut where such a pair stands nowhere else, where it
+stands in fewer places than the pair before or after it, and within what repeats where the
+rolling hash is lowest among its neighbours: so a passage is cut alike wherever it stands,
+and it begins and ends a chunk however short it is. The chunks are compared byte by byte
+over all documents and all but the first of equal ones go.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.tables import keeps_names, need, others
+from caseflow.llm.tables import keeps_names, need, others, saved
 
 # A line of this many words or more is a passage, and a chunk, of its own.
 PASSAGE_WORDS = 50
@@ -33,69 +36,95 @@ def _words(line: Column) -> Column:
     return F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
 
 
-def _cuts(rolled: Column, counts: Column, passage_words: int) -> Column:
-    """Line numbers at which a chunk begins, from 0 on, and last the number of lines.
+def _line_rows(docs: DataFrame, text: str, passage_words: int) -> DataFrame:
+    """A row per line: ``_id`` and ``_key`` of the text, ``i``, the line's ``hash``, ``pair``,
+    the hash rolled over it and the line before, and whether it is a ``passage``.
 
-    A hash rolls over every two lines that follow each other. A chunk begins where it is
-    smaller than the one before and not larger than the one after, which leaves two lines
-    to a chunk at least and three on average, and before and after each line that is a
-    passage of its own. Where a cut lies depends on the few lines around it only.
+    The first line has no pair; a hash that also takes in the text keeps these lines apart.
     """
-    size = F.size(rolled)
-
-    def begins(i: Column) -> Column:
-        here = F.get(rolled, i)
-        lowest = (here < F.get(rolled, i - 1)) & (
-            F.coalesce(here <= F.get(rolled, i + 1), F.lit(True)))
-        passage = F.greatest(F.get(counts, i), F.get(counts, i - 1)) >= passage_words
-        return passage | lowest
-
-    inner = F.when(size > 1, F.filter(F.sequence(F.lit(1), size - 1), begins))
-    none = F.array().cast("array<int>")
-    return F.concat(F.array(F.lit(0)), F.coalesce(inner, none), F.array(size))
-
-
-def _chunks(lines: Column, passage_words: int) -> Column:
-    """(begin, count, hash) of every chunk that is long enough to be removed."""
-
-    def chunks(hashes: Column, counts: Column, cuts: Column) -> Column:
+    def lines(parts: Column) -> Column:
+        return _let(F.transform(parts, lambda line: F.xxhash64(line)), lambda hashes: F.transform(
+            parts, lambda line, i: F.struct(
+                F.get(hashes, i).alias("hash"),
+                F.when(i > 0, F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i))).otherwise(
+                    F.xxhash64(F.get(hashes, i), "_key")).alias("pair"),
+                (_words(line) >= passage_words).alias("passage"))))
+
+    every = docs.select("_id", "_key", F.posexplode(
+        _let(_lines(F.col(text)), lines)).alias("i", "line"))
+    return every.select("_id", "_key", "i", "line.*")
+
+
+def _begins(lines: Column, i: Column) -> Column:
+    """Whether a chunk begins at line ``i``, which is not the first."""
+    def at(name: str, place: Column) -> Column:
+        return F.get(lines, place)[name]
+
+    here, before, after = (F.coalesce(at("places", i + n), F.lit(0)) for n in (0, -1, 1))
+    fewer = (here < before) | (here < after)
+    lowest = (before > 1) & (after > 1) & (at("pair", i) < at("pair", i - 1)) & (
+        at("pair", i) <= at("pair", i + 1))
+    return at("passage", i) | at("passage", i - 1) | (here <= 1) | fewer | lowest
+
+
+def _chunks(lines: Column) -> Column:
+    """(begin, count, hash) of every chunk that may repeat: two lines or more, or a passage."""
+    def chunks(cuts: Column) -> Column:
         def chunk(i: Column) -> Column:
             begin = F.get(cuts, i)
             count = F.get(cuts, i + 1) - begin
-            return F.struct(begin.alias("begin"), count.alias("count"),
-                            F.xxhash64(F.slice(hashes, begin + 1, count)).alias("hash"))
+            return F.struct(begin.alias("begin"), count.alias("count"), F.xxhash64(F.transform(
+                F.slice(lines, begin + 1, count), lambda x: x["hash"])).alias("hash"))
 
         every = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), chunk)
-        return F.filter(every, lambda c: (c["count"] > 1) | (
-            F.get(counts, c["begin"]) >= passage_words))
-
-    def roll(hashes: Column) -> Column:
-        return F.transform(hashes, lambda h, i: F.xxhash64(F.get(hashes, i - 1), h))
-
-    return _let(F.transform(lines, lambda line: F.xxhash64(line)), lambda hashes:
-                _let(F.transform(lines, _words), lambda counts:
-                     _let(roll(hashes), lambda rolled:
-                          _let(_cuts(rolled, counts, passage_words), lambda cuts:
-                               chunks(hashes, counts, cuts)))))
+        return F.filter(every, lambda c: (c["count"] > 1) | F.get(lines, c["begin"])["passage"])
 
+    size = F.size(lines)
+    inner = F.when(size > 1, F.filter(
+        F.sequence(F.lit(1), size - 1), lambda i: _begins(lines, i)))
+    none = F.array().cast("array<int>")
+    return _let(F.concat(F.array(F.lit(0)), F.coalesce(inner, none), F.array(size)), chunks)
 
-def _text_of(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["begin"] + 1, chunk["count"]), "\n")
 
+def candidate_chunks(docs: DataFrame, text: str, passage_words: int) -> DataFrame:
+    """(_id, _key, begin, count, hash) of the chunks whose hash is found in several places.
 
-def repeated_chunks(docs: DataFrame, id: str, text: str, passage_words: int) -> DataFrame:
+    Pairs of lines go out as numbers, counted by each map task first; those of one text come
+    together again with the number of their places. Texts that repeat nothing end there.
+    """
+    lines = _line_rows(docs, text, passage_words)
+    counted = lines.where("i > 0").groupBy("pair").agg(F.count("*").alias("places"))
+    marked = lines.join(counted.where("places > 1"), "pair", "left")
+    line = F.struct("i", "hash", "pair", F.when(F.col("i") > 0, F.coalesce(
+        "places", F.lit(1))).otherwise(0).alias("places"), "passage")
+    # Rows that repeat give equal lines, hence the set.
+    whole = marked.groupBy("_id", "_key").agg(
+        F.sort_array(F.collect_set(line)).alias("lines"),
+        F.bool_or((F.col("places") > 1) | F.col("passage")).alias("some"))
+    chunks = whole.where("some").select("_id", "_key", F.explode(_chunks(F.col("lines"))).alias(
+        "chunk")).select("_id", "_key", "chunk.*")
+    return chunks
+
+
+def repeated_chunks(docs: DataFrame, chunks: DataFrame, text: str) -> DataFrame:
     """(hash, keeper) of every chunk that is found in more than one place.
 
-    Chunks are grouped by their bytes. The keeper is the smallest id that has the chunk. A
-    hash that two different chunks share names neither, so that only equal bytes go.
+    Chunks whose hash is met again are grouped by their bytes. The keeper is the smallest id
+    that has the chunk. A hash that two different chunks share names neither, so that only
+    equal bytes go.
     """
-    def texts(lines: Column) -> Column:
-        return F.transform(_chunks(lines, passage_words), lambda c: F.struct(
-            c["hash"].alias("hash"), _text_of(lines, c).alias("bytes")))
-
-    whole = docs.select(F.col(id).alias("_id"), F.explode(
-        _let(_lines(F.col(text)), texts)).alias("chunk")).select("_id", "chunk.*")
-    equal = whole.groupBy("hash", "bytes").agg(
+    met = docs.groupBy("_id", "_key").agg(F.count("*").alias("rows"))
+    several = chunks.join(met, _same_text(chunks, met)).groupBy("hash").agg(
+        F.sum("rows").alias("places")).where("places > 1").select("hash")
+    sought = chunks.join(several, "hash").groupBy("_id", "_key").agg(
+        F.collect_list(F.struct("begin", "count", "hash")).alias("sought"))
+    found = docs.join(sought, _same_text(docs, sought)).select(
+        docs["_id"], F.explode(_let(_lines(docs[text]), lambda lines: F.transform(
+            "sought", lambda c: F.struct(
+                c["hash"].alias("hash"), F.array_join(
+                    F.slice(lines, c["begin"] + 1, c["count"]), "\n").alias("bytes"))))
+        ).alias("chunk")).select("_id", "chunk.*")
+    equal = found.groupBy("hash", "bytes").agg(
         F.count("*").alias("places"), F.min("_id").alias("keeper"))
     alike = equal.groupBy("hash").agg(
         F.count("*").alias("texts"), F.sum("places").alias("places"),
@@ -103,6 +132,10 @@ def repeated_chunks(docs: DataFrame, id: str, text: str, passage_words: int) ->
     return alike.where("texts = 1 AND places > 1").select("hash", "keeper")
 
 
+def _same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
+
+
 @keeps_names
 def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
                     passage_words: int = PASSAGE_WORDS, removed: str = "n_removed",
@@ -114,19 +147,20 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
     equal bytes the first stays: that of the smallest ``id``, and there the first in the
     text. Rows that share an id share the right to keep; a null id never keeps unless all
     ids are null, and then every row keeps its first. A null text stays null, with no
-    lines; an empty one is one empty line. A text all of whose lines go becomes empty.
+    lines; an empty one is one empty line. A text all of whose lines go becomes empty. A very
+    long text comes together in one task as numbers, four a line. An empty table stays empty.
     Columns named like the two counts are replaced.
     """
     need(docs, id, text)
     docs = docs.select(*others(docs, removed, lines))
-    repeated = repeated_chunks(docs, id, text, passage_words)
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64("_text"))
-    places = rows.select("_id", "_key", F.posexplode(_let(
-        _lines(F.col("_text")), lambda lines: F.transform(
-            _chunks(lines, passage_words), lambda c: c["hash"]))).alias("_place", "hash"))
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).withColumn(
+        "_key", F.xxhash64("_text"))
+    # Met three times: to count hashes, to fetch bytes, and to say which places go.
+    places = saved(candidate_chunks(rows, "_text", passage_words))
+    repeated = repeated_chunks(rows, places, "_text")
+    place = F.struct("begin", "count")
     has = places.join(repeated, "hash").groupBy("_id", "_key", "hash", "keeper").agg(
-        F.min("_place").alias("first"), F.collect_set("_place").alias("all"))
+        F.min(place).alias("first"), F.collect_set(place).alias("all"))
     own = F.coalesce(F.col("keeper") == F.col("_id"), F.col("keeper").isNull())
     going = F.when(own, F.array_remove("all", F.col("first"))).otherwise(F.col("all"))
     goes = has.withColumn("all", going).groupBy("_id", "_key").agg(
@@ -135,11 +169,8 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
     joined = docs.withColumn("_key", F.xxhash64(text)).join(
         goes, F.col(id).eqNullSafe(F.col("_goes_id")) & (F.col("_key") == F.col("_goes_key")),
         "left")
-
-    def taken(lines: Column) -> Column:
-        return _let(_chunks(lines, passage_words), lambda chunks: F.flatten(F.transform(
-            "_places", lambda p: _let(F.get(chunks, p), lambda c: F.sequence(
-                c["begin"], c["begin"] + c["count"] - 1)))))
+    gone_lines = F.flatten(F.transform("_places", lambda c: F.sequence(
+        c["begin"], c["begin"] + c["count"] - 1)))
 
     def remaining(lines: Column, gone: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
@@ -148,7 +179,7 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
             F.size(gone).alias("gone"))
 
     edited = F.when(F.size("_places") > 0, _let(_lines(F.col(text)), lambda lines: _let(
-        taken(lines), lambda gone: remaining(lines, gone))))
+        gone_lines, lambda gone: remaining(lines, gone))))
     rows = joined.withColumn("_edited", edited)
     new = F.when(F.col("_edited").isNull(), F.col(text)).otherwise(F.col("_edited.text"))
     count = F.coalesce(F.size(_lines(F.col(text))), F.lit(0))

@@ -89,17 +89,24 @@ def _hash_long(value, seed):
     return _signed(xxhash.xxh64_intdigest(struct.pack("<q", value), seed % (1 << 64)))
 
 
-def line_chunks(text, passage=50):
+def line_pairs(docs):
+    """How often two lines follow each other, over all (id, text) rows."""
+    return Counter(pair for _, text in docs if text is not None
+                   for lines in [text.split("\n")] for pair in zip(lines, lines[1:]))
+
+
+def line_chunks(text, pairs, passage=50):
     lines = text.split("\n")
     hashes = [_signed(xxhash.xxh64_intdigest(line.encode(), 42)) for line in lines]
     counts = [line.strip(" ").count(" ") + 1 for line in lines]
-    rolled = [_hash_long(h, _hash_long(hashes[i - 1], 42) if i else 42)
-              for i, h in enumerate(hashes)]
+    rolled = [0] + [_hash_long(b, _hash_long(a, 42)) for a, b in zip(hashes, hashes[1:])]
+    places = [0] + [pairs[pair] for pair in zip(lines, lines[1:])] + [0]
     cuts = [0]
     for i in range(1, len(lines)):
-        lowest = rolled[i] < rolled[i - 1] and (
-            i + 1 >= len(lines) or rolled[i] <= rolled[i + 1])
-        if max(counts[i], counts[i - 1]) >= passage or lowest:
+        here, before, after = places[i], places[i - 1], places[i + 1]
+        lowest = before > 1 and after > 1 and rolled[i - 1] > rolled[i] <= rolled[i + 1]
+        if (max(counts[i], counts[i - 1]) >= passage or here <= 1 or here < before
+                or here < after or lowest):
             cuts.append(i)
     cuts.append(len(lines))
     return lines, [(a, b) for a, b in zip(cuts, cuts[1:]) if b - a > 1 or counts[a] >= passage]
@@ -107,10 +114,10 @@ def line_chunks(text, passage=50):
 
 def remove_repeated(docs, passage=50):
     """(id, text, lines, removed lines) for (id, text) rows with distinct ids."""
-    places = defaultdict(list)
+    places, pairs = defaultdict(list), line_pairs(docs)
     for id, text in docs:
         if text is not None:
-            lines, chunks = line_chunks(text, passage)
+            lines, chunks = line_chunks(text, pairs, passage)
             for a, b in chunks:
                 places["\n".join(lines[a:b])].append((id is None, id, a))
     out = []
@@ -118,7 +125,7 @@ def remove_repeated(docs, passage=50):
         if text is None:
             out.append((id, None, 0, 0))
             continue
-        lines, chunks = line_chunks(text, passage)
+        lines, chunks = line_chunks(text, pairs, passage)
         gone = {i for a, b in chunks for i in range(a, b)
                 if min(places["\n".join(lines[a:b])]) != (id is None, id, a)}
         left = "\n".join(line for i, line in enumerate(lines) if i not in gone)
@@ -126,6 +133,20 @@ def remove_repeated(docs, passage=50):
     return out
 
 
+def repeated_lines(docs):
+    """{id: lines that stand in a run of two lines or more which an earlier place has}.
+
+    Knows no cuts: a line counts if it and a neighbour follow each other in an earlier text.
+    """
+    seen, out = set(), {}
+    for id, text in docs:
+        lines = (text or "").split("\n")
+        own = list(zip(lines, lines[1:]))
+        out[id] = {i for n, pair in enumerate(own) if pair in seen for i in (n, n + 1)}
+        seen.update(own)
+    return out
+
+
 def unigram(docs, train):
     """{id: (tokens, known, training tokens, base score)} for (id, text) rows."""
     tokens = {id: [*words(text), None] for id, text in docs}

@@ -148,6 +148,29 @@ def test_repeated_line_chunks_go_but_for_the_first(spark):
     assert line_chunks.remove_repeated(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("count, words", [(2, 40), (3, 20), (5, 12), (10, 10), (4, 3), (2, 1)])
+def test_nearly_all_lines_of_repeated_passages_go(spark, count, words):
+    """Against runs of lines that an earlier text has, found without any cuts."""
+    generator = random.Random(count)
+
+    def line(n):
+        return " ".join(f"w{generator.randrange(10 ** 6)}" for _ in range(n))
+
+    rows = []
+    for i in range(60):
+        passage = [line(words) for _ in range(count)]
+        for copy in range(2 + i % 2):
+            around = [[line(6) for _ in range(generator.randrange(6))] for _ in range(2)]
+            rows.append((10 * i + copy, "\n".join([*around[0], *passage, *around[1]])))
+    found = line_chunks.remove_repeated(docs_of(spark, rows)).collect()
+    expected = plain.repeated_lines(rows)
+    wanted = sum(map(len, expected.values()))
+    assert wanted == sum(count * (1 + i % 2) for i in range(60))
+    for r in found:
+        assert r.n_removed <= len(expected[r.doc_id])
+    assert sum(r.n_removed for r in found) >= 0.9 * wanted
+
+
 def test_rows_that_repeat_keep_the_same_lines(spark):
     rows = [(1, "p\nq\nr\ns\nt")] * 3 + [(2, "p\nq\nr\ns\nt")]
     found = line_chunks.remove_repeated(docs_of(spark, rows)).collect()
