@@ -38,7 +38,8 @@ def productivity(tables: Tables, min_year: int = 2024,
         SERVICES: _service_entries(tables, info, min_year),
     }
     # Each group is counted where its join left it: the join key is one of the
-    # dimensions, so the rows need not be shuffled again.
+    # dimensions, so the rows need not be shuffled again. Logs and services are merged, and
+    # not broadcast for looking small on disk, which would leave them by no key.
     counted = {
         tag: count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones",
                       collation=collation if grouping is None else grouping)
@@ -69,7 +70,7 @@ def _case_info(tables: Tables, collation: str) -> DataFrame:
 def _case_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFrame:
     log = _recent(tables["aus_seguimientos"], min_year).select(
         F.col("aus_casos_id").alias("id_caso"), "id", *_log_columns())
-    joined = skew_join(log, info, ["id_caso"], "inner")
+    joined = skew_join(log.hint("merge"), info, ["id_caso"], "inner")
     return joined.withColumnRenamed("estado_caso", "estado_caso_servicio")
 
 
@@ -77,10 +78,10 @@ def _service_entries(tables: Tables, info: DataFrame, min_year: int) -> DataFram
     services = tables["aus_caso_servicios"].select(
         F.col("aus_casos_id").alias("id_caso"), "id",
         F.col("mae_estado_valor").alias("estado_caso_servicio"))
-    services = skew_join(services, info.drop("estado_caso"), ["id_caso"], "inner")
+    services = skew_join(services.hint("merge"), info.drop("estado_caso"), ["id_caso"], "inner")
     log = _recent(tables["aus_servicio_gestiones"], min_year).select(
         F.col("aus_servicios_id").alias("id"), *_log_columns())
-    return skew_join(log, services, ["id"], "inner")
+    return skew_join(log.hint("merge"), services, ["id"], "inner")
 
 
 def _recent(log: DataFrame, min_year: int) -> DataFrame:
