@@ -3,7 +3,8 @@
 The index is partitioned by document, as the corpus is: each task indexes its texts a few
 megabytes at a time (term, then ascending positions) and answers the whole query set from
 that, so that no posting is shuffled. The query set, the benchmark's windows, goes to the
-tasks in blocks of a fixed size; a larger benchmark takes more passes, not more memory.
+tasks in blocks of a fixed size; the blocks of a larger benchmark follow each other within
+the tasks, each with a broadcast of its own that stays for as long as the job runs.
 """
 
 from __future__ import annotations
