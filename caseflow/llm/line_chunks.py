@@ -159,7 +159,10 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text",
     places = saved(candidate_chunks(rows, "_text", passage_words))
     repeated = repeated_chunks(rows, places, "_text")
     place = F.struct("begin", "count")
-    has = places.join(repeated, "hash").groupBy("_id", "_key", "hash", "keeper").agg(
+    # By text at once: a chunk of very many texts is then cut in the join, and both steps
+    # that follow find their rows where they lie.
+    met = places.join(repeated, "hash").repartition("_id", "_key")
+    has = met.groupBy("_id", "_key", "hash", "keeper").agg(
         F.min(place).alias("first"), F.collect_set(place).alias("all"))
     own = F.coalesce(F.col("keeper") == F.col("_id"), F.col("keeper").isNull())
     going = F.when(own, F.array_remove("all", F.col("first"))).otherwise(F.col("all"))
