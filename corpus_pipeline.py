@@ -36,16 +36,28 @@ def with_other_columns(stage: Stage) -> Stage:
 
 @with_other_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half, learnt from the labelled ones."""
+    """Documents whose toxicity score is below one half, learnt from the labelled ones.
+
+    A null text scores as an empty one does. Rows that repeat, and rows of one id, are scored
+    one by one, so equal texts stay or go together. Whole texts are scored, however long.
+    Where nothing could be learnt, for want of labelled documents, all stay.
+    """
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     weights, bias = toxicity.fit(docs, labels)
+    if not weights.any() and not bias:
+        return docs
     scored = toxicity.score(docs, weights, bias, name="_score")
     return scored.where("_score < 0.5").select(*docs.columns)
 
 
 @with_other_columns
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line chunks that stand in an earlier place already."""
+    """All documents, without the line chunks that stand in an earlier place already.
+
+    No row goes: a text all of whose lines go becomes empty, null and empty texts stay as they
+    are. The smallest id keeps a chunk, rows that share it keep it alike, and a null id only
+    if all ids that have the chunk are null. ``n_chars`` is counted anew where lines went.
+    """
     edited = line_chunks.remove_repeated(docs, removed="_removed", lines="_lines")
     length = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return edited.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(
@@ -54,13 +66,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @with_other_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose SimHash fingerprints are linked."""
+    """One document of every group whose SimHash fingerprints are linked.
+
+    Null and empty texts have the fingerprint zero and make one group with all that are linked
+    to it. One row stays of each group, also where ids repeat or are null. Whole texts count.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 @with_other_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than one in twenty are in benchmark passages."""
+    """Documents of whose words less than one in twenty are in benchmark passages.
+
+    Null and empty texts have no words and stay, as do all where the benchmark is empty. Rows
+    are judged one by one, so repeats stay or go together. Whole texts are judged.
+    """
     found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark"), words="n_words",
                                   found="matches")
     return decontaminate.with_contamination(found).where("NOT contaminated").select(*docs.columns)
@@ -68,7 +88,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, with domain, ``n_tokens`` and ``copies``, which replace
-    columns of those names."""
+    columns of those names.
+
+    A null language or source is a leaf of its own. Texts without words take none of a budget.
+    Where ids tie in the seeded order, which rows that repeat do, they are taken or left
+    together. An empty table gives an empty mixture.
+    """
     return mixing.mix(docs, queries.MIX_LEVELS, queries.MIX_WEIGHTS,
                       queries.MIX_PERCENT, seed=queries.MIX_SEED)
 
