@@ -10,7 +10,7 @@ scored in blocks, each of which is sent the part of the table that its own words
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.tables import need, saved
+from caseflow.llm.tables import need, removed, written
 from caseflow.llm.words import BLANKS, Lookup, Piece, pieces
 
 _U64 = np.uint64
@@ -29,9 +29,10 @@ _P4, _P5 = _U64(0x85EBCA77C2B2AE63), _U64(0x27D4EB2F165667C5)
 START, END = _U64(0x53D3B4D5C3A1F2E7), _U64(0xE4D1A9B8C7F60513)
 # Parts the keys of contexts from those of words.
 _CONTEXT = _U64(0x8EBC6AF09C88C6E3)
-# Tokens gathered before they are counted together, and bytes of text scored together.
+# Tokens gathered before they are counted together, and bytes of text scored together. The
+# larger the block, the fewer the keys it asks for per word.
 COUNTED_TOKENS = 1 << 21
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 # Slots of the filters that spare tasks to ask for keys that no table has. A full filter
 # lets all keys through, which changes nothing but the number of rows.
 FILTER_SLOTS = 1 << 26
@@ -194,13 +195,14 @@ def _divergences(entries: DataFrame) -> DataFrame:
 class Model:
     """``words``: (word, tokens). ``contexts``: (level, code, parent, back) of those kept.
     ``entries``: (run, chance) of their next words. ``tokens`` and ``distinct`` count the
-    training tokens and words."""
+    training tokens and words. ``folders`` hold what contexts and entries are read from."""
 
     words: DataFrame
     contexts: DataFrame
     entries: DataFrame
     tokens: int
     distinct: int
+    folders: list[str] = field(default_factory=list)
 
     @property
     def base(self) -> float:
@@ -218,7 +220,7 @@ class Model:
 def learn(training: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of a DataFrame whose first column is the text."""
     start = F.col("word") == F.lit(int(START.view(np.int64)))
-    counts = saved(word_counts(training))
+    counts, _ = written(word_counts(training))
     tokens, distinct = counts.where(~start).agg(F.sum("tokens"), F.count("*")).first()
     tokens = tokens or 0
     model = Model(counts.where(~start), None, None, tokens, distinct)
@@ -231,9 +233,12 @@ def learn(training: DataFrame, settings: Settings = Settings()) -> Model:
         keys = shorter.select(F.col("run").alias("key"), "tokens")
         prefixes, suffixes = (_filter(keys.where(F.col("tokens") >= n)) for n in (least, settings.own))
         runs = _run_counts(training, level + 1, prefixes, suffixes)
-        runs = saved(runs.where(F.col("tokens") >= settings.own))
-        entries = saved(_entries(runs, shorter, least, settings))
-        levels.append((level, entries, saved(_divergences(entries))))
+        runs, counted = written(runs.where(F.col("tokens") >= settings.own))
+        entries, kept_in = written(_entries(runs, shorter, least, settings))
+        removed(runs, [counted])
+        stats, stats_in = written(_divergences(entries))
+        model.folders += [kept_in, stats_in]
+        levels.append((level, entries, stats))
         shorter = entries
     contexts, kept, longer = None, None, None
     for level, entries, stats in reversed(levels):
@@ -336,7 +341,7 @@ def _asked(table: pa.Table, bits: np.ndarray, depth: int) -> pa.Table:
             sequence, first = _sequences(piece)
             token, codes, known = _levels(sequence, first, depth)
             word = sequence[token]
-            found = [np.unique(word)]
+            found = [np.unique(word[_may_have(bits, word)])]
             for code, some in zip(codes, known):
                 for key in (code[some] ^ _CONTEXT, _pair(code[some], word[some])):
                     found.append(np.unique(key[_may_have(bits, key)]))
@@ -388,11 +393,13 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
         F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(training, F.lit(False)).alias("_train"))
     model = learn(rows.where("_train").select("_text"), settings)
-    table = saved(model.table())
-    sent = _filter(table)
+    table, _ = written(model.table())
+    removed(table, model.folders)
     depth, log_base = settings.depth, float(np.log10(model.base))
     words = model.words.select(F.col("word").alias("key"), F.col("tokens").cast("double").alias(
         "value"))
+    known = words.union(table)
+    sent = _filter(known)
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     # Equal rows are scored once, so that no block gathers many of them.
     rows = rows.select("_id", "_text", F.xxhash64("_id", "_text").alias("_key"))
@@ -401,13 +408,13 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
         F.first("_text").alias("_text"), F.count("*").alias("_copies"))
     asked = rows.groupBy("_block").applyInArrow(
         lambda block: _asked(block, sent.value, depth), "_block long, key long")
-    answers = asked.join(words.union(table), "key")
+    answers = asked.join(known, "key")
     schema = T.StructType([
         docs.select(F.col(id).alias("_id")).schema["_id"], T.StructField("_copies", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     out = rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        lambda block, known: _scored(block, known, log_base, depth, schema.names), schema)
+        lambda block, found: _scored(block, found, log_base, depth, schema.names), schema)
     return out.select(
         F.col("_id").alias(id), "n_tokens", "n_known",
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score",

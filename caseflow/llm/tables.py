@@ -10,6 +10,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -41,9 +43,28 @@ def saved(df: DataFrame) -> DataFrame:
 
 def handed_on(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet into a new folder under the shared one and read back."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``handed_on``, and the folder. The shuffle files that the writing made go with its
+    end, as nothing reads them again."""
     folder = f"{shared_folder(df)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+    return df.sparkSession.read.parquet(folder), folder
+
+
+def removed(df: DataFrame, folders: list[str]) -> None:
+    """Deletes folders that ``written`` made and that no table still reads."""
+    context = df.sparkSession.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: str, folds: int) -> Column:
