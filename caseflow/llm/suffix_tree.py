@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,11 @@ _CONTEXT = _U64(0x8EBC6AF09C88C6E3)
 # Tokens gathered before they are counted together, and bytes of text scored together. The
 # larger the block, the fewer the keys it asks for per word.
 COUNTED_TOKENS = 1 << 21
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
+# The blocks are scored in so many passes. What a pass shuffles is freed before the next one.
+PASSES = 4
+# Slots of the table that spares sorting keys just met.
+RECENT_SLOTS = 1 << 20
 # Slots of the filters that spare tasks to ask for keys that no table has. A full filter
 # lets all keys through, which changes nothing but the number of rows.
 FILTER_SLOTS = 1 << 26
@@ -336,16 +341,28 @@ def _levels(sequence: np.ndarray, first: np.ndarray, depth: int) -> tuple:
 def _asked(table: pa.Table, bits: np.ndarray, depth: int) -> pa.Table:
     """The keys that a block's texts ask the model for, each once."""
     keys = [np.zeros(0, dtype=_U64)]
+    # A slot is a key's first 20 bits; at first it holds what is no key of its own.
+    recent = ~(np.arange(RECENT_SLOTS, dtype=_U64) << _U64(44))
+
+    def fresh(key: np.ndarray) -> np.ndarray:
+        """Those that the table may have and that their slots have not just met; a key that
+        comes out more than once is made one at the end."""
+        key = key[_may_have(bits, key)]
+        slot = (key >> _U64(44)).astype(np.int64)
+        new = recent[slot] != key
+        recent[slot[new]] = key[new]
+        return key[new]
+
     for chunk in table.column("_text").chunks:
         for piece in pieces(chunk, BLANKS):
             sequence, first = _sequences(piece)
             token, codes, known = _levels(sequence, first, depth)
             word = sequence[token]
-            found = [np.unique(word[_may_have(bits, word)])]
+            keys.append(fresh(word))
             for code, some in zip(codes, known):
-                for key in (code[some] ^ _CONTEXT, _pair(code[some], word[some])):
-                    found.append(np.unique(key[_may_have(bits, key)]))
-            keys.append(np.unique(np.concatenate(found)))
+                keys += [fresh(code[some] ^ _CONTEXT), fresh(_pair(code[some], word[some]))]
+            if sum(map(len, keys[1:])) > COUNTED_TOKENS:
+                keys = [np.unique(np.concatenate(keys))]
     keys = np.unique(np.concatenate(keys))
     block = np.full(len(keys), table.column("_block")[0].as_py(), dtype=np.int64)
     return pa.table({"_block": block, "key": keys.view(np.int64)})
@@ -401,20 +418,27 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
     known = words.union(table)
     sent = _filter(known)
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = size // BLOCK_BYTES + 1
     # Equal rows are scored once, so that no block gathers many of them.
     rows = rows.select("_id", "_text", F.xxhash64("_id", "_text").alias("_key"))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(size // BLOCK_BYTES + 1)))
-    rows = rows.repartition("_block").groupBy("_block", "_id", "_key").agg(
-        F.first("_text").alias("_text"), F.count("*").alias("_copies"))
-    asked = rows.groupBy("_block").applyInArrow(
-        lambda block: _asked(block, sent.value, depth), "_block long, key long")
-    answers = asked.join(known, "key")
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
     schema = T.StructType([
         docs.select(F.col(id).alias("_id")).schema["_id"], T.StructField("_copies", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out = rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        lambda block, found: _scored(block, found, log_base, depth, schema.names), schema)
+
+    def scored(some: DataFrame) -> DataFrame:
+        some = some.repartition("_block").groupBy("_block", "_id", "_key").agg(
+            F.first("_text").alias("_text"), F.count("*").alias("_copies"))
+        asked = some.groupBy("_block").applyInArrow(
+            lambda block: _asked(block, sent.value, depth), "_block long, key long")
+        answers = asked.join(known, "key")
+        return some.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
+            lambda block, found: _scored(block, found, log_base, depth, schema.names), schema)
+
+    passes = min(PASSES, blocks)
+    parts = [scored(rows.where(F.pmod("_block", F.lit(passes)) == n)) for n in range(passes)]
+    out = reduce(DataFrame.union, [written(part)[0] for part in parts])
     return out.select(
         F.col("_id").alias(id), "n_tokens", "n_known",
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score",
