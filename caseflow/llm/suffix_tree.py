@@ -33,9 +33,9 @@ _CONTEXT = _U64(0x8EBC6AF09C88C6E3)
 # Tokens gathered before they are counted together, and bytes of text scored together. The
 # larger the block, the fewer the keys it asks for per word.
 COUNTED_TOKENS = 1 << 21
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 # The blocks are scored in so many passes. What a pass shuffles is freed before the next one.
-PASSES = 4
+PASSES = 8
 # Slots of the table that spares sorting keys just met.
 RECENT_SLOTS = 1 << 20
 # Slots of the filters that spare tasks to ask for keys that no table has. A full filter
