@@ -47,7 +47,7 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    found = decontaminate.matches(docs, read(spark, folder, "benchmark"))
+    found = decontaminate.matches(docs, read(spark, folder, "benchmark"), keep=["doc_id"])
     found = decontaminate.with_contamination(found)
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias(

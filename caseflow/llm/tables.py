@@ -94,6 +94,8 @@ def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def _renamed(value, names: dict[str, str]):
+    if isinstance(value, list):
+        return [_renamed(v, names) for v in value]
     return names.get(value, value) if isinstance(value, str) else value
 
 
