@@ -13,6 +13,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.data import plain_letters
+
 BINARY = "binary"
 DEFAULT_COLLATION = "UNICODE_CI_AI"
 
@@ -118,6 +120,47 @@ def collation_class(col: Column, collation: str = DEFAULT_COLLATION) -> Column:
     return number.otherwise(F.when(col.isNotNull(), len(_PIVOTS)))
 
 
+def _characters(ranges: str) -> str:
+    spans = [[int(end, 16) for end in span.split("-")] for span in ranges.split()]
+    return "".join(chr(c) for span in spans for c in range(span[0], span[-1] + 1))
+
+
+_ONE = {other: plain for plain, found in plain_letters.ONE.items() for other in _characters(found)}
+_SHOWN, _PLAIN = "".join(_ONE) + _characters(plain_letters.IGNORED), "".join(_ONE.values())
+_SEVERAL = "\t".join(f"{other}\n{plain}" for plain, found in plain_letters.SEVERAL.items()
+                     for other in _characters(found))
+
+def not_plain(*more: int) -> str:
+    """A pattern for anything but printable ASCII, blanks and ``more`` code points.
+
+    They are written one by one, since Java looks such a class up in a bit set.
+    """
+    plain = [*range(0x09, 0x0E), *range(0x20, 0x7F), *more]
+    return "[^" + "".join(f"\\x{c:02x}" for c in plain) + "]"
+
+
+def plain_spelling(col: Column) -> Column:
+    """The text in small plain letters, as ``DEFAULT_COLLATION`` holds it equal.
+
+    Characters that have no plain equal stay, and a text with any is equal to no plain one.
+    Of texts without such, those and only those that the collation holds equal come out the
+    same, so that they can be compared as bytes, which is far cheaper.
+    """
+    several = F.str_to_map(F.lit(_SEVERAL), F.lit("\t"), F.lit("\n"))
+
+    def spelt_out(text: Column) -> Column:
+        letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        return F.array_join(F.transform(
+            letters, lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+
+    # A middle dot is part of an l before it.
+    shown = F.translate(F.regexp_replace(col, "[lL][\u00b7\u0387]", "l"), _SHOWN, _PLAIN)
+    # The array only serves to name the text, so that it is made once.
+    plain = F.transform(F.array(shown), lambda text: F.when(
+        text.rlike(not_plain()), spelt_out(text)).otherwise(text))[0]
+    return F.lower(F.when(col.rlike(not_plain()), plain).otherwise(col))
+
+
 # Characters whose upper case is longer than one character, and as many that have no case.
 _GROWING = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))

@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.functions.semantics import BINARY, fold
+from caseflow.functions.semantics import (
+    BINARY,
+    DEFAULT_COLLATION,
+    fold,
+    not_plain,
+    plain_spelling,
+)
 
 _WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4}
 
@@ -21,11 +27,14 @@ def count_by(
     name: str = "n",
     weight: str | None = None,
     collation: str = BINARY,
+    spelt_first: bool = True,
 ) -> DataFrame:
     """Rows per group, or rows with a value in ``non_null``.
 
     Under a ``collation`` other than binary, spellings of a text dimension that it holds
-    equal are one group, shown as the smallest of them in binary order.
+    equal are one group, shown as the smallest of them in binary order. Spellings are
+    counted first, by each map task, so that few rows are folded; ``spelt_first=False``
+    saves that where groups have a few rows only.
 
     ``weight`` sums a column of counts made earlier, so that a hot group can be
     counted before a join and finished after it.
@@ -36,14 +45,20 @@ def count_by(
         measure = F.count("*" if non_null is None else non_null)
     if collation == BINARY:
         return df.groupBy(*dims).agg(measure.alias(name))
-    # Spellings are counted first, by each map task, so that few rows are folded.
-    spelt = df.groupBy(*dims).agg(measure.alias(name))
-    keys = [c for c in spelt.columns if c != name]
-    texts = [f.name for f in spelt.schema.fields
+    keys = df.select(*dims).columns
+    if spelt_first:
+        df = df.groupBy(*dims).agg(measure.alias(name))
+        measure = F.sum(name)
+    else:
+        measured = F.lit(1) if non_null is None else F.col(non_null)
+        df = df.select(*dims, (measured if weight is None else F.col(weight)).alias("_measured"))
+        measure = (F.count if weight is None else F.sum)("_measured")
+    texts = [f.name for f in df.schema.fields
              if f.name in keys and isinstance(f.dataType, T.StringType)]
-    folded = [fold(F.col(c), collation).alias(f"_{c}") if c in texts else F.col(c) for c in keys]
-    grouped = spelt.groupBy(*folded).agg(
-        F.sum(name).alias(name), *[F.min(c).alias(c) for c in texts])
+    rest = [c for c in keys if c not in texts]
+    folded, alike = _with_alike(df, texts, collation)
+    grouped = folded.groupBy(*rest, *alike).agg(
+        measure.alias(name), *[F.min(c).alias(c) for c in texts])
     return grouped.select(*keys, name)
 
 
@@ -51,19 +66,44 @@ def distinct_rows(df: DataFrame, collation: str = BINARY) -> DataFrame:
     """Distinct rows; under a ``collation`` other than binary, rows whose texts it holds
     equal are one, each of its texts shown in the smallest spelling in binary order.
 
-    Equal spellings go first, in each map task, so that few rows are compared under the
-    collation; those are sorted by their other columns before any text. Where the rows
-    already lie by some of their other columns, neither step shuffles them.
+    Rows are sorted by their other columns before any text. Where they already lie by some
+    of these, they are not shuffled; else each map task brings its own rows down first.
     """
-    spelt = df.distinct()
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if collation == BINARY or not texts:
-        return spelt
+        return df.distinct()
     rest = [c for c in df.columns if c not in texts]
-    folded = [fold(F.col(c), collation).alias(f"_{c}") for c in texts]
-    # Of the text itself, min_by is min; beside min, Spark would leave out the first step.
-    smallest = [F.min_by(c, c).alias(c) for c in texts]
-    return spelt.groupBy(*rest, *folded).agg(*smallest).select(*df.columns)
+    folded, alike = _with_alike(df, texts, collation)
+    smallest = [F.min(c).alias(c) for c in texts]
+    return folded.groupBy(*rest, *alike).agg(*smallest).select(*df.columns)
+
+
+def _with_alike(df: DataFrame, texts: Sequence[str],
+                collation: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns that agree where the collation holds all of ``texts`` equal,
+    and the names of these columns.
+
+    Rows are sorted by them, and comparing under a collation costs much more than comparing
+    bytes. Under the default collation a row therefore gets one binary key of the plain
+    spellings of its texts. Only a row with a character that has no plain spelling, which
+    equals no row without such, keeps its texts to be compared under the collation.
+    """
+    if collation.upper() != DEFAULT_COLLATION or not texts:
+        folded = {f"_{c}": fold(F.col(c), collation) for c in texts}
+        return df.withColumns(folded), list(folded)
+    # Neither mark is left in a plain spelling.
+    after, unknown = "\x01", "\x02"
+    as_is, spelt = F.array(*texts), F.array(*[plain_spelling(F.col(c)) for c in texts])
+    marked = df.withColumn("_odd", F.array_join(as_is, "").rlike(not_plain()))
+    marked = marked.withColumn("_spelt", F.when(
+        F.col("_odd"), F.array_join(spelt, after, unknown)).otherwise(
+        F.lower(F.array_join(as_is, after, unknown))))
+    others = F.col("_odd") & F.col("_spelt").rlike(not_plain(1, 2))
+    folded = marked.select(
+        *df.columns,
+        F.when(~others, F.col("_spelt")).alias("_key"),
+        F.when(others, F.array(*[fold(F.col(c), collation) for c in texts])).alias("_others"))
+    return folded, ["_key", "_others"]
 
 
 def tagged_union(branches: Mapping[str, DataFrame], tag_col: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from caseflow.operators import (
     tagged_union,
 )
 from caseflow.functions import collation_class
+from caseflow.functions.semantics import not_plain, plain_spelling
 from caseflow.operators import skew
 from tests.conftest import DATA, plan_of
 
@@ -355,3 +357,43 @@ def test_classes_of_a_collation_agree_for_equal_spellings(spark):
     assert equal.where(collation_class(F.col("a")) != collation_class(F.col("b"))).count() == 0
     spread = spark.createDataFrame([(c,) for c in "0aBcz9é-"], "a string")
     assert spread.select(collation_class(F.col("a"))).distinct().count() == 7
+
+
+def test_plain_spellings_agree_with_the_collation(spark):
+    """Every character of Unicode alone, after an l and inside a text, and odd texts."""
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = ["col\u00b7lab", "collab", "L\u0387", "l\u0307\u00b7", "\u0140a", "\u00b7", "Stra\u00dfe",
+           "STRASSE", "\u2026", "...", "a\x00b", "AB", "\u00bd", "1\u20442", "\ufb01n", "f\u0131n",
+           "FIN", "e\u0301", "\uff25", "", "\x01", "\u200d", " ", "\u00a0", "\u4e2d", "\u0418\u0306",
+           "\u0419", "\u0627\u0653", "\u0622", "\U0001d400", "\ufdd1L", "\ufffd"]
+    texts = [t for c in known for t in (c, f"x{c}Y")] + odd
+    schema = "a string"
+    df = spark.createDataFrame(pandas.DataFrame({"a": texts}), schema)
+    spelt = df.select("a", plain_spelling(F.col("a")).alias("p")).select(
+        "a", "p", F.col("p").rlike(not_plain()).alias("other"))
+    # A text with a plain spelling equals it; one without equals none of those.
+    assert spelt.where(~F.col("other") & (F.collate("a", "UNICODE_CI_AI") != F.col("p"))).count() == 0
+    plain = spelt.where("NOT other").select(F.collate("p", "UNICODE_CI_AI").alias("k")).distinct()
+    others = spelt.where("other").select(F.collate("a", "UNICODE_CI_AI").alias("k"))
+    assert others.join(plain, "k", "left_semi").count() == 0
+    # Different plain spellings are different texts.
+    per_class = spelt.where("NOT other").groupBy(F.collate("p", "UNICODE_CI_AI").alias("k"))
+    assert per_class.agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+
+
+def test_rows_are_folded_by_bytes_and_odd_texts_by_the_collation(spark):
+    data = [("Stra\u00dfe", "\u4e2d", 1), ("STRASSE", "\u4e2d", 1), ("strasse", "x", 1),
+            ("STRASSE", "X", 1), ("\u0419", None, 1), ("\u0439", None, 1), ("\u0439", "", 1),
+            ("a\x01", "b", 1), ("a", "\x01b", 1), ("a", None, 1), ("a", "\x02", 1)]
+    df = spark.createDataFrame(data, "a string, b string, n int")
+    expected = [("STRASSE", "X", 1), ("STRASSE", "\u4e2d", 1), ("\u0419", None, 1), ("\u0439", "", 1),
+                ("a", "\x01b", 1), ("a", None, 1), ("a", "\x02", 1)]
+    assert rows(distinct_rows(df, "UNICODE_CI_AI")) == sorted(expected, key=repr)
+    # Sorted by one binary key of all the texts.
+    assert "[n#" in (by := plan_of(distinct_rows(df, "UNICODE_CI_AI")).split("Sort ")[1])
+    assert by.split("]")[0].count(" ASC") == 3 and "_key#" in by.split("]")[0]
+    for first in (True, False):
+        counted = rows(count_by(df, ["a", "b"], collation="UNICODE_CI_AI", spelt_first=first))
+        assert sum(r[-1] for r in counted) == len(data) and len(counted) == len(expected)
+    weighted = count_by(df, ["a"], weight="n", collation="UNICODE_CI_AI", spelt_first=False)
+    assert sum(r[-1] for r in rows(weighted)) == len(data)
