@@ -42,7 +42,8 @@ def productivity(tables: Tables, min_year: int = 2024,
     # not broadcast for looking small on disk, which would leave them by no key.
     counted = {
         tag: count_by(entries, DIMS, non_null="fecha_interaccion", name="interacciones",
-                      collation=collation if grouping is None else grouping)
+                      collation=collation if grouping is None else grouping,
+                      spelt_first=False)
         for tag, entries in branches.items()
     }
     return tagged_union(counted, "grupo").select(*COLUMNS)
