@@ -99,10 +99,9 @@ def _with_alike(df: DataFrame, texts: Sequence[str],
         F.col("_odd"), F.array_join(spelt, after, unknown)).otherwise(
         F.lower(F.array_join(as_is, after, unknown))))
     others = F.col("_odd") & F.col("_spelt").rlike(not_plain(1, 2))
-    folded = marked.select(
-        *df.columns,
-        F.when(~others, F.col("_spelt")).alias("_key"),
-        F.when(others, F.array(*[fold(F.col(c), collation) for c in texts])).alias("_others"))
+    keyed = marked.withColumn("_key", F.when(~others, F.col("_spelt")))
+    kept = F.when(F.col("_key").isNull(), F.array(*[fold(F.col(c), collation) for c in texts]))
+    folded = keyed.select(*df.columns, "_key", kept.alias("_others"))
     return folded, ["_key", "_others"]
 
 
