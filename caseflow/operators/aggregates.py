@@ -62,19 +62,22 @@ def count_by(
     return grouped.select(*keys, name)
 
 
-def distinct_rows(df: DataFrame, collation: str = BINARY) -> DataFrame:
+def distinct_rows(df: DataFrame, collation: str = BINARY,
+                  spelt_first: bool = True) -> DataFrame:
     """Distinct rows; under a ``collation`` other than binary, rows whose texts it holds
     equal are one, each of its texts shown in the smallest spelling in binary order.
 
     Rows are sorted by their other columns before any text. Where they already lie by some
-    of these, they are not shuffled; else each map task brings its own rows down first.
+    of these, they are not shuffled. Equal spellings go first, in each map task, so that few
+    rows are folded; ``spelt_first=False`` saves that, and a shuffle, where few are equal.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if collation == BINARY or not texts:
         return df.distinct()
     rest = [c for c in df.columns if c not in texts]
-    folded, alike = _with_alike(df, texts, collation)
-    smallest = [F.min(c).alias(c) for c in texts]
+    folded, alike = _with_alike(df.distinct() if spelt_first else df, texts, collation)
+    # Of the text itself, min_by is min; beside min, Spark would leave out the first step.
+    smallest = [(F.min_by(c, c) if spelt_first else F.min(c)).alias(c) for c in texts]
     return folded.groupBy(*rest, *alike).agg(*smallest).select(*df.columns)
 
 

@@ -37,7 +37,7 @@ def contract_tariffs(tables: Tables, types: Sequence[int] = (1, 2, 3, 4),
         *_CONTRACT, _type_label(), *_SERVICE,
         F.col("ma_tecnologia_codigo").alias("codigo_tecnologia"), *_TARIFF[1:],
         "mae_modalidad_contrato_valor", *_PLACE,
-    ), grouping)
+    ), grouping, spelt_first=False)
 
 
 def contract_network(tables: Tables, types: Sequence[int] = (1, 4),
