@@ -94,7 +94,7 @@ def pieces(column: pa.Array, separators: np.ndarray, limit: int = PIECE_BYTES) -
         after[own[1:][own[1:] > 0] - 1] = False
         starts = np.flatnonzero(inside & ~before)
         ends = np.flatnonzero(inside & ~after) + 1
-        of = np.searchsorted(own, starts, "right") - 1
+        of = np.repeat(np.arange(end - row), np.diff(np.searchsorted(starts, own)))
         yield Piece(row, text, own, starts, ends, of)
 
 
