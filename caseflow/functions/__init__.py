@@ -22,6 +22,7 @@ from caseflow.functions.semantics import (
     loose_eq,
     mysql_number,
     mysql_truthy,
+    plain_class,
     simple_upper,
 )
 
@@ -30,5 +31,5 @@ __all__ = [
     "coalesce_milestones", "collation_class", "decode", "exclude_codes", "flag", "fold",
     "geo_code",
     "loose_eq", "mysql_number", "mysql_truthy", "not_deleted", "period_filter",
-    "same_period", "simple_upper", "wait_days", "with_labels",
+    "plain_class", "same_period", "simple_upper", "wait_days", "with_labels",
 ]

@@ -127,8 +127,18 @@ def _characters(ranges: str) -> str:
 
 _ONE = {other: plain for plain, found in plain_letters.ONE.items() for other in _characters(found)}
 _SHOWN, _PLAIN = "".join(_ONE) + _characters(plain_letters.IGNORED), "".join(_ONE.values())
-_SEVERAL = "\t".join(f"{other}\n{plain}" for plain, found in plain_letters.SEVERAL.items()
-                     for other in _characters(found))
+_SEVERAL = {other: plain for plain, found in plain_letters.SEVERAL.items()
+            for other in _characters(found)}
+# All of these written behind a text, after a character that says so, and one of them in the
+# text before it with what is written there for it.
+_ASIDE, _ENTRY = "\ue000", "\ue001"
+_WRITTEN = _ASIDE + "".join(f"{_ENTRY}{other}{plain}" for other, plain in _SEVERAL.items()) + _ENTRY
+# Java looks up Latin characters in a bit set and tries all others of a class in turn, so these
+# are kept for texts that are not Latin.
+_LATIN, _OTHER = ("".join(c for c in _SEVERAL if (c < "\u0100") == latin) for latin in (True, False))
+_ANY_OF_SEVERAL = f"(?:[{_LATIN}]|[\\x{{100}}-\\x{{10ffff}}&&[{_OTHER}]])"
+_WITH_ENTRY = f"({_ANY_OF_SEVERAL})(?=(?s:.*){_ASIDE}(?s:.*?){_ENTRY}\\1([^{_ENTRY}]*))"
+
 
 def not_plain(*more: int) -> str:
     """A pattern for anything but printable ASCII, blanks and ``more`` code points.
@@ -139,26 +149,53 @@ def not_plain(*more: int) -> str:
     return "[^" + "".join(f"\\x{c:02x}" for c in plain) + "]"
 
 
-def plain_spelling(col: Column) -> Column:
+def plain_spelling(col: Column, kept: str = "") -> Column:
     """The text in small plain letters, as ``DEFAULT_COLLATION`` holds it equal.
 
     Characters that have no plain equal stay, and a text with any is equal to no plain one.
     Of texts without such, those and only those that the collation holds equal come out the
-    same, so that they can be compared as bytes, which is far cheaper.
+    same, so that they can be compared as bytes, which is far cheaper. Characters of ``kept``,
+    of those that the collation ignores, stay as well.
     """
-    several = F.str_to_map(F.lit(_SEVERAL), F.lit("\t"), F.lit("\n"))
+    # A middle dot is part of an l before it.
+    joined = F.regexp_replace(col, "[lL][\u00b7\u0387]", "l")
+    looked_up = F.regexp_replace(F.concat(joined, F.lit(_WRITTEN)), _WITH_ENTRY, "$2")
+    spelt_out = F.regexp_replace(looked_up, f"(?s){_ASIDE}[^{_ASIDE}]*$", "")
+    plain = F.when(col.rlike(_ANY_OF_SEVERAL), spelt_out).otherwise(joined)
+    # The ignored ones come last in the table.
+    shown = _SHOWN.translate({ord(c): None for c in kept})
+    return F.lower(F.when(col.rlike(not_plain(*map(ord, kept))), F.translate(plain, shown, _PLAIN))
+                   .otherwise(col))
 
-    def spelt_out(text: Column) -> Column:
-        letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-        return F.array_join(F.transform(
-            letters, lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
 
-    # A middle dot is part of an l before it.
-    shown = F.translate(F.regexp_replace(col, "[lL][\u00b7\u0387]", "l"), _SHOWN, _PLAIN)
-    # The array only serves to name the text, so that it is made once.
-    plain = F.transform(F.array(shown), lambda text: F.when(
-        text.rlike(not_plain()), spelt_out(text)).otherwise(text))[0]
-    return F.lower(F.when(col.rlike(not_plain()), plain).otherwise(col))
+# Between two texts and in place of a NULL. The collation ignores both.
+_AFTER, _NULL = "\x01", "\x02"
+
+
+def joined_texts(texts: Sequence[str]) -> Column:
+    """The texts as one, with marks that do not stand in a text: there, they are left out."""
+    bare = F.concat_ws("", *texts)
+    marked = bare.contains(_AFTER) | bare.contains(_NULL)
+    without = F.array(*[F.translate(c, _AFTER + _NULL, "") for c in texts])
+    return F.when(marked, F.array_join(without, _AFTER, _NULL)).otherwise(
+        F.array_join(F.array(*texts), _AFTER, _NULL))
+
+
+def plain_of(joined: Column) -> Column:
+    """Joined texts in their plain spelling, in which the marks stay."""
+    return plain_spelling(joined, _AFTER + _NULL)
+
+
+def has_no_plain(spelt: Column) -> Column:
+    """Whether a character of a text of ``plain_of`` has no plain equal."""
+    return spelt.rlike(not_plain(1, 2))
+
+
+def plain_class(texts: Sequence[str]) -> Column:
+    """A text that is the same wherever ``DEFAULT_COLLATION`` holds all of ``texts`` equal, to
+    spread rows by: all rows with a character without a plain equal have the same one."""
+    spelt = plain_spelling(F.concat_ws("\n", *texts))
+    return F.regexp_replace(spelt, f"(?s)^.*{not_plain()}.*$", "")
 
 
 # Characters whose upper case is longer than one character, and as many that have no case.

@@ -13,8 +13,9 @@ from caseflow.functions.semantics import (
     BINARY,
     DEFAULT_COLLATION,
     fold,
-    not_plain,
-    plain_spelling,
+    has_no_plain,
+    joined_texts,
+    plain_of,
 )
 
 _WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4}
@@ -62,23 +63,48 @@ def count_by(
     return grouped.select(*keys, name)
 
 
-def distinct_rows(df: DataFrame, collation: str = BINARY,
-                  spelt_first: bool = True) -> DataFrame:
+def distinct_rows(df: DataFrame, collation: str = BINARY, spelt_first: bool = True,
+                  alike: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Distinct rows; under a ``collation`` other than binary, rows whose texts it holds
     equal are one, each of its texts shown in the smallest spelling in binary order.
 
     Rows are sorted by their other columns before any text. Where they already lie by some
     of these, they are not shuffled. Equal spellings go first, in each map task, so that few
     rows are folded; ``spelt_first=False`` saves that, and a shuffle, where few are equal.
+
+    ``alike`` names columns that ``plain_key`` made of some of the texts where there were
+    fewer rows, and these texts; the columns are not in the result.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    alike = alike or {}
+    columns = [c for c in df.columns if c not in alike]
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
     if collation == BINARY or not texts:
-        return df.distinct()
-    rest = [c for c in df.columns if c not in texts]
-    folded, alike = _with_alike(df.distinct() if spelt_first else df, texts, collation)
-    # Of the text itself, min_by is min; beside min, Spark would leave out the first step.
-    smallest = [(F.min_by(c, c) if spelt_first else F.min(c)).alias(c) for c in texts]
-    return folded.groupBy(*rest, *alike).agg(*smallest).select(*df.columns)
+        return df.select(*columns).distinct()
+    rest = [c for c in columns if c not in texts]
+    keyed = {c for made in alike.values() for c in made}
+    folded, keys = _with_alike(df.distinct() if spelt_first else df,
+                               [c for c in texts if c not in keyed], collation)
+    for key, made in alike.items():
+        folded = folded.withColumn(f"{key}_others", _others(key, made, collation))
+        keys = [*keys, key, f"{key}_others"]
+    # Of the text itself, min_by is min, at twice the price; beside min alone, Spark would leave
+    # out the first step.
+    smallest = [(F.min_by(c, c) if spelt_first and c == texts[0] else F.min(c)).alias(c)
+                for c in texts]
+    return folded.groupBy(*rest, *keys).agg(*smallest).select(*columns)
+
+
+def plain_key(df: DataFrame, texts: Sequence[str], name: str) -> DataFrame:
+    """The rows with a column of the plain spellings of all ``texts``, the same where the
+    default collation holds all of them equal; NULL if a character has no plain spelling."""
+    spelt = df.withColumn("_joined", joined_texts(texts)).withColumn(
+        "_spelt", plain_of(F.col("_joined")))
+    return spelt.select(*df.columns, F.when(~has_no_plain(F.col("_spelt")), F.col("_spelt"))
+                        .alias(name))
+
+
+def _others(key: str, texts: Sequence[str], collation: str) -> Column:
+    return F.when(F.col(key).isNull(), F.array(*[fold(F.col(c), collation) for c in texts]))
 
 
 def _with_alike(df: DataFrame, texts: Sequence[str],
@@ -91,21 +117,13 @@ def _with_alike(df: DataFrame, texts: Sequence[str],
     spellings of its texts. Only a row with a character that has no plain spelling, which
     equals no row without such, keeps its texts to be compared under the collation.
     """
-    if collation.upper() != DEFAULT_COLLATION or not texts:
+    if not texts:
+        return df, []
+    if collation.upper() != DEFAULT_COLLATION:
         folded = {f"_{c}": fold(F.col(c), collation) for c in texts}
         return df.withColumns(folded), list(folded)
-    # Neither mark is left in a plain spelling.
-    after, unknown = "\x01", "\x02"
-    as_is, spelt = F.array(*texts), F.array(*[plain_spelling(F.col(c)) for c in texts])
-    marked = df.withColumn("_odd", F.array_join(as_is, "").rlike(not_plain()))
-    marked = marked.withColumn("_spelt", F.when(
-        F.col("_odd"), F.array_join(spelt, after, unknown)).otherwise(
-        F.lower(F.array_join(as_is, after, unknown))))
-    others = F.col("_odd") & F.col("_spelt").rlike(not_plain(1, 2))
-    keyed = marked.withColumn("_key", F.when(~others, F.col("_spelt")))
-    kept = F.when(F.col("_key").isNull(), F.array(*[fold(F.col(c), collation) for c in texts]))
-    folded = keyed.select(*df.columns, "_key", kept.alias("_others"))
-    return folded, ["_key", "_others"]
+    keyed = plain_key(df, texts, "_key")
+    return keyed.withColumn("_others", _others("_key", texts, collation)), ["_key", "_others"]
 
 
 def tagged_union(branches: Mapping[str, DataFrame], tag_col: str) -> DataFrame:

@@ -96,6 +96,23 @@ def _copies(parts: str) -> Column:
     return F.explode(F.when(F.col(parts) > 1, every).otherwise(F.array(first)))
 
 
+def with_parts(right: DataFrame, keys: Sequence[str], hot: DataFrame,
+               spread: Sequence[str | Column] | None = None) -> DataFrame:
+    """The rows with ``_right_part``, the part of its key that a row is in, 0 if that is not
+    hot. Parts are made from ``spread``, or else from the whole row."""
+    part = _part(spread or right.columns, list(keys), "_right_parts", spread_nulls=False)
+    hot = F.broadcast(hot.withColumnRenamed("_parts", "_right_parts"))
+    return right.join(hot, list(keys), "left").select(*right.columns, part.alias("_right_part"))
+
+
+def with_copies(left: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """The rows with a copy for each part of their key and its number, ``_right_part``.
+    ``_right_parts`` has the number of copies, NULL if the key is not hot."""
+    hot = F.broadcast(hot.withColumnRenamed("_parts", "_right_parts"))
+    copied = left.join(hot, list(keys), "left").withColumn("_right_part", _copies("_right_parts"))
+    return copied.select(*left.columns, "_right_parts", "_right_part")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -143,13 +160,21 @@ def skew_join(
         right = right.drop("_left_parts")
         on.append("_left_part")
     if hot_right is not None:
-        hot = F.broadcast(hot_right.withColumnRenamed("_parts", "_right_parts"))
-        part = _part(spread_right or right.columns, keys, "_right_parts", spread_nulls=False)
-        right = right.join(hot, keys, "left").select(
-            *right.columns, part.alias("_right_part"), F.lit(True).alias("_hit"))
-        left = left.join(hot, keys, "left").withColumn("_right_part", _copies("_right_parts"))
-        on.append("_right_part")
-    joined = left.join(right, on, how)
-    if hot_right is not None and how == "left":
+        right = with_parts(right, keys, hot_right, spread_right)
+        left = with_copies(left, keys, hot_right)
+        return join_parts(left, right, on, how).select(*columns)
+    return left.join(right, on, how).select(*columns)
+
+
+def join_parts(left: DataFrame, right: DataFrame, keys: Sequence[str],
+               how: str = "left") -> DataFrame:
+    """Join of ``with_copies`` to ``with_parts`` on ``keys`` and the part.
+
+    A left join drops the copies that meet nothing in their part: their key is hot, and so
+    has rows in some other part.
+    """
+    right = right.withColumn("_hit", F.lit(True))
+    joined = left.join(right, [*keys, "_right_part"], how)
+    if how == "left":
         joined = joined.where("_right_parts IS NULL OR _hit IS NOT NULL")
-    return joined.select(*columns)
+    return joined.drop("_right_parts", "_hit")

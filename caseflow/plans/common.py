@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,15 +128,13 @@ def with_members(cases: DataFrame, tables: Tables, key: str, person: Mapping[str
                         "numero_documento", "member_tipo", collation)
 
 
-def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables,
-                  spread: Sequence[str | Column] = ("service_id",),
-                  keep_part: bool = False) -> DataFrame:
+def with_services(cases: DataFrame, services: DataFrame, key: str, tables: Tables) -> DataFrame:
     """Cases with their services, whose own attributes were added before: the two sides
-    meet once, and a case with very many services is split by ``spread``. The hot cases are
-    counted on the service table itself, all rows of which are still in ``services``."""
+    meet once, and a case with very many services is split. The hot cases are counted on the
+    service table itself, all rows of which are still in ``services``."""
     base = tables["aus_caso_servicios"].select(F.col("aus_casos_id").alias(key))
     return skew_join(cases, services, [key], "left", hot_right=hot_keys(base, [key]),
-                     spread_right=spread, keep_part=keep_part)
+                     spread_right=["service_id"])
 
 
 def add_users(df: DataFrame, tables: Tables, key: str, cols: Mapping[str, str]) -> DataFrame:

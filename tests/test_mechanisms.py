@@ -126,6 +126,8 @@ def test_marked_rows_are_kept_and_few_others(spark):
     assert found.columns == ["k", "id"]
     wanted = rows(log.join(kept, ["k"], "left_semi"))
     assert set(wanted) <= set(rows(found)) and len(rows(found)) <= len(wanted) + 2
+    narrow = log.withColumn("k", F.col("k").cast("int"))
+    assert rows(keep_marked(narrow, "k", key_marks(kept, "k"))) == rows(found)
     # A set that is too small lets more through, but loses nothing.
     small = rows(keep_marked(log, "k", key_marks(kept, "k", 64), 64))
     assert set(wanted) <= set(small)
@@ -134,6 +136,17 @@ def test_marked_rows_are_kept_and_few_others(spark):
     assert rows(none) == []
 
 
+def test_every_bit_of_a_map_is_found(spark):
+    bits = 3 * 7 * 4096 + 5
+    keys = spark.range(400_000).select(F.col("id").alias("k"))
+    marks = key_marks(keys, "k", bits)
+    assert marks.count() == 4
+    assert keep_marked(keys, "k", marks, bits).count() == 400_000
+    half = key_marks(keys.where("k < 60000"), "k", bits)
+    # 60,000 keys over these bits set 50 % of them.
+    assert 0.45 < keep_marked(keys.where("k >= 200000"), "k", half, bits).count() / 200_000 < 0.55
+
+
 def test_reduction_comes_before_any_shuffle_of_the_logs(spark):
     folder = DATA.replace("0.001", "0.01")
     tables = star_schema.domain_tables(spark, folder, list(star_schema.DOMAIN_SQL))

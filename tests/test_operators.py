@@ -17,11 +17,14 @@ from caseflow.operators import (
     mapping_table,
     match_member,
     milestones,
+    pack_texts,
+    plain_key,
     skew_join,
     tagged_union,
+    unpack_texts,
 )
 from caseflow.functions import collation_class
-from caseflow.functions.semantics import not_plain, plain_spelling
+from caseflow.functions.semantics import not_plain, plain_class, plain_spelling
 from caseflow.operators import skew
 from tests.conftest import DATA, plan_of
 
@@ -397,3 +400,35 @@ def test_rows_are_folded_by_bytes_and_odd_texts_by_the_collation(spark):
         assert sum(r[-1] for r in counted) == len(data) and len(counted) == len(expected)
     weighted = count_by(df, ["a"], weight="n", collation="UNICODE_CI_AI", spelt_first=False)
     assert sum(r[-1] for r in rows(weighted)) == len(data)
+
+
+def test_packed_texts_come_back_as_they_were(spark):
+    data = [(1, "a", None, ""), (2, None, None, None), (3, "x\x01y", "\x02", "z"),
+            (4, "\x02", None, "\x01"), (5, "", "", ""), (6, "\u00d1and\u00fa", "\U0001d400", " ")]
+    df = spark.createDataFrame(data, "n int, a string, b string, c string")
+    packed = pack_texts(df, ["a", "b", "c"], "p")
+    assert packed.columns == ["n", "p", "p_as_is"]
+    assert rows(unpack_texts(packed, ["a", "b", "c"], "p")) == sorted(data, key=repr)
+    missing = spark.createDataFrame([(7,)], "n int").join(packed, ["n"], "left")
+    assert rows(unpack_texts(missing, ["a", "b", "c"], "p")) == [(7, None, None, None)]
+
+
+def test_texts_folded_before_are_folded_no_more(spark):
+    data = [("Stra\u00dfe", "\u4e2d", "x", 1), ("STRASSE", "\u4e2d", "X", 1), ("a\x01", "b", "x", 1),
+            ("A", "\x01b", "x", 1), ("a", None, "x", 1), ("a", "\x02", "x", 1), ("a", "", "y", 1),
+            ("\u0419", "", "y", 1), ("\u0439", "", "Y", 1)]
+    df = spark.createDataFrame(data, "a string, b string, c string, n int")
+    plain = distinct_rows(df, "UNICODE_CI_AI")
+    keyed = distinct_rows(plain_key(df, ["a", "b"], "k"), "UNICODE_CI_AI", alike={"k": ["a", "b"]})
+    assert keyed.columns == df.columns
+    assert rows(keyed) == rows(plain) and len(rows(plain)) == 6
+    binary = distinct_rows(plain_key(df, ["a", "b"], "k"), alike={"k": ["a", "b"]})
+    assert rows(binary) == rows(df.distinct())
+
+
+def test_classes_of_several_texts_agree_for_equal_spellings(spark):
+    pairs = [("Caf\u00e9", "CAFE", "x"), ("\u0419", "\u0439", "x"), ("\u00df", "SS", None),
+             ("a\x01", "A", ""), (None, None, "x")]
+    df = spark.createDataFrame(pairs, "a string, b string, c string")
+    assert df.where(plain_class(["a", "c"]) != plain_class(["b", "c"])).count() == 0
+    assert df.select(plain_class(["a", "c"])).distinct().count() == 5

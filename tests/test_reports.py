@@ -221,6 +221,51 @@ def test_wide_distinct_needs_no_shuffle_of_its_own(spark, tables):
     assert "HashAggregate" in above_join and "Exchange" not in above_join
 
 
+def shuffled(node):
+    """The columns of each shuffle of a plan."""
+    children = node.children()
+    found = [c for i in range(children.size()) for c in shuffled(children.apply(i))]
+    if node.nodeName() == "Exchange":
+        output = node.output()
+        found.append([output.apply(i).name() for i in range(output.size())])
+    return found
+
+
+def test_wide_texts_are_moved_once_and_packed(spark, tables):
+    spark.catalog.clearCache()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        detail = plans.wide_detail(tables, as_of=AS_OF)
+        moved = shuffled(detail._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # The rows of services go by case once; by service go ids only.
+    assert [c for c in moved if "_service" in c] == [
+        ["case_id", "_right_part", "service_id", "_service", "_service_as_is",
+         "fecha_cierre_servicio"]]
+    texts = {"ma_tecnologia_valor", "descripcion_servicio_pqrd", "mae_servicio_motivo_valor",
+             "service_reason", "radicado", "radicado_SNS", "estado_caso"}
+    assert not [c for c in moved if texts.intersection(c)]
+
+
+def test_wide_detail_of_odd_services(spark, tables):
+    """Services without an id or a case, repeated ones, and cases that repeat or have no id."""
+    services, cases = tables["aus_caso_servicios"], tables["aus_casos"]
+    no_id = services.where("aus_casos_id = 10").withColumn("id", F.lit(None).cast("long"))
+    no_case = services.withColumn("aus_casos_id", F.lit(None).cast("long"))
+    unnamed = cases.where("id IN (10, 12)").withColumn("id", F.lit(None).cast("long"))
+    odd = {**tables, "aus_caso_servicios": services.union(services).union(no_id).union(no_case),
+           "aus_casos": cases.union(cases).union(unnamed)}
+    got = plans.wide_detail(odd, as_of=AS_OF).drop("numero_solicitud_pqrsf")
+    plain = plans.wide_detail(tables, as_of=AS_OF).where("numero_solicitud_pqrsf IS NOT NULL")
+    assert set(rows(plain.drop("numero_solicitud_pqrsf"))) <= set(rows(got))
+    per_case = rows(plans.wide_detail(odd, as_of=AS_OF).groupBy("numero_solicitud_pqrsf").count())
+    # Without an id a service has no known closing time, which one of the two of case 10 has not
+    # either; a case without an id has no services.
+    assert per_case == sorted([("10", 3), ("11", 4), ("12", 1), ("15", 1), ("16", 1), ("17", 1),
+                               ("19", 1), (None, 2)], key=repr)
+
+
 # Monthly tracking ----------------------------------------------------------------------
 
 def test_tracking(tables):
